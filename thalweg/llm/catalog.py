@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, secrets, toxicity
-from .common import read
+from . import bpe, exact_dedup, packing, secrets, simhash, toxicity
+from .common import materialize, read
 
 
 def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"))
 
 
+def op8_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = materialize(simhash.fingerprints(read(spark, sf_dir, "documents")), "simhash")
+    return simhash.near_duplicates(rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secret_spans", lambda x: x["kind"] < 3)
@@ -37,7 +42,7 @@ def op10_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_packing, op5_counterfactual_toxicity, op6_byte_bpe, op9_markov_secrets, op10_tree_merge_dedup)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_packing, op5_counterfactual_toxicity, op6_byte_bpe, op8_pivot_simhash, op9_markov_secrets, op10_tree_merge_dedup)}
 
 ORACLES = {
     "op10_tree_merge_dedup": """
