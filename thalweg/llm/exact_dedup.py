@@ -38,7 +38,7 @@ def merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate([[True], ~same]))
         size = np.add.reduceat(table["group_size"].to_numpy(), first)
         out = table.take(pa.array(first)).set_column(table.schema.get_field_index("group_size"), "group_size", pa.array(size, pa.int64()))
-        out = out.combine_chunks().to_batches()[0]
+        out = out.cast(batch.schema).combine_chunks().to_batches()[0]
         last = out.slice(out.num_rows - 1)
         if out.num_rows > 1:
             yield out.slice(0, out.num_rows - 1)
