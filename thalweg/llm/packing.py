@@ -11,6 +11,8 @@ Token ids are computed once and written to the shared folder. What is sorted is
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +27,13 @@ from .bpe import in_parts
 from .common import materialize, partitions, text_of
 
 BUCKETS, DIMS, BITS = 1024, 4, 8
-MOST_WORDS = 300_000
+MOST_WORDS, TABLE_BITS = 1_200_000, 22
+BASE = 0x9E3779B97F4A7C15
+#: Letters that Unicode normalisation leaves alone and that have one lower-case form.
+PLAIN = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+")
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+GAP = np.isin(np.arange(256), [9, 10, 13, 32])
 
 
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
@@ -69,27 +77,113 @@ def document_keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of whole texts. The tokenizer drops white space and never looks across it, so each word is encoded once."""
+    """Ids of whole texts. The tokenizer lower-cases, drops white space and never looks across it, so each word is
+    encoded once, without a full stop or comma behind its last letter, and found again by the hash of its bytes.
+
+    New words of plain letters go to the tokenizer together, in one text: each is one token sequence that ends with the
+    only token that ends a word, so the ids fall apart again at those. Other new words are encoded one by one.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.ids: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 16-bit ids of each text, for the vocabulary has fewer than 65,536."""
-        if len(self.ids) > MOST_WORDS:
-            self.ids.clear()
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = [w for w in set().union(*cut) if w not in self.ids]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            found = self.tokenizer.encode_batch(part, add_special_tokens=False)
-            self.ids.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(part, found, strict=True))
-        for words in cut:
-            yield b"".join(map(self.ids.__getitem__, words))
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.marks = {ord(m): self.one(m) for m in ".,"}
+        assert all(len(x) == 1 for x in self.marks.values())
+        self.values = np.random.default_rng(49).integers(1, 2**63, 256, dtype=np.uint64)
+        self.powers, self.inverses = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.int64)
+        self.first, self.size = np.zeros(MOST_WORDS + 1, np.int64), np.zeros(MOST_WORDS + 1, np.int64)
+        self.known, self.pool, self.used = 1, np.zeros(1 << 20, "<u2"), 0  # word 0 is the empty word
+
+    def one(self, word: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u2")
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or the empty slot where it would be."""
+        out = (keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            held = self.keys[out[todo]]
+            todo = todo[(held != keys[todo]) & (held != 0)]
+            out[todo] = (out[todo] + 1) & ((1 << TABLE_BITS) - 1)
+        return out
+
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        ids: list[np.ndarray | None] = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if PLAIN.fullmatch(w)]
+        for lo in range(0, len(plain), 5000):
+            part = plain[lo : lo + 5000]
+            found = np.array(self.tokenizer.encode(" ".join([words[i] for i in part]), add_special_tokens=False).ids, "<u2")
+            cuts = np.flatnonzero(self.ends[found]) + 1
+            if len(cuts) == len(part):
+                for i, x in zip(part, np.split(found, cuts[:-1]), strict=True):
+                    ids[i] = x
+        ids = [self.one(w) if x is None else x for w, x in zip(words, ids, strict=True)]
+        sizes = np.array([len(x) for x in ids])
+        flat = np.concatenate(ids)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), "<u2")])
+        new = np.arange(self.known, self.known + len(words))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.first[new], self.size[new] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used, self.known = self.used + len(flat), self.known + len(words)
+        while len(keys):
+            at = self.slots(keys)
+            self.keys[at], self.at[at] = keys, new  # of several keys for one empty slot the last one stays
+            out = self.keys[at] != keys
+            keys, new = keys[out], new[out]
+
+    def hashes(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of raw[start:end] for every pair, from one prefix sum; never 0."""
+        n = len(raw)
+        while len(self.powers) < n + 1:
+            self.powers, self.inverses = (np.concatenate([x, x * np.uint64(pow(base, len(x), 1 << 64))]) for x, base in ((self.powers, BASE), (self.inverses, pow(BASE, -1, 1 << 64))))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.values[raw] * self.powers[:n])])
+        keys = (sums[end] - sums[start]) * self.inverses[start]
+        keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return np.where(keys == 0, np.uint64(1), keys)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each text has."""
+        coded = [t.encode() for t in texts]
+        raw = LOWER[np.frombuffer(b" " + b" ".join(coded) + b" ", np.uint8)]
+        gap = GAP[raw]
+        start = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
+        end = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+        last, before = raw[end - 1], raw[np.maximum(end - 2, 0)]
+        letter = (before >= 97) & (before <= 122) | (before >= 0x80) & (raw[np.maximum(end - 3, 0)] == 0xC3) & (before != 0x97) & (before != 0xB7)
+        marked = (end - start > 1) & letter & ((last == 46) | (last == 44))
+        stem = end - marked
+        keys, index, inverse = np.unique(self.hashes(raw, start, stem), return_index=True, return_inverse=True)
+        if self.known + len(keys) > MOST_WORDS:
+            self.clear()
+        new = np.flatnonzero(self.keys[self.slots(keys)] != keys)
+        if len(new):
+            whole = raw.tobytes()
+            for lo in range(0, len(new), 20_000):
+                part = new[lo : lo + 20_000]
+                self.learn(keys[part], [whole[a:b].decode() for a, b in zip(start[index[part]].tolist(), stem[index[part]].tolist(), strict=True)])
+        word = self.at[self.slots(keys)][inverse]
+        size = self.size[word]
+        total = size + marked
+        at = np.cumsum(total) - total
+        source = np.repeat(self.first[word] - at, total) + np.arange(int(total.sum()))
+        place = at[marked] + size[marked]
+        source[place] = 0
+        ids = self.pool[source]
+        ids[place] = np.where(last[marked] == 46, self.marks[46][0], self.marks[44][0])
+        borders = np.cumsum([1] + [len(c) + 1 for c in coded])
+        upto = np.concatenate([[0], np.cumsum(total)])[np.searchsorted(start, borders)]
+        return ids, np.diff(upto)
 
 
 @lru_cache(maxsize=1)
@@ -97,20 +191,26 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def split_bytes(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary array with the bytes of the ids of each document."""
+    offsets = np.concatenate([[0], 2 * np.cumsum(counts)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.tobytes())])
+
+
 def tokenize(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int) -> DataFrame:
     """row_no, doc_id, ids (16-bit, with end_id last), n_ids and curve key of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = word_encoder(path), np.array([end_id], "<u2").tobytes()
+        encoder = word_encoder(path)
         for batch in batches:
             lo = 0
             for names, texts in in_parts(batch, 1 << 20):
-                ids = [x + end for x in encoder.encode(texts)]
-                counts = np.array([len(x) // 2 for x in ids])
-                keys = document_keys(np.frombuffer(b"".join(ids), "<u2"), counts)
+                ids, counts = encoder.encode(texts)
+                ids, counts = np.insert(ids, np.cumsum(counts), end_id).astype("<u2"), counts + 1
+                keys = document_keys(ids, counts)
                 rows = batch.column(2).slice(lo, len(texts))
                 lo += len(texts)
-                yield pa.RecordBatch.from_arrays([rows, names, pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, pa.int64())], ["row_no", "doc_id", "ids", "n_ids", "key"])
+                yield pa.RecordBatch.from_arrays([rows, names, split_bytes(ids, counts), pa.array(counts, pa.int64()), pa.array(keys, pa.int64())], ["row_no", "doc_id", "ids", "n_ids", "key"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.monotonically_increasing_id().alias("row_no"))
     return rows.mapInArrow(run, "row_no long, doc_id long, ids binary, n_ids long, key long")
