@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, secrets, simhash, toxicity
+from . import bitsliced, bpe, exact_dedup, packing, phrases, secrets, simhash, suffixes, toxicity
 from .common import materialize, read
 
 
@@ -13,6 +13,16 @@ def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.remove_repeats(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -23,6 +33,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"))
 
 
+def op7_bitsliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(simhash.fingerprints(read(spark, sf_dir, "documents")), "simhash")
     return simhash.near_duplicates(rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -42,9 +56,33 @@ def op10_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_packing, op5_counterfactual_toxicity, op6_byte_bpe, op8_pivot_simhash, op9_markov_secrets, op10_tree_merge_dedup)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_packing, op3_difference_cover_dedup, op4_phrase_automata, op5_counterfactual_toxicity, op6_byte_bpe, op7_bitsliced_topk, op8_pivot_simhash, op9_markov_secrets, op10_tree_merge_dedup)}
 
 ORACLES = {
+    "op4_phrase_automata": r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(COALESCE(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+), windows AS (
+  SELECT doc_id, p, array_to_string(words[p : p + 34], ' ') AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS p FROM docs WHERE len(words) >= 35)
+), recurring AS (
+  SELECT doc_id, p FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING COUNT(*) > 1)
+), removed AS (
+  SELECT doc_id, list(DISTINCT q) AS gone FROM (SELECT doc_id, unnest(range(p, p + 35)) AS q FROM recurring) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(COALESCE(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_transform(list_filter(range(1, len(words) + 1), lambda i: NOT list_contains(gone, i)), lambda i: words[i]) END, ' ')) AS kept_sha256
+FROM docs d LEFT JOIN removed r ON r.doc_id = d.doc_id""",
+    "op7_bitsliced_topk": """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM rows q JOIN rows r ON q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5""",
     "op10_tree_merge_dedup": """
 SELECT doc_id, MAX(doc_id) OVER (PARTITION BY COALESCE(text, '')) AS keep_id, COUNT(*) OVER (PARTITION BY COALESCE(text, '')) AS group_size,
        doc_id = MAX(doc_id) OVER (PARTITION BY COALESCE(text, '')) AS kept, sha256(COALESCE(text, '')) AS text_sha256
