@@ -1,7 +1,7 @@
 """Exact deduplication by a tree merge of sorted digest runs.
 
-Every input partition sorts its (digest, identifier) pairs into a run with one entry for each digest. The runs are
-then merged in rounds. The partitions are the leaves 0 .. fan_in**rounds - 1 of a tree; in round t, the fan_in leaves
+Every input partition deals its (digest, identifier) pairs to some leaves of a tree and sorts each share into a run
+with one entry for each digest. The runs are then merged in rounds. The leaves are 0 .. fan_in**rounds - 1; in round t, the fan_in leaves
 that differ in digit t only exchange their runs: each takes the slice of the digests whose own digit t is its digit,
 and merges the fan_in slices it receives. After the last round every leaf holds the whole of its slice of the digest
 space, so no round sends a run to a single place, and every entry moves once a round. Entries of equal digests merge
@@ -67,7 +67,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     leaves = fan_in**rounds
     order = ["node", "digest", "check", "n_bytes", F.col("keep_id").desc_nulls_last(), "keep_row"]
     runs = rows.select(
-        (F.spark_partition_id() % leaves).alias("node"), "digest", "check", "n_bytes", F.col("doc_id").alias("keep_id"),
+        F.pmod(F.spark_partition_id() + F.pmod(F.xxhash64("row_no"), F.lit(64)), F.lit(leaves)).cast("int").alias("node"), "digest", "check", "n_bytes", F.col("doc_id").alias("keep_id"),
         F.col("row_no").alias("keep_row"), F.lit(1).cast("long").alias("group_size"),
     )
     runs = runs.sortWithinPartitions(*order).mapInArrow(merge_sorted, RUN)
