@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitsliced, bpe, exact_dedup, packing, phrases, secrets, simhash, suffixes, toxicity
+from . import bitsliced, bpe, exact_dedup, licenses, packing, phrases, secrets, simhash, suffixes, toxicity
 from .common import materialize, read
 
 
@@ -13,6 +13,13 @@ def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents has no paths, so each document is filed by its source and, like shelves, by the hundreds and tens of its identifier."""
+    shelf = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), shelf(1000), shelf(20), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(read(spark, sf_dir, "documents"), path)
+
+
 def op3_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.remove_repeats(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -56,7 +63,7 @@ def op10_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_packing, op3_difference_cover_dedup, op4_phrase_automata, op5_counterfactual_toxicity, op6_byte_bpe, op7_bitsliced_topk, op8_pivot_simhash, op9_markov_secrets, op10_tree_merge_dedup)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_packing, op2_license_inheritance, op3_difference_cover_dedup, op4_phrase_automata, op5_counterfactual_toxicity, op6_byte_bpe, op7_bitsliced_topk, op8_pivot_simhash, op9_markov_secrets, op10_tree_merge_dedup)}
 
 ORACLES = {
     "op4_phrase_automata": r"""

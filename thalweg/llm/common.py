@@ -56,3 +56,19 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> D
     hot = groups.filter(F.col(size) * HOT_SHARE > total)
     cold = groups.filter(F.col(size) * HOT_SHARE <= total)
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key))
+
+
+def keep_rows(docs: DataFrame, keys: dict[str, Column], kept: DataFrame) -> DataFrame:
+    """The rows of docs whose keys are in kept, all columns; of rows with equal keys exactly one.
+
+    keys names the key columns and says how docs gives them; kept has them as its columns. Rows with equal keys are
+    interchangeable (the keys cover the identifier and the whole text), so any one of them may stay.
+    """
+    names = list(keys)
+    held = docs.withColumns(keys)
+    twins = materialize(held.groupBy(*names).count().filter("count > 1").select(*names), "twins")
+    out = held.join(kept.select(*names).distinct(), names, "left_semi")
+    if not twins.isEmpty():
+        again = out.join(twins, names, "left_semi").dropDuplicates(names)
+        out = out.join(twins, names, "left_anti").unionByName(again)
+    return out.drop(*names)

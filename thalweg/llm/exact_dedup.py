@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize, partitions, text_of
+from .common import join_hot, keep_rows, materialize, partitions, text_of
 
 RUN = "node int, digest binary, check long, n_bytes long, keep_id long, keep_row long, group_size long"
 
@@ -81,3 +81,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return join_hot(rows, groups, ["digest", "check", "n_bytes"], "group_size").select(
         "doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 4) -> DataFrame:
+    """docs, all columns, without the rows that exact_dedup does not keep."""
+    of = lambda digest, name: {"_k1": F.xxhash64(name, digest), "_k2": F.xxhash64(digest, F.lit(1), name)}
+    kept = exact_dedup(docs, id_col, text_col, fan_in).filter("kept").withColumns(of(F.col("text_sha256"), "doc_id"))
+    return keep_rows(docs, of(F.sha2(text_of(text_col), 256), F.col(id_col).cast("long")), kept)

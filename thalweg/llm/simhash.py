@@ -18,11 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import in_parts
-from .common import join_hot, materialize, text_of
+from .common import join_hot, keep_rows, materialize, text_of
 from .components import connected_components
 
 PIVOTS = 16
@@ -53,8 +53,11 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, row_no, fp (long, the fingerprint's bits) of every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, row_no: Column | None = None) -> DataFrame:
+    """doc_id, row_no, fp (long, the fingerprint's bits) of every row; a null text counts as empty.
+
+    row_no tells rows apart; by default they are numbered.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 lo += len(texts)
                 yield pa.RecordBatch.from_arrays([names, rows, pa.array(fps)], ["doc_id", "row_no", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.monotonically_increasing_id().alias("row_no"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), (F.monotonically_increasing_id() if row_no is None else row_no).alias("row_no"))
     return rows.mapInArrow(run, "doc_id long, row_no long, fp long")
 
 
@@ -184,3 +187,11 @@ def near_duplicates(rows: DataFrame, bits: int = 2) -> DataFrame:
     alone = groups.join(nodes.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", F.col("least").alias("best"), "n")
     found = materialize(of_linked.unionByName(alone), "of-fingerprint")
     return join_hot(rows, found, ["fp"], "n").select("doc_id", "row_no", "fp", F.col("best.doc_id").alias("component_id"), (F.col("row_no") == F.col("best.row_no")).alias("keep"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
+    """docs, all columns, with one row of each component: that of its smallest identifier."""
+    key = F.xxhash64(F.col(id_col).cast("long"), text_of(text_col))
+    rows = materialize(fingerprints(docs, id_col, text_col, shingle, key), "simhash")
+    kept = near_duplicates(rows, bits).filter("keep").select(F.col("row_no").alias("_k1"), F.coalesce("doc_id", F.lit(-1)).alias("_k2"))
+    return keep_rows(docs, {"_k1": key, "_k2": F.coalesce(F.col(id_col).cast("long"), F.lit(-1))}, kept)
