@@ -29,7 +29,7 @@ UNBASE = pow(BASE, -1, 1 << 64)
 BITMAP_BITS = 26
 HOT_ANCHORS = 4096  #: so many anchors at most are dealt to several shards
 LEAST_HOT = 4096  #: and each of them occurs so often at least
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 18
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 BYTE_VALUES = np.random.default_rng(400).integers(1, 2**63, 256, dtype=np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

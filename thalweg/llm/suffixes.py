@@ -22,19 +22,38 @@ from .repeats import keyed, merged, recurring_spans
 SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def names_of(keys: np.ndarray) -> tuple[np.ndarray, int]:
-    """Ranks of the keys, from 1, equal keys alike; and how many there are."""
-    order = np.argsort(keys)
+def order_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The stable order of keys below 2**bits; key and place are sorted as one number where both fit into it."""
+    place = max(1, int(len(keys) - 1).bit_length())
+    if bits + place > 63:
+        return np.argsort(keys, kind="stable")
+    return np.sort(keys << place | np.arange(len(keys))) & ((1 << place) - 1)
+
+
+def names_of(keys: np.ndarray, bits: int = 63) -> tuple[np.ndarray, int]:
+    """Ranks of the keys (below 2**bits), from 1, equal keys alike; and how many there are."""
+    order = order_of(keys, bits)
     held = keys[order]
     names = np.empty(len(keys), np.int64)
     names[order] = np.cumsum(np.concatenate([[1], held[1:] != held[:-1]]))
     return names, int(names[order[-1]])
 
 
+def own_ranks(held: np.ndarray) -> np.ndarray:
+    """How many of a sorted array's values are less than each."""
+    return np.maximum.accumulate(np.where(np.concatenate([[True], held[1:] != held[:-1]]), np.arange(len(held)), 0))
+
+
+def width(x: np.ndarray | int) -> int:
+    return max(1, int(np.max(x)).bit_length())
+
+
 def triple_names(t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, int]:
-    if int(t.max()) < 1 << 20:
-        return names_of(t[at] << 42 | t[at + 1] << 21 | t[at + 2])
-    return names_of(names_of(t[at] << 32 | t[at + 1])[0] << 32 | t[at + 2])
+    w = width(t)
+    if 3 * w + width(len(at)) <= 63:
+        return names_of(t[at] << 2 * w | t[at + 1] << w | t[at + 2], 3 * w)
+    pair, n = names_of(t[at] << w | t[at + 1], 2 * w)
+    return names_of(pair << w | t[at + 2], width(n) + w)
 
 
 def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
@@ -57,34 +76,69 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
     rank[sample] = names
     t = np.append(t, 0)
     # suffixes of the first two kinds compare by one symbol and the rank behind it, of the first and third kind by two
-    one = lambda i: t[i] << 32 | rank[i + 1]
-    pair = names_of(np.concatenate([t[zeros] << 32 | t[zeros + 1], t[second] << 32 | t[second + 1]]))[0]
-    zero_one, first_one = one(zeros), one(first)
-    zero_two, second_two = pair[: len(zeros)] << 32 | rank[zeros + 2], pair[len(zeros) :] << 32 | rank[second + 2]
-    sorted_zero_one, sorted_zero_two = np.sort(zero_one), np.sort(zero_two)
-    sorted_names = np.sort(names)
+    w, v = width(t), width(rank)
+    one = lambda i: t[i] << v | rank[i + 1]
+    both, n_both = names_of(np.concatenate([t[zeros] << w | t[zeros + 1], t[second] << w | t[second + 1]]), 2 * w)
+    two = lambda pair, i: pair << v | rank[i + 2]
+    # all in their own order, so that look-ups in a sorted array walk through it once
+    of_zero = order_of(one(zeros), w + v)
+    of_first, of_second = (x[order_of(rank[x], v)] for x in (first, second))
+    zero_one, zero_two = one(zeros)[of_zero], two(both[: len(zeros)], zeros)[of_zero]
+    pair_of = np.zeros(n + 3, np.int64)
+    pair_of[second] = both[len(zeros) :]
+    first_one, second_two = one(of_first), two(pair_of[of_second], of_second)
+    sorted_first, sorted_second, sorted_zero_two = np.sort(first_one), np.sort(second_two), np.sort(zero_two)
+    before = np.concatenate([[0], np.cumsum(np.bincount(names))])  # samples of a smaller name
     out = np.zeros(n + 1, np.int64)  # how many suffixes come before each
-    out[zeros] = np.searchsorted(sorted_zero_one, zero_one) + np.searchsorted(np.sort(first_one), zero_one) + np.searchsorted(np.sort(second_two), zero_two)
-    out[first] = np.searchsorted(sorted_names, rank[first]) + np.searchsorted(sorted_zero_one, first_one)
-    out[second] = np.searchsorted(sorted_names, rank[second]) + np.searchsorted(sorted_zero_two, second_two)
+    out[zeros[of_zero]] = own_ranks(zero_one) + np.searchsorted(sorted_first, zero_one) + np.searchsorted(sorted_second, zero_two)
+    out[of_first] = before[rank[of_first]] + np.searchsorted(zero_one, first_one)
+    out[of_second] = before[rank[of_second]] + np.searchsorted(sorted_zero_two, second_two)
     return out[:n] + 1
 
 
 def equal_prefixes(s: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Which pairs of suffixes agree in their first `length` bytes, compared 8 bytes at a time."""
+    """Which pairs of suffixes agree in their first `length` bytes.
+
+    Pairs that differ in a few probed places go first. The others are put in order by their distance, so that pairs of
+    neighbouring places share their bytes: every byte of such a run is compared once, and a pair agrees if no byte of its
+    window differs.
+    """
     padded = np.concatenate([s, np.zeros(8, np.uint8)])
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    same = np.ones(len(a), bool)
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view(np.uint64).ravel()
     left = np.arange(len(a))
-    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        equal = np.ascontiguousarray(eight[a[left] + at]).view(np.uint64).ravel() == np.ascontiguousarray(eight[b[left] + at]).view(np.uint64).ravel()
-        same[left[~equal]] = False
-        left = left[equal]
-        if not len(left):
-            break
+    for at in [0, length - 8, length // 2, length // 4, 3 * length // 4] if length >= 16 else []:
+        left = left[eight[a[left] + at] == eight[b[left] + at]]
+    same = np.zeros(len(a), bool)
+    if not len(left):
+        return same
+    low, apart = np.minimum(a[left], b[left]), np.abs(a[left] - b[left])
+    order = np.lexsort((low, apart))
+    left, low, apart = left[order], low[order], apart[order]
+    new = np.concatenate([[True], (apart[1:] != apart[:-1]) | (low[1:] > low[:-1] + length)])
+    start = np.flatnonzero(new)
+    last = np.append(start[1:] - 1, len(low) - 1)
+    sizes = low[last] + length - low[start]
+    begin = np.cumsum(sizes) - sizes
+    run = np.cumsum(new) - 1
+    for lo, hi in parts_of(sizes, 1 << 22):
+        at = np.repeat(low[start[lo:hi]] - (begin[lo:hi] - begin[lo]), sizes[lo:hi]) + np.arange(int(sizes[lo:hi].sum()))
+        differ = np.concatenate([[0], np.cumsum(s[at] != s[at + np.repeat(apart[start[lo:hi]], sizes[lo:hi])])])
+        own = np.arange(start[lo], last[hi - 1] + 1)
+        place = begin[run[own]] - begin[lo] + low[own] - low[start[run[own]]]
+        same[left[own]] = differ[place + length] == differ[place]
     return same
 
 
+def parts_of(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of runs of about `most` bytes each."""
+    lo = 0
+    upto = np.cumsum(sizes)
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def recurring_suffixes(length: int):
     def recurring(payload: list[bytes]) -> list[np.ndarray]:
         """Which strings of `length` bytes of a shard's contexts occur more than once in it."""
@@ -98,7 +152,7 @@ def recurring_suffixes(length: int):
         begin = np.cumsum(sizes) - sizes
         ranks = suffix_ranks(raw.astype(np.int64) + 1, length)
         at = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-        order = np.argsort(ranks[at])
+        order = order_of(ranks[at], width(ranks))
         same = equal_prefixes(raw, at[order[:-1]], at[order[1:]], length)
         flags = np.zeros(len(at), bool)
         flags[order[:-1][same]] = True
