@@ -227,6 +227,16 @@ def bounded_paths_dist(spark, sf_dir):
     return paths.bounded_distances(nodes(spark, sf_dir)).withColumn("dist", F.round("dist", 6))
 
 
+@query(WATERED + DIST.replace("<= 8 ", "<= 32 ") + " SELECT basin_id, r, c, round(d, 6) AS dist FROM dist", "b_cells_masked", recursive=True)
+def bounded_paths_dist_32(spark, sf_dir):
+    return paths.bounded_distances(nodes(spark, sf_dir), paths.CUTOFFS[1]).withColumn("dist", F.round("dist", 6))
+
+
+@query(WATERED + DIST.replace("<= 8 ", "<= 400 ") + " SELECT basin_id, r, c, round(d, 6) AS dist FROM dist", "b_cells_masked", recursive=True)
+def bounded_paths_dist_400(spark, sf_dir):
+    return paths.bounded_distances(nodes(spark, sf_dir), paths.CUTOFFS[2]).withColumn("dist", F.round("dist", 6))
+
+
 @query(WATERED + DIST.replace(COST, "CAST(greatest(0, u.elev - v.elev) AS DOUBLE)").replace("prob > 0.1 OR water = 1", "water = 1").replace("x.d + e.cost <= 8 AND ", "") + " SELECT basin_id, r, c, d AS dist FROM dist", "b_cells_masked", recursive=True)
 def path_forest_dist(spark, sf_dir):
     return paths.flow_forest(nodes(spark, sf_dir).filter("water = 1")).select(*CELL, "dist")
@@ -234,9 +244,9 @@ def path_forest_dist(spark, sf_dir):
 
 @query(WATER_LABELS + DIST + " SELECT DISTINCT basin_id, comp FROM comp EXCEPT SELECT basin_id, comp FROM comp JOIN dist USING (basin_id, r, c)", "b_cells_masked", recursive=True)
 def unseen_components(spark, sf_dir):
-    held = tables.cut(labelled(spark, sf_dir).filter("comp > 0"), "labelled")
-    reached = held.join(paths.bounded_distances(nodes(spark, sf_dir)).select(*CELL), CELL, "left_semi").select("basin_id", "comp")
-    return held.select("basin_id", "comp").distinct().join(reached, ["basin_id", "comp"], "left_anti")
+    held = tables.cut(components.label(masked(spark, sf_dir)), "labelled")
+    low = components.lowest_cell(held).select(*CELL, F.lit(True).alias("low"))
+    return paths.unseen_components(components.merge_main(held).join(low, CELL, "left").withColumn("low", F.coalesce("low", F.lit(False))))
 
 
 @query()

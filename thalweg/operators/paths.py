@@ -89,6 +89,34 @@ def flow_forest(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("basin_id").applyInPandas(run, "basin_id long, r int, c int, dist double, to_r int, to_c int")
 
 
+def rounds(basin: pd.DataFrame, cutoffs: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, set[int], np.ndarray]:
+    """Nodes, their components, the components joined to the main one, and the nodes on ways, after the rounds of all cutoffs."""
+    comp, main = basin["comp"].to_numpy(), int(basin["main"].iloc[0])
+    node = np.flatnonzero((basin["prob"].to_numpy() > 0.1) | (comp > 0))
+    sub = basin.iloc[node].reset_index(drop=True)
+    grid, own = grid_of(sub), comp[node]
+    low = {int(own[i]): i for i in np.flatnonzero(sub["low"].to_numpy() & (own > 0))}
+    joined = {main}
+    way = np.zeros(len(node), bool)
+    for cutoff in cutoffs:
+        dist, parent = grid.distances(np.flatnonzero(np.isin(own, list(joined)) | way), grid.cost, cutoff)
+        found = []
+        for k, i in low.items():
+            if k not in joined and np.isfinite(dist[i]):
+                path = [i]
+                while parent[path[-1]] >= 0:
+                    path.append(int(parent[path[-1]]))
+                found.append((len(path), k, path))
+        for _, k, path in sorted(found):
+            for i in path:
+                if own[i] in joined or way[i]:
+                    break
+                way[i] = True
+                grid.weight[i] = 0.0
+            joined.add(k)
+    return node, own, joined, way
+
+
 def connect_waters(cells: DataFrame, cutoffs: tuple[float, ...] = CUTOFFS) -> DataFrame:
     """kind of every cell: 2 reference water, 1 connected water and the ways that connect it, 0 the rest.
 
@@ -99,31 +127,9 @@ def connect_waters(cells: DataFrame, cutoffs: tuple[float, ...] = CUTOFFS) -> Da
 
     def run(basin: pd.DataFrame) -> pd.DataFrame:
         basin = basin.sort_values(["r", "c"], ignore_index=True)
-        comp, main = basin["comp"].to_numpy().copy(), int(basin["main"].iloc[0])
-        kind = (comp > 0).astype(np.int32)
-        if main > 0:
-            node = np.flatnonzero((basin["prob"].to_numpy() > 0.1) | (comp > 0))
-            sub = basin.iloc[node].reset_index(drop=True)
-            grid, own = grid_of(sub), comp[node]
-            low = {int(own[i]): i for i in np.flatnonzero(sub["low"].to_numpy() & (own > 0))}
-            joined = {main}
-            way = np.zeros(len(node), bool)
-            for cutoff in cutoffs:
-                dist, parent = grid.distances(np.flatnonzero(np.isin(own, list(joined)) | way), grid.cost, cutoff)
-                found = []
-                for k, i in low.items():
-                    if k not in joined and np.isfinite(dist[i]):
-                        path = [i]
-                        while parent[path[-1]] >= 0:
-                            path.append(int(parent[path[-1]]))
-                        found.append((len(path), k, path))
-                for _, k, path in sorted(found):
-                    for i in path:
-                        if own[i] in joined or way[i]:
-                            break
-                        way[i] = True
-                        grid.weight[i] = 0.0
-                    joined.add(k)
+        kind = (basin["comp"].to_numpy() > 0).astype(np.int32)
+        if int(basin["main"].iloc[0]) > 0:
+            node, own, joined, way = rounds(basin, cutoffs)
             kept = np.isin(own, list(joined)) | way
             kind[:] = 0
             kind[node[kept]] = 1
@@ -131,3 +137,16 @@ def connect_waters(cells: DataFrame, cutoffs: tuple[float, ...] = CUTOFFS) -> Da
         return basin[["basin_id", "r", "c", "elev", "in_basin"]].assign(kind=kind)
 
     return cells.groupBy("basin_id").applyInPandas(run, "basin_id long, r int, c int, elev int, in_basin boolean, kind int")
+
+
+def unseen_components(cells: DataFrame, cutoffs: tuple[float, ...] = CUTOFFS) -> DataFrame:
+    """basin_id, comp of the components that no round of connect_waters joins; without a main component, of all."""
+
+    def run(basin: pd.DataFrame) -> pd.DataFrame:
+        basin = basin.sort_values(["r", "c"], ignore_index=True)
+        comp = basin["comp"].to_numpy()
+        seen = rounds(basin, cutoffs)[2] if int(basin["main"].iloc[0]) > 0 else set()
+        left = sorted({int(k) for k in comp[comp > 0]} - seen)
+        return pd.DataFrame({"basin_id": np.full(len(left), basin["basin_id"].iloc[0], np.int64), "comp": np.array(left, np.int32)})
+
+    return cells.groupBy("basin_id").applyInPandas(run, "basin_id long, comp int")
