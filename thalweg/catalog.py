@@ -379,8 +379,7 @@ def dedupe_largest_basin(spark, sf_dir):
 
 @query(" SELECT COALESCE(g.basin_id, s.stream_id) AS stream_id, CAST(g.max_order AS INT) AS max_order, s.target_id FROM (SELECT basin_id, MAX(seg_order) AS max_order FROM b_segments WHERE basin_id % 5 <> 0 GROUP BY basin_id) g FULL OUTER JOIN b_streams s ON g.basin_id = s.stream_id", "b_segments")
 def basin_max_order(spark, sf_dir):
-    most = load(spark, sf_dir, "b_segments").filter("basin_id % 5 <> 0").groupBy(F.col("basin_id").alias("stream_id")).agg(F.max("seg_order").cast("int").alias("max_order"))
-    return most.join(load(spark, sf_dir, "b_streams").select("stream_id", "target_id"), "stream_id", "full_outer").select("stream_id", "max_order", "target_id")
+    return merge.basin_max_orders(load(spark, sf_dir, "b_segments"), load(spark, sf_dir, "b_streams"))
 
 
 @query(REPAIR + f" SELECT stream_id, CAST(COALESCE(o, base_order) AS INT) AS repaired FROM l{SYSTEM_LEVELS}", "b_streams")

@@ -139,3 +139,9 @@ def merge_network(segments: DataFrame) -> DataFrame:
     order = F.when(F.col("from_ref"), F.greatest("seg_order", F.coalesce("repaired", F.lit(1)))).otherwise(F.col("seg_order"))
     out = numbered.join(orders, "basin_id", "left").join(global_targets(numbered), "seg_id").join(global_sources(numbered), "seg_id")
     return out.select(F.col("seg_id").alias("stream_id"), F.col("target_seg").alias("target_stream_id"), F.col("source_segs").alias("source_stream_ids"), order.cast("int").alias("stream_order"), "from_ref", "basin_id")
+
+
+def basin_max_orders(segments: DataFrame, streams: DataFrame) -> DataFrame:
+    """stream_id, max_order, target_id: the largest order of each basin's segments beside its stream; either side may be missing."""
+    most = segments.groupBy(F.col("basin_id").alias("stream_id")).agg(F.max("seg_order").cast("int").alias("max_order"))
+    return most.join(streams.select("stream_id", "target_id"), "stream_id", "full_outer").select("stream_id", "max_order", "target_id")
