@@ -4,11 +4,15 @@ A string of `length` symbols (bytes or words) is represented by one of its own s
 anchor: the leftmost one of least hash. Equal strings have equal anchors at the same distance, and overlapping strings
 mostly share an anchor, so a text of n symbols has few anchors. The work then goes by anchor:
 
-1. Count the anchors of all texts. A string whose anchor occurs once is unique.
-2. Send what is needed to compare the strings of each anchor that recurs to the anchor's shard. What tells the recurring
-   anchors in this scan is a bitmap of fixed size; those it lets through by mistake recur nowhere and cost only traffic.
-3. In each shard, find the strings that recur. Anchors that very many texts share are dealt to several shards; strings
-   that are unique in their shard are then compared again, by hash, with those of the anchor's other shards.
+1. Around its anchor every string has `half` symbols on the left or on the right at least. Those stretches (anchor and
+   left side, anchor and right side) are counted over all texts; a string one of whose stretches occurs once is unique.
+2. What is needed to compare the strings that are left is sent to the anchor's shard. The stretches that recur are told
+   apart by a bitmap sized by their number; where that would be too large to broadcast, by joins.
+3. In each shard, the strings that recur are found by their symbols. Anchors that very many texts share are dealt to
+   several shards. What is unique in one of those is compared again with what the anchor's other shards hold: strings go
+   by blocks of neighbouring distances from the anchor, under the hash of the stretch that all strings of a block
+   share, so equal strings meet; of a string that recurs in its shard one copy goes. Stretches that very many blocks
+   share go string by string, and no more than one of each shard are equal.
 """
 
 from __future__ import annotations
@@ -22,15 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import in_parts
-from .common import materialize, text_of
+from .common import materialize, partitions, text_of
 
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
-BITMAP_BITS = 26
-HOT_ANCHORS = 4096  #: so many anchors at most are dealt to several shards
-LEAST_HOT = 4096  #: and each of them occurs so often at least
+#: Bits of the broadcast bitmap at most (32 MB), and keys for which it is used at most; beyond them stretches are joined.
+MOST_BITS, MOST_KEYS = 28, 1 << 26
+SHARES = 4  #: an anchor is hot if it has more than 1 / (SHARES * partitions) of all counted stretches,
+LEAST_HOT = 256  #: and as many as this
 SHARD_BYTES = 1 << 18
-SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 BYTE_VALUES = np.random.default_rng(400).integers(1, 2**63, 256, dtype=np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -59,40 +63,45 @@ def range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 
 @dataclass
 class Scan:
-    """Texts of a batch as one row of symbols, with their anchors."""
+    """Texts of a batch as one row of symbols, with runs of strings that have the same anchor."""
 
-    raw: np.ndarray  # bytes of all texts, a space before each and at the end
+    raw: np.ndarray  # bytes of all texts, a space before each and at the end; with words, one space between them
     offsets: np.ndarray  # of each text in symbols, and the end
-    sums: np.ndarray
-    doc: np.ndarray  # of each anchor: its text,
-    anchor: np.ndarray  # its hash,
+    starts: np.ndarray  # of each symbol in raw,
+    ends: np.ndarray  # and its end
+    doc: np.ndarray  # of each run: its text,
+    anchor: np.ndarray  # the hash of its anchor,
+    place: np.ndarray  # where that begins,
     first: np.ndarray  # and the first and last of its strings, as symbol numbers
     last: np.ndarray
-    starts: np.ndarray | None = None  # of words, in raw
-    ends: np.ndarray | None = None
-
-
-def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    space = SPACE[raw]
-    return np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+    left: np.ndarray  # keys of the anchor with its left and right side; 0 where no string of the run needs them
+    right: np.ndarray
 
 
 def scan(texts: list[str], length: int, gram: int, words: bool) -> Scan:
     coded = [t.encode() for t in texts]
+    if words:
+        coded = [b" ".join(c.split()) for c in coded]
     raw = np.frombuffer(b" " + b" ".join(coded) + b" ", np.uint8)
     borders = np.cumsum([1] + [len(c) + 1 for c in coded])
     if words:
-        starts, ends = word_bounds(raw)
+        space = raw == 32
+        starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
         symbols = range_hashes(prefix_sums(BYTE_VALUES[raw]), starts, ends)
         offsets = np.searchsorted(starts, borders)
     else:
-        starts = ends = None
-        symbols, offsets = BYTE_VALUES[raw], borders
+        starts = np.arange(len(raw))
+        ends, symbols, offsets = starts + 1, BYTE_VALUES[raw], borders
     n, span = len(symbols), length - gram + 1
+    at = np.zeros(0, np.int64)
+    if n >= length:
+        end = np.repeat(offsets[1:] - (0 if words else 1), np.diff(offsets))  # where each symbol's text ends
+        at = np.arange(offsets[0], n - length + 1)
+        at = at[at + length <= end[at - offsets[0]]]
+    if not len(at):
+        none, keys = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return Scan(raw, offsets, starts, ends, none, keys, none, none, none, keys, keys)
     sums = prefix_sums(symbols)
-    none = np.zeros(0, np.int64)
-    if n < length:
-        return Scan(raw, offsets, sums, none, none.view(np.uint64), none, none, starts, ends)
     grams = range_hashes(sums, np.arange(n - gram + 1), np.arange(gram, n + 1))
     keyed = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     pad = -len(keyed) % span
@@ -100,15 +109,25 @@ def scan(texts: list[str], length: int, gram: int, words: bool) -> Scan:
     ahead = np.minimum.accumulate(tiles, axis=1).ravel()
     behind = np.minimum.accumulate(tiles[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(behind[: n - length + 1], ahead[span - 1 : span - 1 + n - length + 1])
-    end = np.repeat(offsets[1:] - (0 if words else 1), np.diff(offsets))  # where each symbol's text ends
-    at = np.arange(offsets[0], n - length + 1)
-    at = at[at + length <= end[at - offsets[0]]]
-    if not len(at):
-        return Scan(raw, offsets, sums, none, none.view(np.uint64), none, none, starts, ends)
-    anchor = (least[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)]))
-    first, last = at[new], at[np.append(new[1:] - 1, len(at) - 1)]
-    return Scan(raw, offsets, sums, np.searchsorted(offsets, first, "right") - 1, grams[anchor[new]], first, last, starts, ends)
+    place = (least[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)]))
+    first, last, place = at[new], at[np.append(new[1:] - 1, len(at) - 1)], place[new]
+    anchor, half = grams[place], (length - gram) // 2
+    # the upper half of a key names the anchor, its last bit the side
+    name = mix(anchor ^ np.uint64(BASE)) & np.uint64(0xFFFFFFFF00000000)
+    stretch = lambda lo, hi: range_hashes(sums, np.maximum(lo, 0), np.minimum(hi, n)) >> np.uint64(32)
+    left = np.where(first <= place - half, name | stretch(place - half, place + gram) & np.uint64(0xFFFFFFFE), np.uint64(0))
+    right = np.where(last >= place - (length - gram - half), name | stretch(place, place + gram + half) | np.uint64(1), np.uint64(0))
+    return Scan(raw, offsets, starts, ends, np.searchsorted(offsets, first, "right") - 1, anchor, place, first, last, left, right)
+
+
+def trimmed(s: Scan, left: np.ndarray, right: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs with strings that may recur, and the first and last such string of each; left and right say whose stretch recurs."""
+    half = (length - gram) // 2
+    lo = np.where(left, s.first, np.maximum(s.first, s.place - half + 1))
+    hi = np.where(right, s.last, np.minimum(s.last, s.place - (length - gram - half) - 1))
+    own = np.flatnonzero((left | right) & (lo <= hi))
+    return own, lo[own], hi[own]
 
 
 def keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -117,167 +136,254 @@ def keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64("text", F.lit(1), "doc_id")})
 
 
-def bitmap_of(anchors: DataFrame) -> np.ndarray:
-    """Bits set for the anchors: at most 2**(BITMAP_BITS - 6) words reach the driver, whatever the input."""
-    bit = F.shiftrightunsigned("g", 64 - BITMAP_BITS)
-    rows = anchors.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(g, {64 - BITMAP_BITS}) & 63 AS INT))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+def bitmap_of(keys: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits, those of the keys set: at most 2**(MOST_BITS - 6) words reach the driver, whatever the input."""
+    at = F.shiftrightunsigned(F.xxhash64("key"), 64 - bits)
+    rows = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return out.view(np.uint64)
 
 
-def recurring_spans(docs: DataFrame, length: int, gram: int, words: bool, contexts: bool, recurring: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
+def xxhash64(keys: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of long values (XXH64 of 8 bytes, seed 42)."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+    h = (np.uint64(42) + p5 + np.uint64(8)) ^ (turn(keys * p2, 31) * p1)
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+RUNS = "g long, salt int, lead int, k1 long, k2 long, first long, payload binary"
+
+
+def recurring_spans(docs: DataFrame, length: int, gram: int, words: bool, recurring: Callable[[list[bytes]], list[np.ndarray]]) -> DataFrame:
     """k1, k2, spans (array of start, stop, in symbols) of every row of docs (see keyed) with a string that recurs.
 
-    recurring gets what the strings of a shard are compared by, one bytes for each run of strings of one anchor in one
-    text: their hashes (8 bytes each), or with contexts the symbols that they cover. It says which of them recur.
+    recurring gets the stretches of text of a shard, and says of each which of its strings recur in the shard.
     """
     spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in in_parts(batch):
-                g, n = np.unique(scan(texts, length, gram, words).anchor, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["g", "n"])
-
-    anchors = docs.select("k1", "text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1")
-    anchors = materialize(anchors, "anchors")
-    total = anchors.agg(F.sum("n")).first()[0] or 0
-    limit = max(LEAST_HOT, -(-total // HOT_ANCHORS))
-    hot = {r.g: -(-r.n // limit) for r in anchors.filter(F.col("n") > limit).collect()}  # fewer than HOT_ANCHORS
-    bits = spark.sparkContext.broadcast(bitmap_of(anchors))  # of fixed size
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = bits.value
-        for batch in batches:
-            lo = 0
-            for k1, texts in in_parts(batch):
-                k2 = batch.column(2).slice(lo, len(texts)).to_numpy()
-                lo += len(texts)
                 s = scan(texts, length, gram, words)
-                bit = s.anchor >> np.uint64(64 - BITMAP_BITS)
-                own = np.flatnonzero((bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
-                doc, g, first, last = s.doc[own], s.anchor[own].view(np.int64), s.first[own], s.last[own]
-                k1 = k1.to_numpy()
-                if contexts:
-                    whole = s.raw.tobytes()
-                    payload = [whole[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                else:
-                    sizes = last - first + 1
-                    at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-                    hashes, cuts = range_hashes(s.sums, at, at + length).tobytes(), np.concatenate([[0], 8 * np.cumsum(sizes)]).tolist()
-                    payload = [hashes[a:b] for a, b in zip(cuts, cuts[1:])]
-                salt = [hash((int(k1[d]), int(f))) % hot[x] if (x := int(y)) in hot else 0 for d, f, y in zip(doc, first, g, strict=True)] if hot else np.zeros(len(g), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(salt, pa.int32()), pa.array(k1[doc]), pa.array(k2[doc]), pa.array(first - s.offsets[doc], pa.int64()), pa.array(payload, pa.binary())], ["g", "salt", "k1", "k2", "first", "payload"])
-
-    def spans_of(k1, k2, first, flags, counts):
-        """Rows of the maximal runs of flagged strings; one entry of k1, k2, first and counts for each run of strings."""
-        of = np.repeat(np.arange(len(counts)), counts)
-        pos = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + first[of]
-        on = np.flatnonzero(flags)
-        if not len(on):
-            return []
-        new = np.flatnonzero(np.concatenate([[True], (of[on[1:]] != of[on[:-1]]) | (pos[on[1:]] != pos[on[:-1]] + 1)]))
-        a, b = on[new], on[np.append(new[1:] - 1, len(on) - 1)]
-        return [(k1[of[a]], k2[of[a]], pos[a], pos[b] + length)]
-
-    def packed(rows: list, again: list) -> Iterator[pa.RecordBatch]:
-        if rows:
-            k1, k2, a, b = (np.concatenate(x) for x in zip(*rows, strict=True))
-            none = pa.nulls(len(k1), pa.int64())
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (k1, k2, a, b)), none, pa.nulls(len(k1), pa.int32()), pa.nulls(len(k1), pa.binary())], OUT)
-        if again:
-            g, bucket, payload = zip(*again, strict=True)
-            none = pa.nulls(len(g), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(g, pa.int64()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary())], OUT)
+                key, n = np.unique(np.concatenate([s.left[s.left > 0], s.right[s.right > 0]]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+
+    keys = docs.select("k1", "text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
+    keys = materialize(keys, "stretches")
+    n_keys, total = keys.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    limit = max(LEAST_HOT, -(-total // (SHARES * partitions(spark))))
+    most = keys.groupBy(F.shiftright("key", 32).alias("name")).agg(F.sum("n").alias("n")).filter(F.col("n") > limit).collect()  # fewer than SHARES * partitions
+    names = np.array(sorted((r.name, -(-r.n // limit)) for r in most), np.int64).reshape(-1, 2)
+
+    def send(s: Scan, k1: np.ndarray, k2: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+        whole = s.raw.tobytes()
+        payload = [whole[a:b] for a, b in zip(s.starts[lo].tolist(), s.ends[hi + length - 1].tolist(), strict=True)]
+        doc, g, first = s.doc[own], s.anchor[own], lo - s.offsets[s.doc[own]]
+        name = (mix(g ^ np.uint64(BASE)).view(np.int64)) >> 32
+        salt = np.zeros(len(own), np.int64)
+        if len(names) and len(own):
+            at = np.minimum(np.searchsorted(names[:, 0], name), len(names) - 1)
+            of = np.where(names[at, 0] == name, names[at, 1], 0)
+            salt = np.where(of > 0, 1 + (mix(k1[doc].view(np.uint64) ^ first.astype(np.uint64)) % np.maximum(of, 1).astype(np.uint64)).astype(np.int64), 0)
+        return pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(salt, pa.int32()), pa.array(s.place[own] - lo, pa.int32()), pa.array(k1[doc]), pa.array(k2[doc]), pa.array(first, pa.int64()), pa.array(payload, pa.binary())], [x.split()[0] for x in RUNS.split(", ")])
+
+    if n_keys <= MOST_KEYS:
+        bits = min(MOST_BITS, max(10, int(16 * max(n_keys, 1)).bit_length()))
+        held = spark.sparkContext.broadcast(bitmap_of(keys, bits))  # bounded by MOST_BITS
+
+        def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def there(key: np.ndarray) -> np.ndarray:
+                bit = xxhash64(key) >> np.uint64(64 - bits)
+                return (key > 0) & ((held.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+            for batch in batches:
+                lo = 0
+                for k1, texts in in_parts(batch):
+                    k2 = batch.column(2).slice(lo, len(texts)).to_numpy()
+                    lo += len(texts)
+                    s = scan(texts, length, gram, words)
+                    yield send(s, k1.to_numpy(), k2, *trimmed(s, there(s.left), there(s.right), length, gram))
+
+        sent = docs.select("k1", "text", "k2").mapInArrow(filtered, RUNS)
+    else:
+        sent = by_joins(docs, keys, length, gram, words, send)
+
+    block = max(1, length // 12)
+
+    def again_rows(g, payload, lead, first, k1, k2, own, flags) -> Iterator[tuple]:
+        """Blocks of the strings of one shard of a hot anchor: those that it has once, and one copy of the others."""
+        seen: set[bytes] = set()
+        texts: set[bytes] = set()
+        for i in own:
+            text = payload[i]
+            if text in texts:
+                continue
+            texts.add(text)
+            starts, ends = symbol_bounds(text, words)
+            need = ~flags[i]
+            for t in np.flatnonzero(flags[i]).tolist():
+                string = text[starts[t] : ends[t + length - 1]]
+                if string not in seen:
+                    seen.add(string)
+                    need[t] = True
+            away = lead[i] - np.arange(len(need))
+            at = np.flatnonzero(need)
+            if not len(at):
+                continue
+            of = away[at] // block
+            cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist() + [len(at)]
+            for a, b in zip(cuts, cuts[1:]):
+                lo, hi, j = int(at[a]), int(at[b - 1]), int(of[a])
+                core = text[starts[lead[i] - j * block] : ends[lead[i] - j * block - block + length]]
+                mask = sum(1 << int(x - lo) for x in at[a:b])
+                yield hash_of(g + j, core), mask, k1[i], k2[i], int(first[i]) + lo, text[starts[lo] : ends[hi + length - 1]]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
             payload = table["payload"].to_pylist()
-            k1, k2, first, g, salt = (table[c].to_numpy() for c in ("k1", "k2", "first", "g", "salt"))
+            g, salt, lead, k1, k2, first = (table[c].to_numpy() for c in ("g", "salt", "lead", "k1", "k2", "first"))
             flags = recurring(payload)
-            counts = np.array([len(f) for f in flags])
-            rows = spans_of(k1, k2, first, np.concatenate(flags), counts)
-            again = []
-            shared = np.array([int(x) in hot for x in g]) if hot else np.zeros(len(g), bool)
+            yield spans_of(k1, k2, first, flags, length)
             groups: dict[tuple[int, int], list[int]] = {}
-            for i in np.flatnonzero(shared).tolist():
+            for i in np.flatnonzero(salt > 0).tolist():
                 groups.setdefault((int(g[i]), int(salt[i])), []).append(i)
             for (x, _), own in groups.items():
-                if contexts:
-                    hashes = []
-                    for i in own:
-                        raw = np.frombuffer(payload[i], np.uint8)
-                        at = np.arange(len(raw) - length + 1)
-                        hashes.append(range_hashes(prefix_sums(BYTE_VALUES[raw]), at, at + length))
-                else:
-                    hashes = [np.frombuffer(payload[i], np.uint64) for i in own]
-                seen, on, n = np.concatenate(hashes), np.concatenate([flags[i] for i in own]), counts[own]
-                of = np.repeat(own, n)
-                pos = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
-                marks = np.unique(seen[on])  # recur here: one entry stands for all
-                entries = np.zeros(len(marks) + int((~on).sum()), ENTRY)
-                entries["hash"] = np.concatenate([marks, seen[~on]])
-                entries["k1"], entries["k2"] = (np.concatenate([np.zeros(len(marks), np.int64), k[of[~on]]]) for k in (k1, k2))
-                entries["pos"] = np.concatenate([np.full(len(marks), -1), pos[~on]])
-                bucket = (entries["hash"] % np.uint64(hot[x])).astype(np.int64)
-                again += [(x, b, entries[bucket == b].tobytes()) for b in range(hot[x])]
-            yield from packed(rows, again)
-
-        held, size = [], 0
-        for batch in batches:
-            lo = 0
-            sizes = np.diff(np.frombuffer(batch.column(5).buffers()[1], np.int32)[batch.column(5).offset : batch.column(5).offset + batch.num_rows + 1])
-            g, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if held and batch.num_rows and size >= SHARD_BYTES and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (g[0], salt[0]):
-                yield from work(pa.Table.from_batches(held))
-                held, size = [], 0
-            borders = np.flatnonzero((g[1:] != g[:-1]) | (salt[1:] != salt[:-1])) + 1
-            upto = np.concatenate([[0], np.cumsum(sizes)])
-            for at in borders.tolist():
-                if size + upto[at] - upto[lo] >= SHARD_BYTES:
-                    yield from work(pa.Table.from_batches([*held, batch.slice(lo, at - lo)]))
-                    held, size, lo = [], 0, at
-            if lo < batch.num_rows:
-                held.append(batch.slice(lo))
-                size += int(upto[-1] - upto[lo])
-        if held:
-            yield from work(pa.Table.from_batches(held))
+                rows = list(again_rows(x, payload, lead, first, k1, k2, own, flags))
+                if rows:
+                    key, mask, a, b, at, text = zip(*rows, strict=True)
+                    none = pa.nulls(len(key), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(at, pa.int64()), none, pa.array(key, pa.int64()), pa.array(mask, pa.int64()), pa.array(text, pa.binary())], FOUND)
+
+        yield from in_shards(batches, ("g", "salt"), work)
 
     def compare_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(payload: list[bytes]) -> Iterator[pa.RecordBatch]:
-            entries = np.frombuffer(b"".join(payload), ENTRY)
-            _, inverse, n = np.unique(entries["hash"], return_inverse=True, return_counts=True)
-            on = entries[(n[inverse] > 1) & (entries["pos"] >= 0)]
-            on = on[np.lexsort((on["pos"], on["k2"], on["k1"]))]
-            if len(on):
-                new = np.flatnonzero(np.concatenate([[True], (on["k1"][1:] != on["k1"][:-1]) | (on["k2"][1:] != on["k2"][:-1]) | (on["pos"][1:] > on["pos"][:-1] + 1)]))
-                a, b = on[new], on[np.append(new[1:] - 1, len(on) - 1)]
-                yield from packed([(a["k1"].copy(), a["k2"].copy(), a["pos"].copy(), b["pos"] + length)], [])
-
-        held, name = [], None
+        def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            k1, k2, first = (table[c].to_numpy() for c in ("k1", "k2", "first"))
+            yield spans_of(k1, k2, first, recurring(table["payload"].to_pylist()), length)
+
+        yield from in_shards(batches, ("key",), work)
+
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for g, bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if held and (g, bucket) != name:
-                    yield from work(held)
-                    held = []
-                name = (g, bucket)
-                held.append(payload)
-        if held:
-            yield from work(held)
-
-    schema = "k1 long, k2 long, start long, stop long, g long, bucket int, payload binary"
-    sent = docs.select("k1", "text", "k2").mapInArrow(send, "g long, salt int, k1 long, k2 long, first long, payload binary")
-    found = materialize(sent.repartition("g", "salt").sortWithinPartitions("g", "salt").mapInArrow(compare, schema), "recurring")
-    spans = found.filter("k1 IS NOT NULL").select("k1", "k2", "start", "stop")
-    if hot:
-        again = found.filter("g IS NOT NULL").select("g", "bucket", "payload").repartition("g", "bucket").sortWithinPartitions("g", "bucket")
-        spans = spans.unionByName(again.mapInArrow(compare_again, schema).select("k1", "k2", "start", "stop"))
+            out = []
+            for k1, k2, first, mask, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "first", "mask", "payload")), strict=True):
+                starts, ends = symbol_bounds(text, words)
+                for t in range(len(starts) - length + 1):
+                    if mask >> t & 1:
+                        string = text[starts[t] : ends[t + length - 1]]
+                        out.append((k1, k2, first + t, hash_of(0, string), string))
+            if out:
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["k1", "k2", "first", "key", "payload"])
+
+    sent = sent.repartition("g", "salt").sortWithinPartitions("g", "salt")
+    found = materialize(sent.mapInArrow(compare, FOUND_TYPES), "recurring")
+    spans = found.filter("stop IS NOT NULL").select("k1", "k2", "start", "stop")
+    if len(names):
+        again = found.filter("stop IS NULL").select("k1", "k2", F.col("start").alias("first"), "key", "mask", "payload")
+        counts = materialize(again.groupBy("key").count(), "again")
+        bound = max(LEAST_HOT, -(-(counts.agg(F.sum("count")).first()[0] or 0) // (SHARES * partitions(spark))))
+        large = F.broadcast(counts.filter(F.col("count") > bound).select("key"))  # fewer than SHARES * partitions
+        rows = again.join(large, "key", "left_anti").select("k1", "k2", "first", "key", "payload")
+        rows = rows.unionByName(again.join(large, "key", "left_semi").select("k1", "k2", "first", "mask", "payload").mapInArrow(one_by_one, "k1 long, k2 long, first long, key long, payload binary"))
+        more = rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare_again, FOUND_TYPES)
+        spans = spans.unionByName(more.select("k1", "k2", "start", "stop"))
     return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
-OUT = ["k1", "k2", "start", "stop", "g", "bucket", "payload"]
-ENTRY = np.dtype([("hash", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("pos", "<i8")])
+def by_joins(docs: DataFrame, keys: DataFrame, length: int, gram: int, words: bool, send) -> DataFrame:
+    """What the bitmap does, without a broadcast: runs are joined with the stretches that recur, and what is left with its text."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo = 0
+            for k1, texts in in_parts(batch):
+                k2 = batch.column(2).slice(lo, len(texts)).to_numpy()
+                lo += len(texts)
+                s = scan(texts, length, gram, words)
+                at = s.first - s.offsets[s.doc]
+                for key, side in ((s.left, 1), (s.right, 2)):
+                    own = np.flatnonzero(key)
+                    yield pa.RecordBatch.from_arrays([pa.array(k1.to_numpy()[s.doc[own]]), pa.array(k2[s.doc[own]]), pa.array(at[own]), pa.array(np.full(len(own), side, np.int32)), pa.array(key[own].view(np.int64))], ["k1", "k2", "at", "side", "key"])
+
+    kept = docs.select("k1", "text", "k2").mapInArrow(runs, "k1 long, k2 long, at long, side int, key long").join(keys.select("key"), "key", "left_semi")
+    lists = kept.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "side")).alias("runs"))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo = 0
+            for k1, texts in in_parts(batch):
+                part = batch.slice(lo, len(texts))
+                lo += len(texts)
+                s = scan(texts, length, gram, words)
+                left, right = np.zeros(len(s.first), bool), np.zeros(len(s.first), bool)
+                wanted = {(i, x["at"], x["side"]) for i, own in enumerate(part.column(3).to_pylist()) for x in own}
+                for i, (d, at) in enumerate(zip(s.doc.tolist(), (s.first - s.offsets[s.doc]).tolist(), strict=True)):
+                    left[i], right[i] = (d, at, 1) in wanted, (d, at, 2) in wanted
+                yield send(s, k1.to_numpy(), part.column(2).to_numpy(), *trimmed(s, left, right, length, gram))
+
+    return docs.select("k1", "k2", "text").join(lists, ["k1", "k2"]).select("k1", "text", "k2", "runs").mapInArrow(chosen, RUNS)
+
+
+def symbol_bounds(text: bytes, words: bool) -> tuple[list[int], list[int]]:
+    if not words:
+        return range(len(text)), range(1, len(text) + 1)
+    gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32).tolist()
+    return [0, *(x + 1 for x in gaps)], [*gaps, len(text)]
+
+
+def hash_of(seed: int, text: bytes) -> int:
+    import xxhash
+
+    x = xxhash.xxh64_intdigest(text, seed & (2**64 - 1))
+    return x - (1 << 64) if x >> 63 else x
+
+
+FOUND_TYPES = "k1 long, k2 long, start long, stop long, key long, mask long, payload binary"
+FOUND = [x.split()[0] for x in FOUND_TYPES.split(", ")]
+
+
+def spans_of(k1: np.ndarray, k2: np.ndarray, first: np.ndarray, flags: list[np.ndarray], length: int) -> pa.RecordBatch:
+    """The maximal runs of flagged strings; one entry of k1, k2, first and flags for each stretch of text."""
+    counts = np.array([len(f) for f in flags])
+    of = np.repeat(np.arange(len(counts)), counts)
+    pos = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + first[of]
+    on = np.flatnonzero(np.concatenate(flags))
+    new = np.flatnonzero(np.concatenate([[True], (of[on[1:]] != of[on[:-1]]) | (pos[on[1:]] != pos[on[:-1]] + 1)])) if len(on) else on
+    a, b = on[new], on[np.append(new[1:] - 1, len(on) - 1)] if len(on) else on
+    n = len(a)
+    return pa.RecordBatch.from_arrays([pa.array(k1[of[a]]), pa.array(k2[of[a]]), pa.array(pos[a], pa.int64()), pa.array(pos[b] + length, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], FOUND)
+
+
+def in_shards(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], work) -> Iterator[pa.RecordBatch]:
+    """work on tables of whole groups (rows come sorted by the named columns) of about SHARD_BYTES together."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lo = 0
+        payload = batch.column("payload")
+        sizes = np.diff(np.frombuffer(payload.buffers()[1], np.int32)[payload.offset : payload.offset + batch.num_rows + 1])
+        columns = [batch.column(c).to_numpy() for c in names]
+        if held and size >= SHARD_BYTES and any(held[-1].column(c)[-1].as_py() != x[0] for c, x in zip(names, columns, strict=True)):
+            yield from work(pa.Table.from_batches(held))
+            held, size = [], 0
+        borders = np.flatnonzero(np.any([x[1:] != x[:-1] for x in columns], axis=0)) + 1
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        for at in borders.tolist():
+            if size + upto[at] - upto[lo] >= SHARD_BYTES:
+                yield from work(pa.Table.from_batches([*held, batch.slice(lo, at - lo)]))
+                held, size, lo = [], 0, at
+        if lo < batch.num_rows:
+            held.append(batch.slice(lo))
+            size += int(upto[-1] - upto[lo])
+    if held:
+        yield from work(pa.Table.from_batches(held))
 
 
 def merged(spans: np.ndarray) -> np.ndarray:

@@ -1,8 +1,9 @@
 """Suffix-array deduplication with the difference-cover algorithm.
 
 Two equal strings of 400 bytes have the same anchor (see repeats.py), so the anchors deal the corpus out to shards in
-which all strings that can be equal lie together; texts that stand in a shard more than once are sorted once. Each
-shard's suffix array is then built by the difference-cover algorithm modulo 3: the sampled suffixes (positions 1 and 2
+which all strings that can be equal lie together; texts that stand in a shard more than once are sorted once. The
+suffixes are thus put in order shard by shard, not in one order of the whole corpus, whose triples and names would move
+some forty times the input through shuffles. Each shard's suffix array is built by the difference-cover algorithm modulo 3: the sampled suffixes (positions 1 and 2
 modulo 3) are sorted by their triples, the names of the triples form a string that is sorted recursively, the remaining
 suffixes follow by their first byte and the rank of the next one, and both orders are merged. Strings recur where a
 suffix shares 400 bytes with a neighbour in the order.
@@ -169,7 +170,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, id_col: s
 
     Texts are UTF-8 bytes, a null text none. Every byte that a string of `length` bytes covers that also starts
     anywhere else is removed, in repeated rows as well; strings don't cross texts. Kept bytes may end inside a
-    character, so they are binary. An empty table gives an empty result.
+    character, so they are binary. An empty table gives an empty result. A very long text is handled whole, in the
+    memory of one task (some 60 bytes a byte of it). Other columns are ignored, whatever their names are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +189,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, id_col: s
                 yield pa.RecordBatch.from_arrays([names, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, SPAN_TYPE), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     texts = keyed(docs, text_col, id_col)
-    spans = recurring_spans(texts, length, gram, False, True, recurring_suffixes(length))
+    spans = recurring_spans(texts, length, gram, False, recurring_suffixes(length))
     joined = texts.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
