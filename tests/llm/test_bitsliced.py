@@ -11,11 +11,11 @@ from thalweg.llm import bitsliced
 
 
 def brute(rows, k):
-    ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, n, [math.floor(256 * float(np.float32(x))) for x in v]) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in ok:
+    for q, m, v in ok:
         if q % 3 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q and len(w) == len(v))[:k]
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, n, w in ok if n != m and len(w) == len(v))[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -27,7 +27,7 @@ def test_top_k_equals_brute_force(spark, block, monkeypatch):
     rng = random.Random(block)
     rows = [(i, [rng.gauss(0, 0.2) for _ in range(6)]) for i in range(300)]
     rows += [(300 + i, [0.5, -0.5, 0.25, 0.0, 0.1, 0.1]) for i in range(80)]  # a large group of ties
-    rows += [(400, None), (401, [None] * 6), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (404, []), (405, []), (406, [1.0]), (407, [2.0]), (408, [-3.0]), (None, [0.1] * 6), (409, [0.0] * 6)]
+    rows += [(400, None), (401, [None] * 6), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (404, []), (405, []), (406, [1.0]), (407, [2.0]), (408, [-3.0]), (None, [0.1] * 6), (409, [0.0] * 6), (0, [0.3] * 6), (0, [0.3] * 6), (3, [9.0] * 6), (411, [300.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("dims", F.lit("x")).repartition(3)
     got = sorted(map(tuple, bitsliced.top_k(df, F.col("vec_id") % 3 == 0).collect()))
     assert got == brute(rows, 5)
@@ -49,3 +49,9 @@ def test_adders():
     full = (1 << slices.shape[1]) - 1
     base = np.where(query >= 0, query * low, query * (low + full)).sum()
     assert ((bits << np.arange(len(scores))[:, None]).sum(axis=0) + base == grid @ query).all()
+
+
+def test_repeated_identifiers_are_rows_of_their_own(spark):
+    df = spark.createDataFrame([(0, [1.0]), (0, [2.0]), (1, [0.5]), (2, [0.25])], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in bitsliced.top_k(df, F.col("vec_id") == 0, k=2, scale=4).collect())
+    assert got == [(0, 1, 0, 32), (0, 1, 0, 32), (0, 2, 1, 8), (0, 2, 1, 16)]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -18,6 +19,9 @@ def table(spark, texts, start=0):
     return spark.createDataFrame([(i + start, t, None) for i, t in enumerate(texts)], SCHEMA)
 
 
+rows_of = table
+
+
 AWKWARD = ["", None, "a", " ", "the same text", "the same text", "Straße ñandú\t日本語 😀\n\r\nx", "word " * 3000, "a" * 3000, "don't we'll 12 345 --- ...  ", "<|endoftext|> x", "é combined", "\x1f x\x1cy z w"]
 
 
@@ -39,6 +43,58 @@ def test_byte_bpe_equals_tiktoken(spark):
         assert digests[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_long_pieces_equal_tiktoken():
+    import tiktoken
+
+    vocab = bpe.vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    right = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab.ranks, special_tokens={})
+    rng = random.Random(6)
+    pieces = ["".join(rng.choice("abcdeiorst") for _ in range(n)) for n in (1023, 1024, 1025, 5000)] + ["ab" * 3000, "a" * 2049, "ñandú" * 900, "日本" * 700]
+    assert [list(x) for x in bpe.Encoder(vocab).encode(pieces)] == [right.encode_ordinary(p) for p in pieces]
+    for p in pieces:  # one piece, whatever the pattern makes of it
+        assert vocab.merge_linked(p.encode()[:1500]) == vocab.merge(vocab.byte_id[np.frombuffer(p.encode()[:1500], np.uint8)][None, :], np.array([len(p.encode()[:1500])]))[0]
+    million = "".join(rng.choice("abcdeiorstnlu") for _ in range(1_000_000))
+    began = time.time()
+    ids = next(bpe.Encoder(vocab).encode([million]))
+    assert bpe.Encoder(vocab).decode(ids) == million.encode() and time.time() - began < 60
+
+
+def test_repeated_rows_clashing_columns_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "a b", "x", "x"), (1, "a b", "x", "x"), (None, None, None, None)], "doc_id long, text string, ids string, row_no string")
+    assert sorted((r.doc_id or 0, len(r.ids)) for r in bpe.encode_texts(df).collect()) == [(0, 0), (1, 2), (1, 2)]
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in bpe.encode_digests(df).collect()) == [(0, 0), (1, 2), (1, 2)]
+    assert bpe.encode_digests(df.limit(0)).count() == 0
+    pieces = packing.pack(df).collect()
+    assert sorted((r.doc_id or 0, r.start, r.doc_tokens) for r in pieces) == [(0, 0, 1), (1, 0, 3), (1, 0, 3)]
+    assert sorted(r.offset for r in pieces) in ([0, 1, 4], [0, 3, 4], [0, 3, 6])
+    scanned = secrets.scan(df.withColumn("secret_spans", secrets.F.lit("x"))).collect()
+    assert len(scanned) == 3 and all(r.secret_spans == [] for r in scanned)
+
+
+def test_packing_of_a_text_with_very_many_words(spark):
+    """More words in one text than a worker remembers."""
+    text = " ".join(map(str, range(1_300_000)))
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    ids, counts = encoder.encode(["one 7", text, "7 one"])
+    assert encoder.known <= packing.MOST_WORDS and counts.sum() == len(ids)
+    lo = int(counts[0])
+    for a, b in ((0, 3000), (699_000, 702_000), (1_297_000, 1_300_000)):
+        part = " ".join(map(str, range(a, b)))
+        want = encoder.tokenizer.encode(part, add_special_tokens=False).ids
+        found = np.lib.stride_tricks.sliding_window_view(ids[lo : lo + counts[1]], len(want))
+        assert (found[:, :8] == want[:8]).all(axis=1).any() and any((found[i] == want).all() for i in np.flatnonzero((found[:, :8] == want[:8]).all(axis=1)))
+    assert sorted(ids[: counts[0]].tolist()) == sorted(ids[-counts[2] :].tolist())
+
+
+def test_packing_compares_words_not_only_hashes(monkeypatch):
+    encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    right = encoder.tokenizer
+    monkeypatch.setattr(encoder, "hashes", lambda raw, start, end: np.full(len(start), 12345 << 40, np.uint64) + (end - start).astype(np.uint64) % np.uint64(2))
+    texts = ["the cat, the dog and the bird.", "dog dog cat 日本 über"]
+    ids, counts = encoder.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [right.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_covers_every_token_once(spark):
     from tokenizers import Tokenizer
 
@@ -110,6 +166,40 @@ def test_secret_scan_equals_brute_force(spark):
         assert r.clean == out + text[at:]
 
 
+def brute_ratios(samples):
+    """The table of log-likelihood ratios, counted pair by pair."""
+    place = {c: i for i, c in enumerate(secrets.ALPHABET)} | {"-": 62, "_": 63}
+    counts = np.ones((2, 64, 64))
+    for word, label in samples:
+        for a, b in zip(word, word[1:]):
+            if a in place and b in place:
+                counts[label, place[a], place[b]] += 1
+    logs = np.log(counts / counts.sum(axis=2, keepdims=True))
+    return logs[1] - logs[0], place
+
+
+def test_markov_spans_equal_brute_force(spark):
+    table, place = brute_ratios(secrets.labelled_samples())
+    assert np.allclose(np.array(secrets.train(spark)).reshape(64, 64), table)
+    rng = random.Random(12)
+    bits = ["aB3dE6gH9jK2mN5pQ8sT", "internationalization", "get_user_name_list_from_table", "Xk", "/usr/share/doc/package", "QWxhZGRpbjpvcGVuIHNlc2FtZQ==", " ", "-", "é", "_", "0123456789012345", "zqxjkvbpzqxjkvbp", "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(200)] + [" ".join(["aB3dE6gH9jK2mN5pQ8sT"] * 700)]
+    for r in secrets.scan(rows_of(spark, texts)).collect():
+        want = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", r.text) if sum(round(table[place[a], place[b]], 6) for a, b in zip(m[0], m[0][1:])) >= secrets.THRESHOLD]
+        assert [(s.start, s.stop) for s in r.secret_spans if s.kind == 3] == want
+
+
+def test_markov_model_on_held_out_samples(spark):
+    """Random keys of 16 characters or more, with and without digits, against words and identifiers that the sample lacks."""
+    rng = random.Random(13)
+    keys = ["".join(rng.choice(secrets.ALPHABET[:k]) for _ in range(n)) for k in (52, 62) for n in (16, 20, 28, 40) for _ in range(50)]
+    names = "internationalization misunderstandings compute_average_of_rows RequestHandlerFactory src/main/resources/static Donaudampfschifffahrt responsabilidades anticonstitutionnellement wholeStageCodegenEnabled MAX_RETRY_ATTEMPTS_ALLOWED two-thousand-and-seventeen org/example/project/module telecommunications deinstitutionalized".split()
+    got = {r.doc_id: len(r.secret_spans) for r in secrets.scan(table(spark, keys + names)).collect()}
+    recall = sum(got[i] > 0 for i in range(len(keys))) / len(keys)
+    false = [n for i, n in enumerate(names) if got[len(keys) + i]]
+    assert recall >= 0.95 and len(false) <= 1, (recall, false)
+
+
 def test_markov_model_tells_random_from_names(spark):
     texts = ["key q8Zt3LmN0pXv7RkJw2Yb5HdG here", "call get_user_name_list_from_table_2 now", "theation erthingentionandwhere2021 x", "https://example.com/path/to/page/number/17"]
     rows = secrets.scan(table(spark, texts)).orderBy("doc_id").collect()

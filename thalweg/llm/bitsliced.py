@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-BLOCK_ROWS, CHUNK_QUERIES = 8192, 64
+BLOCK_ROWS, CHUNK_QUERIES = 1 << 16, 64
 
 
 def quantise(vector: str, scale: int) -> Column:
@@ -100,17 +100,21 @@ def top_rows(scores: np.ndarray, among: np.ndarray, ids: np.ndarray, k: int) ->
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (long) of the k rows of highest score of each query row.
 
-    A query's candidates are all usable rows of its length but those of its own identifier; repeated rows are
-    candidates each. Rows of null identifier take no part. An empty table has no result.
+    A query's candidates are all usable rows of its length but itself; repeated rows are candidates each, also of one
+    another, and queries of one identifier have their own answers each. Rows of null identifier take no part. Ties go to
+    the smaller identifier. An empty table has no result; other columns are ignored, whatever their names are.
+
+    Queries meet every block, so what is sent is rows * queries / BLOCK_ROWS narrow integers a component, and the work of
+    an exact search, rows * queries, is what grows fastest.
     """
     spark = vectors.sparkSession
     rows = vectors.filter(usable(vector_col) & F.col(id_col).isNotNull()).withColumn("asked", F.coalesce(is_query, F.lit(False)))
-    rows = materialize(rows.select(F.col(id_col).cast("long").alias("vec_id"), quantise(vector_col, scale).alias("v"), F.size(vector_col).alias("dims"), "asked"), "quantised")
+    rows = materialize(rows.select(F.col(id_col).cast("long").alias("vec_id"), quantise(vector_col, scale).alias("v"), F.size(vector_col).alias("dims"), "asked", F.monotonically_increasing_id().alias("row_no")), "quantised")
     n = rows.count()
     blocks, chunks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-rows.filter("asked").count() // CHUNK_QUERIES))
 
     def packed(df: DataFrame, parts: int, work, schema: str) -> DataFrame:
-        df = df.select("dims", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), "vec_id", "v")
+        df = df.select("dims", F.pmod(F.xxhash64("row_no"), F.lit(parts)).cast("int").alias("part"), "vec_id", "row_no", "v")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
@@ -132,19 +136,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             for i in range(stop):
                 end = first[i + 1] if i + 1 < len(first) else len(dims)
                 own = table.slice(first[i], end - first[i]).combine_chunks()
-                ids = own["vec_id"].to_numpy()
+                ids, numbers = own["vec_id"].to_numpy(), own["row_no"].to_numpy()
                 grid = own["v"].chunk(0).flatten().to_numpy().reshape(len(ids), dims[first[i]]) if dims[first[i]] else np.zeros((len(ids), 0), np.int64)
-                yield work(int(dims[first[i]]), int(part[first[i]]), ids, grid)
+                yield work(int(dims[first[i]]), int(part[first[i]]), ids, numbers, grid)
             rest[0] = table.slice(first[stop]) if stop < len(first) else table.slice(len(dims))
 
-        return df.repartition("dims", "part").sortWithinPartitions("dims", "part", "vec_id").mapInArrow(run, schema)
+        return df.repartition("dims", "part").sortWithinPartitions("dims", "part", "vec_id", "row_no").mapInArrow(run, schema)
 
-    def index_block(dims, part, ids, grid):
+    def index_block(dims, part, ids, numbers, grid):
         low, slices = slices_of(grid) if dims else (np.zeros(0, np.int64), np.zeros((0, 1, -(-len(ids) // 64)), np.uint64))
-        return pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "block": pa.array([part], pa.int32()), "ids": [ids.tobytes()], "low": [low.tobytes()], "bits": pa.array([slices.shape[1]], pa.int32()), "slices": [slices.tobytes()]})
+        return pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "block": pa.array([part], pa.int32()), "ids": [ids.tobytes()], "numbers": [numbers.tobytes()], "low": [low.tobytes()], "bits": pa.array([slices.shape[1]], pa.int32()), "slices": [slices.tobytes()]})
 
-    def query_chunk(dims, part, ids, grid):
-        return pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "chunk": pa.array([part], pa.int32()), "query_ids": [ids.tobytes()], "queries": [np.ascontiguousarray(grid).tobytes()]})
+    def query_chunk(dims, part, ids, numbers, grid):
+        width = next(t for t in ("<i2", "<i4", "<i8") if abs(grid).max(initial=0) <= np.iinfo(t).max)
+        grid = grid.astype(width)
+        return pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "chunk": pa.array([part], pa.int32()), "query_ids": [ids.tobytes()], "query_numbers": [numbers.tobytes()], "width": [width], "queries": [np.ascontiguousarray(grid).tobytes()]})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,12 +159,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
                 words = -(-len(ids) // 64)
                 slices = np.frombuffer(row["slices"], np.uint64).reshape(row["dims"], row["bits"], words)
                 there = np.packbits(np.arange(words * 64) < len(ids), bitorder="little").view(np.uint64)
-                query_ids = np.frombuffer(row["query_ids"], np.int64)
-                queries = np.frombuffer(row["queries"], np.int64).reshape(len(query_ids), row["dims"])
-                found: list[tuple[int, np.ndarray, np.ndarray]] = []
-                for query_id, query in zip(query_ids.tolist(), queries, strict=True):
+                numbers = np.frombuffer(row["numbers"], np.int64)
+                query_ids, query_numbers = (np.frombuffer(row[k], np.int64) for k in ("query_ids", "query_numbers"))
+                queries = np.frombuffer(row["queries"], row["width"]).reshape(len(query_ids), row["dims"]).astype(np.int64)
+                found: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+                for query_id, number, query in zip(query_ids.tolist(), query_numbers.tolist(), queries, strict=True):
                     among = there
-                    if len(own := np.flatnonzero(ids == query_id)):
+                    if len(own := np.flatnonzero(numbers == number)):
                         among = there.copy()
                         np.bitwise_and.at(among, own // 64, ~(np.uint64(1) << (own % 64).astype(np.uint64)))
                     scores = add_slices(slices, query)
@@ -166,13 +173,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
                     bits = (scores[:, top // 64] >> (top % 64).astype(np.uint64)) & np.uint64(1)
                     full = (1 << row["bits"]) - 1
                     base = int(np.where(query >= 0, query * low, query * (low + full)).sum())
-                    found.append((query_id, ids[top], base + (bits.astype(np.int64) << np.arange(len(scores))[:, None]).sum(axis=0)))
-                counts = [len(x[1]) for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in found], counts), pa.int64()), pa.array(np.concatenate([x[1] for x in found]), pa.int64()), pa.array(np.concatenate([x[2] for x in found]), pa.int64())], ["query_id", "vec_id", "score"])
+                    found.append((query_id, number, ids[top], numbers[top], base + (bits.astype(np.int64) << np.arange(len(scores))[:, None]).sum(axis=0)))
+                counts = [len(x[2]) for x in found]
+                each = [np.repeat([x[k] for x in found], counts) for k in (0, 1)] + [np.concatenate([x[k] for x in found]) for k in (2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in each], ["query_id", "query_number", "vec_id", "row_no", "score"])
 
-    index = packed(rows, blocks, index_block, "dims int, block int, ids binary, low binary, bits int, slices binary")
-    asked = packed(rows.filter("asked"), chunks, query_chunk, "dims int, chunk int, query_ids binary, queries binary")
+    index = packed(rows, blocks, index_block, "dims int, block int, ids binary, numbers binary, low binary, bits int, slices binary")
+    asked = packed(rows.filter("asked"), chunks, query_chunk, "dims int, chunk int, query_ids binary, query_numbers binary, width string, queries binary")
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = index.join(asked, ["dims", "block"]).select("dims", "ids", "low", "bits", "slices", "query_ids", "queries").mapInArrow(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = index.join(asked, ["dims", "block"]).select("dims", "ids", "numbers", "low", "bits", "slices", "query_ids", "query_numbers", "width", "queries").mapInArrow(search, "query_id long, query_number long, vec_id long, row_no long, score long")
+    best = Window.partitionBy("query_id", "query_number").orderBy(F.desc("score"), "vec_id", "row_no")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,13 +3,16 @@
 The texts of a batch are cut into pieces by the vocabulary's pattern. Pieces that this worker has not seen yet are
 encoded together: they are grouped by length into buckets, each bucket is a matrix of token ids with one row a piece,
 and in every round each row looks all its neighbouring pairs up in a hash table, merges its leftmost pair of lowest
-rank, and is compacted by one column. Rows without a pair that can merge leave the matrix.
+rank, and is compacted by one column. Rows without a pair that can merge leave the matrix. A piece of more than LONG
+bytes is a bucket of its own whose row is linked instead of compacted: its pairs wait in a heap by rank and place, so
+the leftmost pair of lowest rank is merged each time here too, in n log n instead of n * n steps.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -25,6 +28,7 @@ from .common import text_of
 NONE = np.int64(1 << 40)
 #: A worker forgets its pieces beyond this number, so its memory does not grow with the input.
 MOST_PIECES = 400_000
+LONG = 1024
 
 
 class PairTable:
@@ -75,7 +79,7 @@ class Vocabulary:
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
                     pairs[a, b] = rank
-        self.pairs = PairTable(pairs)
+        self.pairs, self.rank_of = PairTable(pairs), pairs
 
     def encode_pieces(self, pieces: list[bytes], cells: int = 1 << 20) -> list[list[int]]:
         """Ids of each piece; a piece that is a token is that token, as tiktoken has it."""
@@ -84,6 +88,8 @@ class Vocabulary:
         for i, piece in enumerate(pieces):
             if piece in self.ranks:
                 out[i] = [self.ranks[piece]]
+            elif len(piece) > LONG:
+                out[i] = self.merge_linked(piece)
             else:
                 by_length.setdefault(max(4, 1 << (len(piece) - 1).bit_length()), []).append(i)
         for width, members in by_length.items():
@@ -96,6 +102,30 @@ class Vocabulary:
                     out[i] = ids
         return out
 
+    def merge_linked(self, piece: bytes) -> list[int]:
+        ids = self.byte_id[np.frombuffer(piece, np.uint8)]
+        n = len(ids)
+        first = self.pairs.find(ids[:-1], ids[1:])
+        ids, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        ids.append(-1)
+        heap = [(int(first[i]), i) for i in np.flatnonzero(first != NONE).tolist()]
+        heapq.heapify(heap)
+        rank_of = self.rank_of
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i] if ids[i] >= 0 else n
+            if j >= n or rank_of.get((ids[i], ids[j])) != rank:
+                continue  # one of the two has been merged since
+            k = after[j]
+            ids[i], ids[j], after[i] = rank, -1, k
+            if k < n:
+                before[k] = i
+                if (x := rank_of.get((rank, ids[k]))) is not None:
+                    heapq.heappush(heap, (x, i))
+            if (h := before[i]) >= 0 and (x := rank_of.get((ids[h], rank))) is not None:
+                heapq.heappush(heap, (x, h))
+        return [x for x in ids if x >= 0]
+
     def merge(self, grid: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
         """Rounds of merges; grid holds ids from the left, then -1."""
         done: list[list[int]] = [[]] * len(grid)
@@ -168,7 +198,11 @@ def in_parts(batch: pa.RecordBatch, size: int = 1 << 21) -> Iterator[tuple[pa.Ar
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids (array of int), decoded (binary) of every row; a null or empty text gives no ids. No shuffle."""
+    """doc_id, ids (array of int), decoded (binary) of every row; a null or empty text gives no ids. No shuffle.
+
+    Repeated rows give the same ids each. Texts and pieces are encoded whole, however long. An empty table gives no row;
+    other columns are ignored, whatever their names are.
+    """
     path, pattern = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ def op1_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents has no paths, so each document is filed by its source and, like shelves, by the hundreds and tens of its identifier."""
+    """documents has no paths, so each document is filed by its source and, like shelves, by the thousands and twenties of its identifier."""
     shelf = lambda n: F.floor(F.col("doc_id") / n).cast("string")
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), shelf(1000), shelf(20), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return licenses.scan(read(spark, sf_dir, "documents"), path)
@@ -82,13 +82,13 @@ SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(COALESCE(len(gone),
 FROM docs d LEFT JOIN removed r ON r.doc_id = d.doc_id""",
     "op7_bitsliced_topk": """
 WITH rows AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM rows q JOIN rows r ON q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id
+  SELECT q.vec_id AS query_id, q.row_no AS query_no, r.row_no, r.vec_id, CAST(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM rows q JOIN rows r ON q.vec_id % 50 = 0 AND r.row_no <> q.row_no AND len(r.v) = len(q.v)
 )
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, query_no ORDER BY score DESC, vec_id, row_no) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5""",
     "op10_tree_merge_dedup": """
 SELECT doc_id, MAX(doc_id) OVER (PARTITION BY COALESCE(text, '')) AS keep_id, COUNT(*) OVER (PARTITION BY COALESCE(text, '')) AS group_size,

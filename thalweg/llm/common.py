@@ -18,12 +18,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one if it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one if it is unset and the master local (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     held = spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="thalweg-"))
         held = spark.sparkContext.getCheckpointDir()
     return held
@@ -58,14 +60,23 @@ def join_hot(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> D
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key))
 
 
-def keep_rows(docs: DataFrame, keys: dict[str, Column], kept: DataFrame) -> DataFrame:
-    """The rows of docs whose keys are in kept, all columns; of rows with equal keys exactly one.
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-    keys names the key columns and says how docs gives them; kept has them as its columns. Rows with equal keys are
+
+def keep_rows(docs: DataFrame, keys: list[Column], kept: DataFrame) -> DataFrame:
+    """The rows of docs whose keys are in kept, all columns under their own names; of rows with equal keys exactly one.
+
+    keys says how docs gives them; kept has them as its columns, in that order. Rows with equal keys are
     interchangeable (the keys cover the identifier and the whole text), so any one of them may stay.
     """
-    names = list(keys)
-    held = docs.withColumns(keys)
+    names = [fresh(docs, f"key{i}") for i in range(len(keys))]
+    kept = kept.toDF(*names)
+    held = docs.withColumns(dict(zip(names, keys, strict=True)))
     twins = materialize(held.groupBy(*names).count().filter("count > 1").select(*names), "twins")
     out = held.join(kept.select(*names).distinct(), names, "left_semi")
     if not twins.isEmpty():

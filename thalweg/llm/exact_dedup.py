@@ -85,6 +85,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 4) -> DataFrame:
     """docs, all columns, without the rows that exact_dedup does not keep."""
-    of = lambda digest, name: {"_k1": F.xxhash64(name, digest), "_k2": F.xxhash64(digest, F.lit(1), name)}
-    kept = exact_dedup(docs, id_col, text_col, fan_in).filter("kept").withColumns(of(F.col("text_sha256"), "doc_id"))
+    of = lambda digest, name: [F.xxhash64(name, digest), F.xxhash64(digest, F.lit(1), name)]
+    kept = exact_dedup(docs, id_col, text_col, fan_in).filter("kept").select(*of(F.col("text_sha256"), F.col("doc_id")))
     return keep_rows(docs, of(F.sha2(text_of(text_col), 256), F.col(id_col).cast("long")), kept)

@@ -1,7 +1,7 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-1. Every line of every text that has a cue word is a header; a long line is cut to the words around each cue. A file
-   whose name says that it holds a license is one unit as a whole. In all other texts with a cue word, paragraphs joined
+1. Every line of every text that has a cue word is a header, however long it is. A file whose
+   name says that it holds a license is one unit as a whole. In all other texts with a cue word, paragraphs joined
    over their line breaks, their sentences, and windows of each template's length around every cue are compared too.
 2. Headers become sparse term vectors. A term's weight is log((N + 1) / (df + 1)) + 1 over all N headers of the corpus
    for terms of the templates, and that of df = 0 for all others, so the only statistics that leave the executors are
@@ -67,8 +67,6 @@ TEMPLATES = (
 CUE = r"(?i)\b(?:licen[cs]e[ds]?|spdx|copyright|all rights reserved|public domain|creative commons|permission is hereby|redistribution and use|redistribute it|proprietary)\b"
 TERM = r"[a-z]+|[0-9]+(?:\.[0-9]+)?"
 FILE_NAME = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense|notice)(?:[.-][^/]*)?$"
-LONG_LINE = 400  #: characters beyond which the surroundings of each cue are taken instead of the line
-AROUND = rf"(?i)[^\n]{{0,160}}\b{CUE[6:]}[^\n]{{0,240}}"
 THRESHOLD, FILE_SHARE = 0.6, 0.2
 
 
@@ -77,10 +75,9 @@ def terms_of(text: Column) -> Column:
 
 
 def headers_of(text: Column) -> Column:
-    """The lines with a cue, in order; of long lines what stands around each cue."""
+    """The lines with a cue, in order, whole."""
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(CUE))
-    cut = F.flatten(F.transform(lines, lambda line: F.when(F.length(line) <= LONG_LINE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(AROUND), F.lit(0)))))
-    return F.when(text.rlike(CUE), cut).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(CUE), lines).otherwise(F.array().cast("array<string>"))
 
 
 def template_terms(spark: SparkSession, templates) -> DataFrame:
@@ -239,8 +236,9 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     of_dir = of_dir.select("above", F.col("b.license").alias("dir_license"), (-F.col("b.less")).alias("dir_cosine"))
     dirs = marked.groupBy("dir").agg(F.count("*").alias("n_files"))
     up = dirs.select("dir", "n_files", F.explode(ancestors(F.col("dir"))).alias("a")).select("dir", "n_files", "a.above", "a.depth")
-    near = up.join(of_dir, "above", "left").groupBy("dir", "n_files").agg(F.max_by(F.struct("above", "dir_license", "dir_cosine"), F.when(F.col("dir_license").isNotNull(), F.col("depth"))).alias("near"))
-    near = materialize(near, "license-directories")
+    below = up.groupBy("above").agg(F.count("*").alias("n_below"))  # of the root, all directories
+    found = join_hot(up, of_dir.join(below, "above"), ["above"], "n_below").groupBy("dir").agg(F.max_by(F.struct("above", "dir_license", "dir_cosine"), "depth").alias("near"))
+    near = materialize(dirs.join(found, "dir", "left"), "license-directories")
     kept = F.col("license").isNotNull()
     inherited = F.col("near.dir_license")
     return join_hot(marked, near, ["dir"], "n_files").select(

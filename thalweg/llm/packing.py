@@ -27,7 +27,8 @@ from .bpe import in_parts
 from .common import materialize, partitions, text_of
 
 BUCKETS, DIMS, BITS = 1024, 4, 8
-MOST_WORDS, TABLE_BITS = 1_200_000, 22
+MOST_WORDS, TABLE_BITS = 1_200_000, 22  # words that a worker remembers; beyond them it starts anew
+AT_ONCE = 500_000  # words of a text that are looked up together
 BASE = 0x9E3779B97F4A7C15
 #: Letters that Unicode normalisation leaves alone and that have one lower-case form.
 PLAIN = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+")
@@ -78,7 +79,8 @@ def document_keys(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 class WordEncoder:
     """Ids of whole texts. The tokenizer lower-cases, drops white space and never looks across it, so each word is
-    encoded once, without a full stop or comma behind its last letter, and found again by the hash of its bytes.
+    encoded once, without a full stop or comma behind its last letter, and found again by the hash of its bytes; then
+    the bytes are compared, and a word that another one's hash led astray is encoded by itself.
 
     New words of plain letters go to the tokenizer together, in one text: each is one token sequence that ends with the
     only token that ends a word, so the ids fall apart again at those. Other new words are encoded one by one.
@@ -103,6 +105,8 @@ class WordEncoder:
         self.keys, self.at = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.int64)
         self.first, self.size = np.zeros(MOST_WORDS + 1, np.int64), np.zeros(MOST_WORDS + 1, np.int64)
         self.known, self.pool, self.used = 1, np.zeros(1 << 20, "<u2"), 0  # word 0 is the empty word
+        self.letters, self.letters_used = np.zeros(1 << 20, np.uint8), 0
+        self.letter_at, self.letter_n = np.zeros(MOST_WORDS + 1, np.int64), np.zeros(MOST_WORDS + 1, np.int64)
 
     def one(self, word: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u2")
@@ -133,6 +137,13 @@ class WordEncoder:
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), "<u2")])
         new = np.arange(self.known, self.known + len(words))
+        spelt = [w.encode() for w in words]
+        lengths = np.array([len(x) for x in spelt])
+        while self.letters_used + int(lengths.sum()) > len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros(len(self.letters), np.uint8)])
+        self.letters[self.letters_used : self.letters_used + int(lengths.sum())] = np.frombuffer(b"".join(spelt), np.uint8)
+        self.letter_at[new], self.letter_n[new] = self.letters_used + np.cumsum(lengths) - lengths, lengths
+        self.letters_used += int(lengths.sum())
         self.pool[self.used : self.used + len(flat)] = flat
         self.first[new], self.size[new] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used, self.known = self.used + len(flat), self.known + len(words)
@@ -163,6 +174,15 @@ class WordEncoder:
         letter = (before >= 97) & (before <= 122) | (before >= 0x80) & (raw[np.maximum(end - 3, 0)] == 0xC3) & (before != 0x97) & (before != 0xB7)
         marked = (end - start > 1) & letter & ((last == 46) | (last == 44))
         stem = end - marked
+        parts = [self.ids_of(raw, start[lo : lo + AT_ONCE], stem[lo : lo + AT_ONCE], marked[lo : lo + AT_ONCE], last[lo : lo + AT_ONCE]) for lo in range(0, len(start), AT_ONCE)]
+        ids = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, "<u2")
+        total = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+        borders = np.cumsum([1] + [len(c) + 1 for c in coded])
+        upto = np.concatenate([[0], np.cumsum(total)])[np.searchsorted(start, borders)]
+        return ids, np.diff(upto)
+
+    def ids_of(self, raw: np.ndarray, start: np.ndarray, stem: np.ndarray, marked: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words raw[start:stem], each with its mark, one after the other, and how many each has."""
         keys, index, inverse = np.unique(self.hashes(raw, start, stem), return_index=True, return_inverse=True)
         if self.known + len(keys) > MOST_WORDS:
             self.clear()
@@ -173,6 +193,11 @@ class WordEncoder:
                 part = new[lo : lo + 20_000]
                 self.learn(keys[part], [whole[a:b].decode() for a, b in zip(start[index[part]].tolist(), stem[index[part]].tolist(), strict=True)])
         word = self.at[self.slots(keys)][inverse]
+        for i in self.strangers(raw, start, stem, word).tolist():
+            if self.known >= len(self.first):
+                self.grow()
+            self.learn(np.zeros(0, np.uint64), [raw[start[i] : stem[i]].tobytes().decode()])
+            word[i] = self.known - 1
         size = self.size[word]
         total = size + marked
         at = np.cumsum(total) - total
@@ -181,9 +206,23 @@ class WordEncoder:
         source[place] = 0
         ids = self.pool[source]
         ids[place] = np.where(last[marked] == 46, self.marks[46][0], self.marks[44][0])
-        borders = np.cumsum([1] + [len(c) + 1 for c in coded])
-        upto = np.concatenate([[0], np.cumsum(total)])[np.searchsorted(start, borders)]
-        return ids, np.diff(upto)
+        return ids, total
+
+    def strangers(self, raw: np.ndarray, start: np.ndarray, stem: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Which words differ in their bytes from those that they were found as."""
+        size = stem - start
+        odd = self.letter_n[word] != size
+        size = np.where(odd, 0, size)
+        shift = np.cumsum(size) - size
+        step = np.arange(int(size.sum()))
+        differ = raw[np.repeat(start - shift, size) + step] != self.letters[np.repeat(self.letter_at[word] - shift, size) + step]
+        if differ.any():
+            odd[np.searchsorted(shift, np.flatnonzero(differ), "right") - 1] = True
+        return np.flatnonzero(odd)
+
+    def grow(self) -> None:
+        """Room for more words than are remembered, until the next start."""
+        self.first, self.size, self.letter_at, self.letter_n = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.first, self.size, self.letter_at, self.letter_n))
 
 
 @lru_cache(maxsize=1)
@@ -220,7 +259,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """One row for each piece of a document: doc_id, start, length, doc_tokens, sequence_id, offset, ids (array).
 
     A null or empty text is the end id alone. Equal keys are ordered by row number, so ties and repeated rows have a
-    place each. An empty table gives no piece. All sequences but the last of all are full.
+    place each. An empty table gives no piece. All sequences but the last of all are full. Texts are encoded whole,
+    however long and of however many different words. Other columns are ignored, whatever their names are.
     """
     tokens = materialize(tokenize(docs, id_col, text_col, path or public_tokenizers.path("word_bpe_49k.json"), end_id), "tokens")
     # A row number breaks ties of the range sort too, so a key that many documents share is spread over partitions.

@@ -1,9 +1,10 @@
 """Secret scans with DataFrame functions only.
 
-Three fixed patterns find assignments, access keys and hexadecimal runs. Beyond them, every long word that could be a
-secret is scored by two character Markov models, one of random strings and one of ordinary identifiers: the sum over
-its character pairs of log P_random(b | a) - log P_identifier(b | a). Both models are trained from labelled samples,
-and their difference is one constant table of 64 x 64 numbers that the executors index, so the scan needs no shuffle.
+Three fixed patterns find assignments, access keys and hexadecimal runs. Beyond them, every run of 16 or more characters
+of the Base64 alphabets is scored by two character Markov models, one of random strings and one of ordinary identifiers:
+the sum over its character pairs of log P_random(b | a) - log P_identifier(b | a). That ratio alone decides. Both models
+are trained from labelled samples, and their difference is one constant table of 64 x 64 numbers that the executors
+index, so the scan needs no shuffle.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
-#: Words that the models score: 20 characters or more of the alphabet, with a digit and an upper-case letter or two digits.
-WORD = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
+SPANS = "array<struct<start:int,stop:int,kind:int,value:string>>"
+BLOCK = 256  #: matches whose positions are added up in one list
+#: Runs that the models score: all of 16 characters or more, so none is cut out of a longer one.
+WORD = r"[A-Za-z0-9+/_-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-THRESHOLD = 0.35  #: of the mean log-likelihood ratio of a pair
+THRESHOLD = 9.0  #: of the log-likelihood ratio: the odds that make up for how much rarer secrets are than ordinary words
 #: Parts of ordinary identifiers, from which the labelled sample of them is put together.
-PARTS = "get set user name list index value count file path data time date key node item page size type text line byte code error state result request response client server config option default cache table column row query filter sort group order total number string array object class method module import export test build version update create delete insert select where from with before after start end first last next previous parent child left right top bottom image color width height length format parse print write read open close send receive handler manager factory service provider context session account message event listener thread process memory buffer stream input output source target http html json".split()
+PARTS = "arbeits zeit gesellschaft wirtschaft entwicklung verwaltung möglich schrift stelle haus recht schutz versicherung ungen keiten administración desarrollo información comunicación mente sociedad trabajo gobierno fonctionnement développement gouvernement internationale responsabilité ment tion heureux nombreux niveaux oiseaux quelle queue elle aux eux ouvrier get set user name list index value count file path data time date key node item page size type text line byte code error state result request response client server config option default cache table column row query filter sort group order total number string array object class method module import export test build version update create delete insert select where from with before after start end first last next previous parent child left right top bottom image color width height length format parse print write read open close send receive handler manager factory service provider context session account message event listener thread process memory buffer stream input output source target http html json".split()
 
 
 def labelled_samples(n: int = 2000) -> list[tuple[str, int]]:
@@ -61,49 +64,56 @@ def train(spark: SparkSession, samples: list[tuple[str, int]] | None = None) ->
     return [r.llr for r in table.orderBy("a", "b").collect()]  # 4,096 rows at every size of the input
 
 
-def mean_ratio(word: Column, table: list[float]) -> Column:
+def ratio(word: Column, table: list[float]) -> Column:
+    """log P(word | random) - log P(word | identifier), of its pairs of characters of the alphabet."""
     ratios = F.array(*[F.lit(round(x, 6)) for x in table])
     step = lambda i: F.get(ratios, (char_index(F.substr(word, i, F.lit(1))) * 64 + char_index(F.substr(word, i + 1, F.lit(1)))).cast("int"))
-    total = F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), F.lit(0.0), lambda acc, i: acc + step(i))
-    return total / (F.length(word) - 1)
+    return F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), F.lit(0.0), lambda acc, i: acc + step(i))
 
 
 def matches(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
     """Array of (start, end, kind, value) of the leftmost matches that don't overlap; positions are code points, end exclusive.
 
-    What lies between the matches is what split() returns, so lengths added up give the positions.
+    What lies between the matches is what split() returns, so lengths added up give the positions. They are added up in
+    blocks, so the lists that grow stay short in a text of very many matches.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.split(text, pattern, -1)
     zipped = F.arrays_zip(found.alias("found"), F.slice(gaps, 1, F.size(found)).alias("gap"), value.alias("value"))
-    none = F.array().cast("array<struct<start:int,stop:int,kind:int,value:string>>")
-    rolled = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
+    none = F.array().cast(SPANS)
+    rolled = lambda part, at: F.aggregate(
+        part,
+        F.struct(at.alias("at"), none.alias("out")),
         lambda acc, x: F.struct(
             (acc["at"] + F.length(x["gap"]) + F.length(x["found"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["found"])).alias("stop"), F.lit(KINDS.index(kind)).alias("kind"), x["value"].alias("value")))).cast("array<struct<start:int,stop:int,kind:int,value:string>>"),
+            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["found"])).alias("stop"), F.lit(KINDS.index(kind)).alias("kind"), x["value"].alias("value")))).cast(SPANS),
         ),
-    )["out"]
-    return F.when(F.size(found) > 0, rolled).otherwise(none)
+    )
+    blocks = F.aggregate(
+        F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")),
+        F.struct(F.struct(F.lit(0).alias("at"), none.alias("out")).alias("last"), F.array(none).alias("outs")),
+        lambda acc, b: F.struct(rolled(F.slice(zipped, b * BLOCK + 1, F.lit(BLOCK)), acc["last"]["at"]).alias("last"), F.concat(acc["outs"], F.array(acc["last"]["out"])).alias("outs")),
+    )
+    many = F.concat(F.flatten(blocks["outs"]), blocks["last"]["out"])
+    return F.when(F.size(found) > BLOCK, many).when(F.size(found) > 0, rolled(zipped, F.lit(0))["out"]).otherwise(none)
 
 
-def scan(docs: DataFrame, text_col: str = "text", model: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one more column, secret_spans: array of (start, stop, kind, value) by start, then kind.
+def scan(docs: DataFrame, text_col: str = "text", model: list[float] | None = None, threshold: float = THRESHOLD, into: str = "secret_spans") -> DataFrame:
+    """docs with one more column, `into`: array of (start, stop, kind, value) by start, then kind.
 
     Kinds are indexes of KINDS. A null text has no span, like an empty one. Existing columns stay as they are; one
-    named secret_spans is replaced.
+    named `into` is replaced. Repeated rows get the same spans each; texts are scanned whole; an empty table gives none.
     """
     table = train(docs.sparkSession) if model is None else model
     text = text_of(text_col)
-    may = lambda column, test: F.when(test, column).otherwise(F.array().cast("array<struct<start:int,stop:int,kind:int,value:string>>"))
+    may = lambda column, test: F.when(test, column).otherwise(F.array().cast(SPANS))
     assign = may(F.filter(matches(text, ASSIGN, "assign", 2), lambda x: F.length(x["value"]) >= 8), text.rlike(ASSIGN))
     access = may(matches(text, ACCESS, "access"), text.contains("AKIA"))
     runs = may(matches(text, HEX, "hex"), text.rlike(HEX))
-    words = may(F.filter(matches(text, WORD, "markov"), lambda x: mean_ratio(x["value"], table) >= threshold), text.rlike(WORD))
+    words = may(F.filter(matches(text, WORD, "markov"), lambda x: ratio(x["value"], table) >= threshold), text.rlike(WORD))
     spans = F.array_sort(F.concat(assign, access, runs, words))
-    return docs.withColumn("secret_spans", spans)
+    return docs.withColumn(into, spans)
 
 
 def text_of(name: str) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import in_parts
-from .common import join_hot, keep_rows, materialize, text_of
+from .common import join_hot, materialize, text_of
 from .components import connected_components
 
 PIVOTS = 16
@@ -42,6 +42,11 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     else:
         digest = xxhash.xxh64_intdigest
         hashes = np.array([digest(joined[i : j - 1], 42) for i, j in zip([0, *ends], ends[shingle - 1 :])], np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     lanes = hashes.view(np.uint8).reshape(-1, 8)  # little-endian bytes
     if len(hashes) < 256:
         ones = np.unpackbits(lanes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -56,7 +61,7 @@ BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitor
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, row_no: Column | None = None) -> DataFrame:
     """doc_id, row_no, fp (long, the fingerprint's bits) of every row; a null text counts as empty.
 
-    row_no tells rows apart; by default they are numbered.
+    row_no tells rows apart; by default they are numbered. Texts are read whole, one at a time. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +194,21 @@ def near_duplicates(rows: DataFrame, bits: int = 2) -> DataFrame:
     return join_hot(rows, found, ["fp"], "n").select("doc_id", "row_no", "fp", F.col("best.doc_id").alias("component_id"), (F.col("row_no") == F.col("best.row_no")).alias("keep"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 2) -> DataFrame:
-    """docs, all columns, with one row of each component: that of its smallest identifier."""
-    key = F.xxhash64(F.col(id_col).cast("long"), text_of(text_col))
-    rows = materialize(fingerprints(docs, id_col, text_col, shingle, key), "simhash")
-    kept = near_duplicates(rows, bits).filter("keep").select(F.col("row_no").alias("_k1"), F.coalesce("doc_id", F.lit(-1)).alias("_k2"))
-    return keep_rows(docs, {"_k1": key, "_k2": F.coalesce(F.col(id_col).cast("long"), F.lit(-1))}, kept)
+def survivors(pairs: DataFrame, bits: int) -> DataFrame:
+    """a, b of the pairs (a, b, fa, fb) whose fingerprints differ in at most `bits` bits, after the pivot filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fa, fb = (batch.column(c).to_numpy().view(np.uint64) for c in ("fa", "fb"))
+            at = np.flatnonzero(np.abs(pivot_table(fa) - pivot_table(fb)).max(axis=1, initial=0) <= bits)
+            at = at[np.bitwise_count(fa[at] ^ fb[at]) <= bits]
+            yield batch.select(["a", "b"]).take(pa.array(at))
+
+    return pairs.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one row of each group of texts whose five-word shingles have a similarity of 0.8 or more (see near.py)."""
+    from .near import drop_near_copies
+
+    return drop_near_copies(docs, id_col, text_col)

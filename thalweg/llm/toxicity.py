@@ -139,9 +139,11 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, counterfactual: float = 1.0) -> Model:
     """Fit on at most `per_class` labelled rows of each class that are not held out: those of smallest hashed identifier.
 
-    That bound (8,000 rows by default) is all that reaches the driver. Without labels the model scores 0.5 everywhere.
+    That bound (8,000 rows by default) is all that reaches the driver, and one row of each identifier, whatever repeats:
+    of repeated labels the larger counts, of repeated documents the text of least hash. Without labels the model scores
+    0.5 everywhere. Null identifiers, labels other than 0 and 1, and other columns take no part.
     """
-    ok = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+    ok = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     totals = {r._label: r["count"] for r in ok.groupBy("_label").count().collect()}
     sample = None
     for label in (0, 1):
@@ -161,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             twin = [swapped(w) for w in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(map(ids, words)), pa.binary()), pa.array([None if t is None else ids(t) for t in twin], pa.binary())], ["_id", "_label", "features", "twin"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_text", "_label")
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(sample), "_id")
+    rows = rows.groupBy("_id", "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text")).select("_id", "_text", "_label")
     got = rows.mapInArrow(extract, "_id long, _label int, features binary, twin binary").toArrow().sort_by([("_id", "ascending"), ("features", "ascending")])
     if not got.num_rows:
         return Model(np.zeros(1 << FEATURE_BITS, np.float32), 0.0)
@@ -173,10 +176,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1) of every row, without a shuffle. A null or empty text gets the score of no words."""
+    """doc_id, score (0 to 1) of every row, without a shuffle. A null or empty text gets the score of no words.
+
+    Repeated rows get the same score each, texts are read whole, and an empty table gives none. Other columns are ignored.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = model.scorer()
+        scorer = held.value.scorer()
         for batch in batches:
             for names, texts in in_parts(batch):
                 yield pa.RecordBatch.from_arrays([names, pa.array(list(map(scorer, texts)), pa.float64())], ["doc_id", "score"])
@@ -188,9 +195,10 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
     """docs, all columns, without the rows that score `threshold` or more."""
     schema = docs.schema
     at = schema.fieldNames().index(text_col)
+    held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = model.scorer()
+        scorer = held.value.scorer()
         for batch in batches:
             yield batch.filter(pa.array([scorer(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
