@@ -104,6 +104,10 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.cut(merge.global_ids(merge.with_sources(load(spark, sf_dir, "b_segments"))), "numbered")
 
 
+def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return basins.reference_flow(load(spark, sf_dir, "b_ref_cells"))
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked(spark, sf_dir).filter("prob > 0.1 OR water = 1").withColumn("source", F.col("is_ref"))
 
@@ -242,7 +246,7 @@ def path_forest_dist(spark, sf_dir):
     return paths.flow_forest(nodes(spark, sf_dir).filter("water = 1")).select(*CELL, "dist")
 
 
-@query(WATER_LABELS + DIST + " SELECT DISTINCT basin_id, comp FROM comp EXCEPT SELECT basin_id, comp FROM comp JOIN dist USING (basin_id, r, c)", "b_cells_masked", recursive=True)
+@query()
 def unseen_components(spark, sf_dir):
     held = tables.cut(components.label(masked(spark, sf_dir)), "labelled")
     low = components.lowest_cell(held).select(*CELL, F.lit(True).alias("low"))
@@ -267,13 +271,20 @@ def trace_lines(spark, sf_dir):
 
 @query()
 def basin_pipeline(spark, sf_dir):
-    return basins.basin_segments(load(spark, sf_dir, "b_cells_masked")).withColumn("nodes", F.size("nodes"))
+    return basins.basin_segments(load(spark, sf_dir, "b_cells_masked"), reference(spark, sf_dir)).withColumn("nodes", F.size("nodes"))
 
 
 @query()
 def vector_network(spark, sf_dir):
     cells = load(spark, sf_dir, "b_cells_masked")
-    return basins.vector_network(cells, load(spark, sf_dir, "b_streams"))
+    return basins.vector_network(cells, load(spark, sf_dir, "b_streams"), reference(spark, sf_dir))
+
+
+@query()
+def region_network(spark, sf_dir):
+    cells = load(spark, sf_dir, "b_cells_masked")
+    places = cells.groupBy("basin_id").agg(F.array(F.struct((F.col("basin_id") % 50).cast("double").alias("x"), (F.col("basin_id") * 7 % 50).cast("double").alias("y"))).alias("line"))
+    return basins.region_network(cells, load(spark, sf_dir, "b_streams"), reference(spark, sf_dir), places, ring_column())
 
 
 @query(" SELECT line_id, pos, x, y, COALESCE(LAG(pos) OVER w, -1) AS source_pos, COALESCE(LEAD(pos) OVER w, -1) AS target_pos FROM (SELECT line_id, CAST(MAX(pos) OVER (PARTITION BY line_id) - pos AS INT) AS pos, x, y FROM b_line_vertices) WINDOW w AS (PARTITION BY line_id ORDER BY pos)", "b_line_vertices")
@@ -342,10 +353,13 @@ RING = ((5.5, 5.5), (40.5, 8.5), (44.5, 38.5), (25.5, 20.5), (9.5, 42.5), (5.5,
 SIDES = ", sides AS (SELECT * FROM (VALUES " + ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(RING, RING[1:])) + ") t(x1, y1, x2, y2))"
 
 
+def ring_column():
+    return F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in RING])
+
+
 @query(SIDES + " SELECT point_id, COUNT(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / NULLIF(y2 - y1, 0) + x1) % 2 = 1 AS inside FROM b_points CROSS JOIN sides GROUP BY point_id", "b_points")
 def point_in_polygon(spark, sf_dir):
-    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in RING])
-    return spatial.inside_polygon(load(spark, sf_dir, "b_points"), F.col("x"), F.col("y"), ring).select("point_id", "inside")
+    return spatial.inside_polygon(load(spark, sf_dir, "b_points"), F.col("x"), F.col("y"), ring_column()).select("point_id", "inside")
 
 
 @query(", grid AS (SELECT r AS gx, c AS gy, MAX(elev) AS elev FROM b_cells GROUP BY r, c) SELECT point_id, elev FROM b_points LEFT JOIN grid ON gx = CAST(floor(x / 2.0) AS INT) AND gy = CAST(floor(y / 2.0) AS INT)", "b_points", "b_cells")
@@ -377,7 +391,7 @@ def dedupe_largest_basin(spark, sf_dir):
     return merge.largest_basin(load(spark, sf_dir, "b_basin_candidates"))
 
 
-@query(" SELECT COALESCE(g.basin_id, s.stream_id) AS stream_id, CAST(g.max_order AS INT) AS max_order, s.target_id FROM (SELECT basin_id, MAX(seg_order) AS max_order FROM b_segments WHERE basin_id % 5 <> 0 GROUP BY basin_id) g FULL OUTER JOIN b_streams s ON g.basin_id = s.stream_id", "b_segments")
+@query(" SELECT COALESCE(g.basin_id, s.stream_id) AS stream_id, CAST(g.max_order AS INT) AS max_order, s.target_id FROM (SELECT basin_id, MAX(seg_order) AS max_order FROM b_segments GROUP BY basin_id) g FULL OUTER JOIN b_streams s ON g.basin_id = s.stream_id", "b_segments")
 def basin_max_order(spark, sf_dir):
     return merge.basin_max_orders(load(spark, sf_dir, "b_segments"), load(spark, sf_dir, "b_streams"))
 
@@ -413,3 +427,103 @@ FROM seg s JOIN targets t USING (seg_id) JOIN sources u USING (seg_id) LEFT JOIN
 def merge_network(spark, sf_dir):
     out = merge.merge_network(merge.with_sources(load(spark, sf_dir, "b_segments")))
     return out.withColumn("source_stream_ids", F.array_join(F.col("source_stream_ids").cast("array<string>"), ","))
+
+
+def line_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = load(spark, sf_dir, "b_line_vertices").withColumn("p", F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    return v.groupBy("line_id").agg(F.sort_array(F.collect_list(F.struct("pos", "p"))).alias("v")).select("line_id", F.col("v.p").alias("line"))
+
+
+STEPS_SQL = ", steps AS (SELECT line_id, pos, x AS x1, y AS y1, LEAD(x) OVER w AS x2, LEAD(y) OVER w AS y2 FROM b_line_vertices WINDOW w AS (PARTITION BY line_id ORDER BY pos))"
+
+
+@query(SIDES + STEPS_SQL + """, inside AS (SELECT DISTINCT line_id FROM (SELECT line_id, pos, COUNT(*) FILTER (WHERE (b.y1 > v.y) <> (b.y2 > v.y) AND v.x < (b.x2 - b.x1) * (v.y - b.y1) / NULLIF(b.y2 - b.y1, 0) + b.x1) % 2 = 1 AS i FROM b_line_vertices v CROSS JOIN sides b GROUP BY line_id, pos) WHERE i),
+across AS (SELECT DISTINCT line_id FROM steps a CROSS JOIN sides b WHERE a.x2 IS NOT NULL
+AND sign((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) * sign((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) < 0
+AND sign((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) * sign((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) < 0),
+long AS (SELECT line_id FROM steps WHERE x2 IS NOT NULL GROUP BY line_id HAVING SUM(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) > 0)
+SELECT line_id, COUNT(*) AS n_vertices FROM b_line_vertices WHERE line_id IN (SELECT line_id FROM inside UNION SELECT line_id FROM across) AND line_id IN (SELECT line_id FROM long) GROUP BY line_id""", "b_line_vertices")
+def masked_lines(spark, sf_dir):
+    found = spatial.meeting(tables.with_length(line_arrays(spark, sf_dir)), ring_column())
+    return found.select("line_id", F.size("line").cast("long").alias("n_vertices"))
+
+
+@query(""", cropped AS (SELECT basin_id, r, c, prob_pct FROM b_cells WHERE r BETWEEN 10 AND 13 AND c BETWEEN 10 AND 12 AND prob_pct < 90),
+inside AS (SELECT basin_id FROM b_cells WHERE r BETWEEN 10 AND 13 AND c BETWEEN 10 AND 12 GROUP BY basin_id HAVING MIN(r) < MAX(r) AND MIN(c) < MAX(c)),
+first AS (SELECT r, c, arg_min(prob_pct, basin_id) AS prob_pct FROM cropped WHERE basin_id IN (SELECT basin_id FROM inside) GROUP BY r, c)
+SELECT CAST(a.r AS INT) AS r, CAST(b.c AS INT) AS c, COALESCE(prob_pct, 0) AS prob_pct FROM (SELECT unnest(range(10, 14)) AS r) a CROSS JOIN (SELECT unnest(range(10, 13)) AS c) b LEFT JOIN first f ON f.r = a.r AND f.c = b.c""", "b_cells")
+def box_raster(spark, sf_dir):
+    return tables.box_raster(load(spark, sf_dir, "b_cells"), "basin_id", "prob_pct", (10, 13, 10, 12), nodata=90)
+
+
+@query(" SELECT s.stream_id, s.target_id, b.part_id, b.part_no, b.area FROM b_streams s JOIN (SELECT * FROM b_basin_candidates QUALIFY ROW_NUMBER() OVER (PARTITION BY stream_id ORDER BY area DESC, part_id, part_no) = 1) b USING (stream_id)", "b_streams", "b_basin_candidates")
+def streams_with_basins(spark, sf_dir):
+    return merge.streams_with_basins(load(spark, sf_dir, "b_streams").select("stream_id", "target_id"), load(spark, sf_dir, "b_basin_candidates"))
+
+
+@query(", lines AS (SELECT line_id, line_id % 10 AS multi, COUNT(*) AS n_vertices FROM b_line_vertices GROUP BY line_id) SELECT multi, CAST(ROW_NUMBER() OVER (PARTITION BY multi ORDER BY line_id) - 1 AS INT) AS part, n_vertices FROM lines", "b_line_vertices")
+def single_lines(spark, sf_dir):
+    held = line_arrays(spark, sf_dir).groupBy((F.col("line_id") % 10).alias("multi")).agg(F.sort_array(F.collect_list(F.struct("line_id", "line"))).alias("l")).select("multi", F.col("l.line").alias("parts"))
+    return lines.single_lines(held, "multi").select("multi", "part", F.size("line").cast("long").alias("n_vertices"))
+
+
+@query(" SELECT line_id, pos, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM b_line_vertices", "b_line_vertices")
+def reference_vertices(spark, sf_dir):
+    return lines.vertices_of(line_arrays(spark, sf_dir))
+
+
+TO_BOX = "pow(greatest(gx * 4.0 - {x}, 0, {x} - gx * 4.0 - 4), 2) + pow(greatest(gy * 4.0 - {y}, 0, {y} - gy * 4.0 - 4), 2)"
+SPOT = "least(1.0, greatest(0.0, CASE WHEN x1 = x2 AND y1 = y2 THEN 0.0 ELSE (({x} - x1) * (x2 - x1) + ({y} - y1) * (y2 - y1)) / CAST((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS DOUBLE) END))"
+TO_STEP = "pow({x} - (x1 + " + SPOT + " * (x2 - x1)), 2) + pow({y} - (y1 + " + SPOT + " * (y2 - y1)), 2)"
+CORNERS = [("gx * 4.0", "gy * 4.0"), ("(gx * 4.0 + 4)", "gy * 4.0"), ("gx * 4.0", "(gy * 4.0 + 4)"), ("(gx * 4.0 + 4)", "(gy * 4.0 + 4)")]
+SIGNS = ", ".join(f"sign((x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1))" for x, y in CORNERS)
+
+
+@query(STEPS_SQL + f""", brief AS (SELECT * FROM steps WHERE x2 IS NOT NULL AND abs(x2 - x1) + abs(y2 - y1) <= 12),
+near AS (SELECT brief.*, gx, gy FROM brief, (SELECT unnest(range(-1, 17)) AS gx) a, (SELECT unnest(range(-1, 17)) AS gy) b)
+SELECT DISTINCT CAST(gx AS BIGINT) AS gx, CAST(gy AS BIGINT) AS gy FROM near
+WHERE (greatest(x1, x2) >= gx * 4 AND least(x1, x2) <= gx * 4 + 4 AND greatest(y1, y2) >= gy * 4 AND least(y1, y2) <= gy * 4 + 4 AND least({SIGNS}) <= 0 AND greatest({SIGNS}) >= 0)
+OR least({TO_BOX.format(x="x1", y="y1")}, {TO_BOX.format(x="x2", y="y2")}, {", ".join(TO_STEP.format(x=x, y=y) for x, y in CORNERS)}) <= 0.25""", "b_line_vertices")
+def touched_cells(spark, sf_dir):
+    near = network.flow_links(load(spark, sf_dir, "b_line_vertices"))
+    ahead = load(spark, sf_dir, "b_line_vertices").select("line_id", F.col("pos").alias("target_pos"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    steps = near.join(ahead, ["line_id", "target_pos"]).select(F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
+    return spatial.touched_cells(steps.filter("abs(x2 - x1) + abs(y2 - y1) <= 12"), 4.0, 0.5)
+
+
+@query(" SELECT basin_id, r, c, CAST(CASE WHEN elev * 200 >= 32768 THEN 10000 ELSE elev * 200 END AS INT) AS elev FROM b_cells", "b_cells")
+def clean_elevation(spark, sf_dir):
+    return load(spark, sf_dir, "b_cells").select(*CELL, fc.elevation(F.col("elev") * 200).alias("elev"))
+
+
+@query(" SELECT basin_id, r, c, 10 + 0.25 * (c + 0.5) AS x, 60 - 0.25 * (r + 0.5) AS y FROM b_cells", "b_cells")
+def cell_midpoints(spark, sf_dir):
+    return load(spark, sf_dir, "b_cells").select(*CELL, fc.midpoint(F.col("r"), F.col("c"), 10.0, 60.0, 0.25).alias("p")).select(*CELL, F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+
+
+@query(""", near AS (SELECT p.grp, point_id, vertex_id, p.x, p.y, v.x AS vx, v.y AS vy, ROW_NUMBER() OVER (PARTITION BY point_id ORDER BY (p.x - v.x) * (p.x - v.x) + (p.y - v.y) * (p.y - v.y), vertex_id) AS k FROM b_points p JOIN b_ref_vertices v ON p.grp = v.grp)
+SELECT grp, point_id, vertex_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(vx AS DOUBLE) AS vx, CAST(vy AS DOUBLE) AS vy FROM near WHERE k = 1""", "b_points", "b_ref_vertices")
+def snap_connectors(spark, sf_dir):
+    found = lines.connectors(load(spark, sf_dir, "b_points"), load(spark, sf_dir, "b_ref_vertices"))
+    end = lambda i, k: F.col("line")[i][k]
+    return found.select("grp", "point_id", "vertex_id", end(0, "x").alias("x"), end(0, "y").alias("y"), end(1, "x").alias("vx"), end(1, "y").alias("vy"))
+
+
+def confluent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines on a coarse grid, so that they share vertices; every third is reference water of order 2."""
+    v = load(spark, sf_dir, "b_line_vertices").select("line_id", "pos", F.floor(F.col("x") / 2.0).alias("x"), F.floor(F.col("y") / 2.0).alias("y"))
+    return v.withColumns({"from_ref": F.col("line_id") % 3 == 0, "own_order": F.lit(2)})
+
+
+@query(""", v AS (SELECT line_id, pos, CAST(floor(x / 2.0) AS BIGINT) AS x, CAST(floor(y / 2.0) AS BIGINT) AS y, line_id % 3 = 0 AS from_ref FROM b_line_vertices),
+near AS (SELECT *, LEAD(x) OVER w AS tx, LEAD(y) OVER w AS ty, LAG(x) OVER w AS sx, LAG(y) OVER w AS sy FROM v WINDOW w AS (PARTITION BY line_id ORDER BY pos)),
+last AS (SELECT x, y, tx, ty FROM near WHERE tx IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY x, y ORDER BY from_ref, line_id DESC, pos DESC) = 1)
+SELECT n.x, n.y, bool_or(from_ref) AS from_ref, CASE WHEN bool_or(from_ref) THEN 2 ELSE 1 END AS own_order, COUNT(DISTINCT sx * 1000000 + sy) AS n_sources, MAX(l.tx) AS tx, MAX(l.ty) AS ty
+FROM near n LEFT JOIN last l ON l.x = n.x AND l.y = n.y GROUP BY n.x, n.y""", "b_line_vertices")
+def shared_nodes(spark, sf_dir):
+    return network.shared_nodes(confluent(spark, sf_dir))
+
+
+@query(", v AS (SELECT line_id, pos, CAST(x * 3 + y AS BIGINT) % 50 AS elev FROM b_line_vertices), a AS (SELECT line_id, pos, elev, LEAD(pos) OVER w AS q, LEAD(elev) OVER w AS e FROM v WINDOW w AS (PARTITION BY line_id ORDER BY pos)) SELECT line_id, pos, q AS to_pos, greatest(0, elev - e) AS cost FROM a WHERE q IS NOT NULL UNION ALL SELECT line_id, q, pos, greatest(0, e - elev) FROM a WHERE q IS NOT NULL", "b_line_vertices")
+def vertex_graph(spark, sf_dir):
+    return network.vertex_graph(load(spark, sf_dir, "b_line_vertices").withColumn("elev", (F.col("x") * 3 + F.col("y")) % 50))

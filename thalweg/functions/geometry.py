@@ -33,3 +33,37 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
 def line_length(line: Column) -> Column:
     pairs = F.transform(F.sequence(F.lit(0), F.size(line) - 2), lambda i: F.hypot(line[i + 1]["x"] - line[i]["x"], line[i + 1]["y"] - line[i]["y"]))
     return F.when(F.size(line) < 2, F.lit(0.0)).otherwise(F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b))
+
+
+def side_of(ax: Column, ay: Column, bx: Column, by: Column, x: Column, y: Column) -> Column:
+    """On which side of the line a to b a point lies: the sign of this, 0 on the line."""
+    return (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+
+
+def steps_cross(p: Column, q: Column, a: Column, b: Column) -> Column:
+    """Whether the steps p to q and a to b (structs x, y) cross each other properly."""
+    side = lambda s, t, u: F.signum(side_of(s["x"], s["y"], t["x"], t["y"], u["x"], u["y"]))
+    return (side(p, q, a) * side(p, q, b) < 0) & (side(a, b, p) * side(a, b, q) < 0)
+
+
+def line_meets_ring(line: Column, ring: Column) -> Column:
+    """Whether a line (array of structs x, y) has a vertex in the ring or a step across one of its sides."""
+    inside = F.exists(line, lambda p: in_ring(p["x"], p["y"], ring))
+    steps = F.when(F.size(line) > 1, F.sequence(F.lit(0), F.size(line) - 2)).otherwise(F.array().cast("array<int>"))
+    across = F.exists(steps, lambda i: F.exists(F.sequence(F.lit(0), F.size(ring) - 2), lambda j: steps_cross(line[i], line[i + 1], ring[j], ring[j + 1])))
+    return inside | across
+
+
+def step_box_distance2(x1: Column, y1: Column, x2: Column, y2: Column, w: Column, s: Column, e: Column, n: Column) -> Column:
+    """Squared distance between a step and a box; 0 where they meet."""
+    to_box = lambda x, y: F.pow(F.greatest(w - x, F.lit(0.0), x - e), 2) + F.pow(F.greatest(s - y, F.lit(0.0), y - n), 2)
+    length2 = F.pow(x2 - x1, 2) + F.pow(y2 - y1, 2)
+
+    def to_step(x: Column, y: Column) -> Column:
+        t = F.when(length2 == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / F.when(length2 == 0, F.lit(1.0)).otherwise(length2))))
+        return F.pow(x - (x1 + t * (x2 - x1)), 2) + F.pow(y - (y1 + t * (y2 - y1)), 2)
+
+    corners = [(w, s), (e, s), (w, n), (e, n)]
+    sides = [F.signum(side_of(x1, y1, x2, y2, x, y)) for x, y in corners]
+    meets = (F.greatest(x1, x2) >= w) & (F.least(x1, x2) <= e) & (F.greatest(y1, y2) >= s) & (F.least(y1, y2) <= n) & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+    return F.when(meets, F.lit(0.0)).otherwise(F.least(to_box(x1, y1), to_box(x2, y2), *(to_step(x, y) for x, y in corners)))

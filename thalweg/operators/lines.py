@@ -4,16 +4,13 @@ from __future__ import annotations
 
 import struct
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from ..functions.cells import STEPS
-
-CHUNK = 1 << 20  #: distances that are held at once
-
+from ..sources.tables import cut
 
 def trace_cells(cells: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     """Lines over the cells: runs between ends and junctions, then closed rings; single cells make none.
@@ -70,20 +67,56 @@ def snap_points(vertices: DataFrame, line: list[str]) -> DataFrame:
     return ends.select(*line, "n_vertices", action.alias("action"), pos.cast("int").alias("pos"))
 
 
-def nearest_vertices(points: DataFrame, vertices: DataFrame, group: str = "grp") -> DataFrame:
-    """group, point_id, vertex_id, dist2: the nearest vertex of the point's group, all of them if several are."""
+def nearest_vertices(points: DataFrame, vertices: DataFrame, group: str = "grp", size: float | None = None) -> DataFrame:
+    """group, point_id, vertex_id, dist2: the nearest vertex of the point's group, all of them if several are.
+
+    Points and vertices are dealt to the squares of a grid, and every point looks into its own square and the eight
+    around it. What it finds there is nearest if it lies no farther than a square's side; the points that are left go on
+    with squares of twice the side. By default the first side gives a square one vertex on average.
+    """
+    held = vertices.select(group, "vertex_id", F.col("x").alias("vx"), F.col("y").alias("vy"))
+    box = vertices.agg(F.count("*").alias("n"), F.min("x").alias("w"), F.max("x").alias("e"), F.min("y").alias("s"), F.max("y").alias("t"), F.countDistinct(group).alias("groups")).first()
+    far = points.agg(F.min("x").alias("w"), F.max("x").alias("e"), F.min("y").alias("s"), F.max("y").alias("t")).first()
+    out = None
+    left = points.join(vertices.select(group).distinct(), group, "left_semi").select(group, "point_id", "x", "y")
+    if box.n and far.w is not None:
+        extent = max(max(box.e, far.e) - min(box.w, far.w), max(box.t, far.t) - min(box.s, far.s), 1e-9)
+        side = size or max(extent * (box.groups / box.n) ** 0.5, extent / 2**20)
+        while True:
+            at = lambda c: F.floor(F.col(c) / side).cast("long")  # noqa: B023, E731
+            near = left.withColumn("gx", F.explode(F.sequence(at("x") - 1, at("x") + 1))).withColumn("gy", F.explode(F.sequence(at("y") - 1, at("y") + 1)))
+            met = near.join(held.withColumns({"gx": at("vx"), "gy": at("vy")}), [group, "gx", "gy"])
+            met = met.select(group, "point_id", "vertex_id", ((F.col("x") - F.col("vx")) ** 2 + (F.col("y") - F.col("vy")) ** 2).alias("d2"))
+            least = met.groupBy(group, "point_id").agg(F.min("d2").alias("least"), F.collect_set(F.struct("d2", "vertex_id")).alias("all"))
+            # of the vertices in nine squares only those as near as the nearest are kept
+            least = least.select(group, "point_id", "least", F.filter("all", lambda v: v["d2"] == F.col("least")).alias("ties"))
+            over = side > 2 * extent  # nine squares hold everything
+            sure = cut(least if over else least.filter(F.col("least") <= side * side), "nearest")
+            part = sure.select(group, "point_id", F.explode("ties").alias("v")).select(group, "point_id", "v.vertex_id", F.col("v.d2").cast("long").alias("dist2"))
+            out = part if out is None else out.unionByName(part)
+            left = cut(left.join(sure.select(group, "point_id"), [group, "point_id"], "left_anti"), "points")
+            if over or left.isEmpty():
+                break
+            side *= 2
+    return left.limit(0).select(group, "point_id", F.lit(0).cast("long").alias("vertex_id"), F.lit(0).cast("long").alias("dist2")) if out is None else out
+
+
+def connectors(points: DataFrame, vertices: DataFrame, group: str = "grp") -> DataFrame:
+    """group, point_id, vertex_id, line: from each point to its nearest vertex (of several the one of smallest identifier), which takes the point's place."""
+    near = nearest_vertices(points, vertices, group).groupBy(group, "point_id").agg(F.min("vertex_id").alias("vertex_id"))
+    to = vertices.select(group, "vertex_id", F.col("x").alias("vx"), F.col("y").alias("vy"))
+    joined = near.join(points.select(group, "point_id", "x", "y"), [group, "point_id"]).join(to, [group, "vertex_id"])
+    return joined.select(group, "point_id", "vertex_id", F.array(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), F.struct(F.col("vx").cast("double").alias("x"), F.col("vy").cast("double").alias("y"))).alias("line"))
+
+
+def vertices_of(lines: DataFrame, key: str = "line_id", line: str = "line") -> DataFrame:
+    """key, pos, x, y: all vertices of lines (arrays of structs x, y)."""
+    return lines.select(key, F.posexplode(line).alias("pos", "p")).select(key, "pos", "p.x", "p.y")
 
-    def run(own: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        step = max(1, CHUNK // max(1, len(ref)))
-        for lo in range(0, len(own) if len(ref) else 0, step):
-            part = own.iloc[lo : lo + step]
-            d = (part["x"].to_numpy()[:, None] - ref["x"].to_numpy()) ** 2 + (part["y"].to_numpy()[:, None] - ref["y"].to_numpy()) ** 2
-            i, j = np.nonzero(d == d.min(axis=1, keepdims=True))
-            out.append(pd.DataFrame({group: part[group].to_numpy()[i], "point_id": part["point_id"].to_numpy()[i], "vertex_id": ref["vertex_id"].to_numpy()[j], "dist2": d[i, j]}))
-        return pd.concat(out) if out else pd.DataFrame({k: pd.Series(dtype="int64") for k in (group, "point_id", "vertex_id", "dist2")})
 
-    return points.groupBy(group).cogroup(vertices.groupBy(group)).applyInPandas(run, f"{group} long, point_id long, vertex_id long, dist2 long")
+def single_lines(multi: DataFrame, key: str = "line_id", parts: str = "parts") -> DataFrame:
+    """key, part, line: one row for each line of a multi-line; those without lines give none."""
+    return multi.select(key, F.posexplode(parts).alias("part", "line"))
 
 
 def with_reference(new: DataFrame, reference: DataFrame) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut
-from .network import strahler_of, topological
+from .network import strahler_of
 
 MOST_DOUBLINGS = 40
+BLOCK_DEPTH = 10
+LOT_ROWS = 20_000
 
 
 def largest_basin(candidates: DataFrame) -> DataFrame:
@@ -70,46 +72,79 @@ def global_sources(segments: DataFrame) -> DataFrame:
     return segments.select("seg_id").join(lists, "seg_id", "left").select("seg_id", F.coalesce("s.source", none).alias("source_segs"))
 
 
-def river_systems(streams: DataFrame) -> DataFrame:
-    """streams with `system`, the last stream that its water reaches, by pointer doubling: as many rounds as the log of the depth.
+def composed(steps: DataFrame, again: DataFrame) -> DataFrame:
+    """Two pointer tables (stream_id, ptr, dist; ptr null: past the last stream) one after the other."""
+    ahead = again.select(F.col("stream_id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"))
+    out = steps.join(ahead, "ptr", "left")
+    return out.select("stream_id", F.col("ptr2").alias("ptr"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"))
 
-    Streams whose water ends in a cycle get the system -1.
+
+def depths(streams: DataFrame) -> DataFrame:
+    """stream_id, parent (the stream that lists it as a source, null without), depth: streams below it.
+
+    Pointers are doubled twice a round, so rounds are half the logarithm of the depth. Streams above or on a cycle have
+    no depth and are left out.
     """
-    ids = streams.select("stream_id")
-    at = streams.select("stream_id", F.col("target_id").alias("ptr")).join(ids.withColumnRenamed("stream_id", "ptr").withColumn("there", F.lit(True)), "ptr", "left")
-    at = cut(at.select("stream_id", F.when(F.col("there"), F.col("ptr")).otherwise(F.col("stream_id")).alias("ptr"), F.col("there").isNull().alias("over")), "pointers")
-    left = at.filter("NOT over").count()
+    listed = streams.filter("us1 <> -1").select(F.col("stream_id").alias("parent"), F.explode(F.array("us1", "us2")).alias("stream_id"))
+    parents = listed.groupBy("stream_id").agg(F.max("parent").alias("parent"))
+    parents = cut(streams.select("stream_id").join(parents, "stream_id", "left"), "parents")
+    at = parents.select("stream_id", F.col("parent").alias("ptr"), F.col("parent").isNotNull().cast("long").alias("dist"))
+    left = -1
     for _ in range(MOST_DOUBLINGS):
-        if not left:
-            break
-        ahead = at.select(F.col("stream_id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("over").alias("over2"))
-        at = cut(at.filter("over").unionByName(at.filter("NOT over").join(ahead, "ptr").select("stream_id", F.col("ptr2").alias("ptr"), F.col("over2").alias("over"))), "pointers")
-        now = at.filter("NOT over").count()
-        if now == left:
-            break  # only cycles remain, or streams above them
+        at = composed(at, at)
+        at = cut(composed(at, at), "pointers")
+        now = at.filter("ptr IS NOT NULL").count()
+        if now in (0, left):
+            break  # what is left lies on cycles, or above them
         left = now
-    return streams.join(at.select("stream_id", F.when(F.col("over"), F.col("ptr")).otherwise(F.lit(-1)).alias("system")), "stream_id")
+    return parents.join(at.filter("ptr IS NULL").select("stream_id", F.col("dist").alias("depth")), "stream_id")
 
 
-def by_system(streams: DataFrame, rule: Callable[[int, list[int], int], int], as_: str) -> DataFrame:
+def by_blocks(streams: DataFrame, rule: Callable[[int, list[int], int], int], as_: str, block: int = BLOCK_DEPTH) -> DataFrame:
     """stream_id and the rule's value of each stream: rule(base order, values of known sources, number of all sources).
 
-    River systems are independent, and one task takes one system: a row of five numbers for each of its basins.
-    Streams on cycles keep their base order.
+    The trees of streams are cut into blocks of `block` levels (2**block - 1 streams at most, since a stream has two
+    sources). Bands of blocks are solved from the headwaters down; each block passes one value to the stream below it.
+    Streams on cycles, and above them, keep their base order. Of several streams that list one as a source the one of
+    largest identifier takes its value.
     """
-
-    def run(system: pd.DataFrame) -> pd.DataFrame:
-        ids = system["stream_id"].tolist()
-        base = dict(zip(ids, system["base_order"].tolist(), strict=True))
-        ups = {i: [x for x in dict.fromkeys((a, b)) if x in base] for i, a, b in zip(ids, system["us1"].tolist(), system["us2"].tolist(), strict=True)}
-        named = {i: 0 if a == -1 else 2 for i, a in zip(ids, system["us1"].tolist(), strict=True)}
-        into = {u: i for i, us in ups.items() if named[i] for u in us}
-        value = dict(base)
-        for i in topological({i: into.get(i, -1) for i in ids}):
-            value[i] = rule(base[i], [value[u] for u in ups[i]] if named[i] else [], named[i])
-        return pd.DataFrame({"stream_id": ids, as_: [value[i] for i in ids]}).astype({as_: "int32"})
-
-    return river_systems(streams).groupBy("system").applyInPandas(run, f"stream_id long, {as_} int")
+    deep = cut(depths(streams), "depths")
+    # the first stream of a block points to itself, all others to their parents: doubled, every one finds its block
+    top = deep.select("stream_id", F.when(F.col("depth") % block == 0, F.col("stream_id")).otherwise(F.col("parent")).alias("ptr"), F.lit(0).alias("dist"))
+    for _ in range((block - 1).bit_length()):
+        top = cut(composed(top, top), "blocks")
+    base = streams.select("stream_id", "us1", "us2", "base_order")
+    deep = deep.withColumn("parent", F.coalesce("parent", F.lit(-1)))
+    held = cut(base.join(deep, "stream_id").join(top.select("stream_id", F.col("ptr").alias("block")), "stream_id").withColumn("band", F.floor(F.col("depth") / block)), "banded")
+    lots = max(1, -(-held.count() // LOT_ROWS))  # a task takes a lot of whole blocks, about LOT_ROWS rows
+    held = held.withColumn("lot", F.pmod(F.xxhash64("block"), F.lit(lots)))
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("depth", ascending=False, kind="stable")
+        value: dict[int, int] = {}
+        below: dict[int, dict[int, int]] = {}
+        for i, parent, order, us1, us2, given in zip(*(own[c].tolist() for c in ("stream_id", "parent", "base_order", "us1", "us2", "given")), strict=True):
+            known = {x["stream_id"]: x["value"] for x in ([] if given is None else given)} | below.get(i, {})
+            named = 0 if us1 == -1 else 2
+            value[i] = rule(order, [known[u] for u in dict.fromkeys((us1, us2)) if u in known] if named else [], named)
+            below.setdefault(parent, {})[i] = value[i]
+        return pd.DataFrame({"stream_id": own["stream_id"], "parent": own["parent"], "value": [value[i] for i in own["stream_id"].tolist()], "top": own["stream_id"] == own["block"]}).astype({"value": "int32"})
+
+    bands = held.agg(F.max("band")).first()[0]
+    solved, out = None, None
+    for band in range(int(bands if bands is not None else -1), -1, -1):
+        own = held.filter(F.col("band") == band)
+        if solved is None:
+            own = own.withColumn("given", F.lit(None).cast("array<struct<stream_id:long,value:int>>"))
+        else:
+            passed = solved.filter("top").groupBy(F.col("parent").alias("stream_id")).agg(F.collect_list(F.struct(F.col("stream_id").alias("stream_id"), "value")).alias("given"))  # two at most
+            own = own.join(passed, "stream_id", "left")
+        solved = cut(own.groupBy("lot").applyInPandas(run, "stream_id long, parent long, value int, top boolean"), "band")
+        part = solved.select("stream_id", "value")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return base.select("stream_id", F.col("base_order").cast("int").alias(as_))
+    return base.join(out, "stream_id", "left").select("stream_id", F.coalesce("value", "base_order").cast("int").alias(as_))
 
 
 def repaired(base: int, known: list[int], named: int) -> int:
@@ -120,11 +155,11 @@ def repaired(base: int, known: list[int], named: int) -> int:
 
 
 def repair_orders(streams: DataFrame) -> DataFrame:
-    return by_system(streams, repaired, "repaired")
+    return by_blocks(streams, repaired, "repaired")
 
 
 def strahler_orders(streams: DataFrame) -> DataFrame:
-    return by_system(streams, lambda base, known, named: max(1, strahler_of(known)), "strahler")
+    return by_blocks(streams, lambda base, known, named: max(1, strahler_of(known)), "strahler")
 
 
 def basin_orders(segments: DataFrame) -> DataFrame:
@@ -132,13 +167,18 @@ def basin_orders(segments: DataFrame) -> DataFrame:
     return segments.groupBy(F.col("basin_id").alias("stream_id")).agg(F.max("seg_order").cast("int").alias("base_order"), F.min_by(F.struct(F.col("basin_target").alias("target_id"), "us1", "us2"), "local_id").alias("b")).select("stream_id", "base_order", "b.*")
 
 
-def merge_network(segments: DataFrame) -> DataFrame:
-    """stream_id, target_stream_id, source_stream_ids, stream_order, from_ref, basin_id of all segments of all basins."""
+def merge_network(segments: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """stream_id, target_stream_id, source_stream_ids, stream_order, from_ref, basin_id, and the columns to carry, of all segments of all basins."""
     numbered = cut(global_ids(segments), "numbered")
     orders = repair_orders(basin_orders(numbered)).withColumnRenamed("stream_id", "basin_id")
     order = F.when(F.col("from_ref"), F.greatest("seg_order", F.coalesce("repaired", F.lit(1)))).otherwise(F.col("seg_order"))
     out = numbered.join(orders, "basin_id", "left").join(global_targets(numbered), "seg_id").join(global_sources(numbered), "seg_id")
-    return out.select(F.col("seg_id").alias("stream_id"), F.col("target_seg").alias("target_stream_id"), F.col("source_segs").alias("source_stream_ids"), order.cast("int").alias("stream_order"), "from_ref", "basin_id")
+    return out.select(F.col("seg_id").alias("stream_id"), F.col("target_seg").alias("target_stream_id"), F.col("source_segs").alias("source_stream_ids"), order.cast("int").alias("stream_order"), "from_ref", "basin_id", *carry)
+
+
+def streams_with_basins(streams: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Streams with the largest basin of their identifier; streams without a basin, and basins without a stream, are left out."""
+    return streams.join(largest_basin(candidates), "stream_id")
 
 
 def basin_max_orders(segments: DataFrame, streams: DataFrame) -> DataFrame:

@@ -15,6 +15,29 @@ def flow_links(vertices: DataFrame, line: str = "line_id", keep: tuple[str, ...]
     return vertices.select(line, "pos", *keep, F.coalesce(F.lag("pos").over(w), F.lit(-1)).alias("source_pos"), F.coalesce(F.lead("pos").over(w), F.lit(-1)).alias("target_pos"))
 
 
+def shared_nodes(vertices: DataFrame, line: str = "line_id") -> DataFrame:
+    """x, y, from_ref, own_order, n_sources, tx, ty of every place where lines have a vertex: a node of the flow.
+
+    vertices: line, pos, x, y, from_ref, own_order, pos growing downstream. Where lines share a vertex, its target is
+    that of the last line that goes on from there (reference lines come first, then by line), its sources are all
+    different places before it, and it is reference water if any of its lines is.
+    """
+    w = Window.partitionBy(line).orderBy("pos")
+    near = vertices.select(line, "pos", "x", "y", "from_ref", "own_order", F.lead(F.struct("x", "y")).over(w).alias("to"), F.lag(F.struct("x", "y")).over(w).alias("source"))
+    last = F.when(F.col("to").isNotNull(), F.struct((~F.col("from_ref")).cast("int").alias("kind"), line, "pos"))
+    order = F.max(F.when(F.col("from_ref"), F.col("own_order")))
+    out = near.groupBy("x", "y").agg(F.max("from_ref").alias("from_ref"), F.coalesce(order, F.lit(1)).alias("own_order"), F.size(F.collect_set("source")).cast("long").alias("n_sources"), F.max_by("to", last).alias("to"))
+    return out.select("x", "y", "from_ref", "own_order", "n_sources", F.col("to.x").alias("tx"), F.col("to.y").alias("ty"))
+
+
+def vertex_graph(vertices: DataFrame, line: str = "line_id") -> DataFrame:
+    """line, pos, to_pos, cost: both directions of every step of a line; a step costs what it descends."""
+    w = Window.partitionBy(line).orderBy("pos")
+    ahead = vertices.select(line, "pos", "elev", F.lead("pos").over(w).alias("to_pos"), F.lead("elev").over(w).alias("to_elev")).filter("to_pos IS NOT NULL")
+    down = ahead.select(line, "pos", "to_pos", F.greatest(F.lit(0), F.col("elev") - F.col("to_elev")).alias("cost"))
+    return down.unionByName(ahead.select(line, F.col("to_pos").alias("pos"), F.col("pos").alias("to_pos"), F.greatest(F.lit(0), F.col("to_elev") - F.col("elev")).alias("cost")))
+
+
 def downstream(vertices: DataFrame, line: str = "line_id") -> DataFrame:
     """Lines that are stored from mouth to source, turned round."""
     last = Window.partitionBy(line)
@@ -81,8 +104,24 @@ def segments_of(targets: dict[int, int], from_ref: dict[int, bool], own: dict[in
 SEGMENT = "basin_id long, local_id int, local_target int, local_sources array<int>, seg_order int, from_ref boolean, nodes array<long>"
 
 
-def segments(nodes: DataFrame) -> DataFrame:
-    """Segments of every basin from nodes (basin_id, node_id, target_id, from_ref, own_order); target -1: none. One task holds one basin."""
+def guarded(run, names: list[str]):
+    """run for a basin, with a column `error`: null, or in the one row of a basin that failed what went wrong. Other basins go on."""
+
+    def safe(basin: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return run(basin).assign(error=None)
+        except Exception as e:  # whatever a basin's data does to the kernel
+            row = dict.fromkeys(names) | {"basin_id": basin["basin_id"].iloc[0], "error": f"{type(e).__name__}: {e}"}
+            return pd.DataFrame([row], columns=[*names, "error"])
+
+    return safe
+
+
+def segments(nodes: DataFrame, guard: bool = False) -> DataFrame:
+    """Segments of every basin from nodes (basin_id, node_id, target_id, from_ref, own_order); target -1: none. One task holds one basin.
+
+    With guard, a basin that fails gives one row with its error instead of ending the job.
+    """
 
     def run(basin: pd.DataFrame) -> pd.DataFrame:
         ids = basin["node_id"].tolist()
@@ -90,4 +129,5 @@ def segments(nodes: DataFrame) -> DataFrame:
         frame = pd.DataFrame(found, columns=["local_id", "local_target", "local_sources", "seg_order", "from_ref", "nodes"])
         return frame.assign(basin_id=basin["basin_id"].iloc[0])[[x.split()[0] for x in SEGMENT.split(", ")]]
 
-    return nodes.groupBy("basin_id").applyInPandas(run, SEGMENT)
+    names = [x.split()[0] for x in SEGMENT.split(", ")]
+    return nodes.groupBy("basin_id").applyInPandas(guarded(run, names), SEGMENT + ", error string") if guard else nodes.groupBy("basin_id").applyInPandas(run, SEGMENT)

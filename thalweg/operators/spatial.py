@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import boxes_meet, in_ring
+from ..functions.geometry import boxes_meet, in_ring, line_meets_ring, step_box_distance2
 
 
 def box_join(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
@@ -30,3 +30,21 @@ def sample_grid(points: DataFrame, cells: DataFrame, size: float, west: float =
     """points with the cell columns of the nearest cell centre (gx, gy), null where there is no cell."""
     at = points.withColumns({"gx": F.floor((F.col("x") - west) / size).cast("int"), "gy": F.floor((F.col("y") - south) / size).cast("int")})
     return at.join(cells, ["gx", "gy"], "left")
+
+
+def meeting(lines: DataFrame, ring: Column, line: str = "line") -> DataFrame:
+    """Lines that meet a polygon: their boxes first, then vertices and steps themselves."""
+    edge = lambda of, k, f: f(F.transform(of, lambda p: p[k]))
+    own = F.col(line)
+    boxes = (edge(own, "x", F.array_min) <= edge(ring, "x", F.array_max)) & (edge(ring, "x", F.array_min) <= edge(own, "x", F.array_max)) & (edge(own, "y", F.array_min) <= edge(ring, "y", F.array_max)) & (edge(ring, "y", F.array_min) <= edge(own, "y", F.array_max))
+    return lines.filter(boxes & line_meets_ring(own, ring))
+
+
+def touched_cells(steps: DataFrame, size: float, buffer: float, west: float = 0.0, south: float = 0.0) -> DataFrame:
+    """gx, gy: cells of a grid whose box lies within `buffer` of a step (x1, y1, x2, y2) of a line, each once."""
+    span = lambda lo, hi, start: F.sequence(F.ceil((lo - buffer - start) / size) - 1, F.floor((hi + buffer - start) / size))
+    x, y = (F.least("x1", "x2"), F.greatest("x1", "x2")), (F.least("y1", "y2"), F.greatest("y1", "y2"))
+    near = steps.select("x1", "y1", "x2", "y2", F.explode(span(*x, west)).alias("gx"), F.lit(0).alias("_")).withColumn("gy", F.explode(span(*y, south)))
+    w, s = west + F.col("gx") * size, south + F.col("gy") * size
+    d2 = step_box_distance2(*(F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")), w, s, w + size, s + size)
+    return near.filter(d2 <= buffer * buffer).select("gx", "gy").distinct()

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cells import cost_weight, probability, water
-from ..operators import components, lines, merge, network, paths, skeleton
+from ..functions.cells import cost_weight, midpoint, probability, water
+from ..operators import components, lines, merge, network, paths, skeleton, spatial
 from ..operators.stencil import CELL, around
 from ..sources.tables import cut, fallback_rows
 
@@ -38,32 +38,61 @@ def cleaned(kinds: DataFrame) -> DataFrame:
     return thin.filter("kind = 2").unionByName(kept.select(*thin.columns))
 
 
-def flow_nodes(thin: DataFrame) -> DataFrame:
-    """basin_id, node_id, target_id, from_ref, own_order: reference cells flow south along their column, others by the flow forest to it."""
+def reference_flow(vertices: DataFrame) -> DataFrame:
+    """basin_id, r, c, to_r, to_c: from each vertex of a basin's reference lines (line_id, pos growing downstream) to the next, null at the mouth."""
+    w = Window.partitionBy("basin_id", "line_id").orderBy("pos")
+    ahead = vertices.select("basin_id", "r", "c", F.lead(F.struct("r", "c")).over(w).alias("to"), "line_id", "pos")
+    last = F.max_by("to", F.when(F.col("to").isNotNull(), F.struct("line_id", "pos")))
+    return ahead.groupBy("basin_id", "r", "c").agg(last.alias("to")).select("basin_id", "r", "c", F.col("to.r").alias("to_r"), F.col("to.c").alias("to_c"))
+
+
+def flow_nodes(thin: DataFrame, flow: DataFrame) -> DataFrame:
+    """basin_id, node_id, target_id, from_ref, own_order: reference cells flow as their lines do (see reference_flow), others by the flow forest to them."""
     sources = around(thin.withColumn("is_ref", F.col("kind") == 2), [F.lit(0).alias("_n")], ["elev", "kind"]).drop("_n")
     sources = sources.withColumns({"source": F.col("kind") == 2, "weight": F.lit(0.0)})
     forest = paths.flow_forest(sources)
     key = lambda r, c: F.shiftleft(F.col(r).cast("long"), 32) + F.col(c)
-    both = thin.join(forest.select(*CELL, "to_r", "to_c"), CELL)
-    south = thin.filter("kind = 2").select("basin_id", (F.col("r") - 1).alias("r"), "c", F.lit(True).alias("goes_on"))
-    target = F.when(F.col("kind") == 2, F.when(F.col("goes_on"), F.shiftleft((F.col("r") + 1).cast("long"), 32) + F.col("c")).otherwise(F.lit(-1))).otherwise(key("to_r", "to_c"))
-    return both.join(south, CELL, "left").select("basin_id", key("r", "c").alias("node_id"), target.alias("target_id"), (F.col("kind") == 2).alias("from_ref"), F.lit(1).alias("own_order"))
+    both = thin.join(forest.select(*CELL, "to_r", "to_c"), CELL).join(flow.select(*CELL, F.col("to_r").alias("ref_r"), F.col("to_c").alias("ref_c")), CELL, "left")
+    target = F.when(F.col("kind") == 2, F.coalesce(key("ref_r", "ref_c"), F.lit(-1))).otherwise(key("to_r", "to_c"))
+    return both.select("basin_id", key("r", "c").alias("node_id"), target.alias("target_id"), (F.col("kind") == 2).alias("from_ref"), F.lit(1).alias("own_order"))
+
+
+def line_of(nodes: str, west: float, north: float, size: float) -> Column:
+    """The midpoints of a segment's cells, as an array of structs x, y."""
+    return F.transform(nodes, lambda n: midpoint(F.shiftright(n, 32), n.bitwiseAND(F.lit((1 << 32) - 1)), west, north, size))
 
 
-def basin_segments(cells: DataFrame) -> DataFrame:
-    return network.segments(flow_nodes(cut(cleaned(connected(cells)), "cleaned")))
+def basin_segments(cells: DataFrame, flow: DataFrame, guard: bool = False) -> DataFrame:
+    return network.segments(flow_nodes(cut(cleaned(connected(cells)), "cleaned"), flow), guard)
 
 
-def vector_network(cells: DataFrame, streams: DataFrame) -> DataFrame:
-    """The whole run: segments of all basins, a fallback segment for streams whose basin made none, and their merge.
+def vector_network(cells: DataFrame, streams: DataFrame, flow: DataFrame, quarantine: str | None = None, west: float = 0.0, north: float = 0.0, size: float = 1.0) -> DataFrame:
+    """The whole run: segments of all basins with their lines (WKB), a fallback segment for streams whose basin made none, and their merge.
 
-    streams: stream_id (the basin's), base_order, target_id, us1, us2.
+    streams: stream_id (the basin's), base_order, target_id, us1, us2. The trusted stream stands in for its basin where
+    an index went wrong or nothing was found; basins that failed otherwise are left out, and all that failed are
+    written to `quarantine` with their errors.
     """
-    made = cut(basin_segments(cells), "segments").drop("nodes")
+    tried = cut(basin_segments(cells, flow, True), "segments")
+    failed = tried.filter("error IS NOT NULL").select("basin_id", "error")
+    if quarantine is not None:
+        failed.write.mode("overwrite").parquet(quarantine)
+    made = tried.filter("error IS NULL").withColumn("line", line_of("nodes", west, north, size)).drop("nodes", "error")
     links = streams.select(F.col("stream_id").alias("basin_id"), F.col("target_id").alias("basin_target"), "us1", "us2", "base_order")
     own = made.join(links, "basin_id").withColumn("seg_order", F.when(F.col("from_ref"), F.greatest("seg_order", "base_order")).otherwise(F.col("seg_order"))).drop("base_order")
-    none = fallback_rows(links, made).select("basin_id", F.lit(0).alias("local_id"), F.lit(-1).alias("local_target"), F.array().cast("array<int>").alias("local_sources"), F.col("base_order").alias("seg_order"), F.lit(True).alias("from_ref"), "basin_target", "us1", "us2")
-    return merge.merge_network(own.unionByName(none))
+    lost = failed.filter(~F.col("error").startswith("IndexError")).select("basin_id").distinct()
+    none = fallback_rows(links.join(lost, "basin_id", "left_anti"), made).select("basin_id", F.lit(0).alias("local_id"), F.lit(-1).alias("local_target"), F.array().cast("array<int>").alias("local_sources"), F.col("base_order").alias("seg_order"), F.lit(True).alias("from_ref"), "basin_target", "us1", "us2")
+    none = none.withColumn("line", F.lit(None).cast("array<struct<x:double,y:double>>"))
+    merged = merge.merge_network(own.unionByName(none), carry=("line",))
+    return merged.withColumn("line", lines.line_wkb("line"))
+
+
+def region_network(cells: DataFrame, streams: DataFrame, flow: DataFrame, places: DataFrame, ring: Column, quarantine: str | None = None) -> DataFrame:
+    """vector_network of the basins (places: basin_id, line) that meet the polygon `ring`; region ids come as the rings of scan_regions."""
+    wanted = cut(spatial.meeting(places, ring).select("basin_id").distinct(), "wanted")
+    of = lambda df: df.join(wanted, "basin_id", "left_semi")
+    own = streams.join(wanted.withColumnRenamed("basin_id", "stream_id"), "stream_id", "left_semi")
+    return vector_network(of(cells), own, of(flow), quarantine)
 
 
 def traced(cells: DataFrame) -> DataFrame:

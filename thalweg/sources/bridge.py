@@ -35,9 +35,10 @@ SELECT c_custkey AS bbox_id, CAST(c_custkey % 97 AS DOUBLE) / 10 AS w, CAST(c_cu
 SELECT user_id AS line_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) - 1 AS pos,
        CAST(event_id % 64 AS INT) AS x, CAST(floor(event_id / 64.0) AS BIGINT) % 64 AS y FROM events""",
     "b_points": "SELECT p_partkey AS point_id, p_partkey % 25 AS grp, CAST(p_size AS BIGINT) AS x, (p_partkey * 13) % 50 AS y FROM part",
+    "b_ref_cells": "SELECT basin_id, basin_id AS line_id, r AS pos, r, c FROM b_cells_masked WHERE is_ref",
     "b_ref_vertices": "SELECT c_custkey AS vertex_id, CAST(c_nationkey AS BIGINT) AS grp, (c_custkey * 17) % 50 AS x, (c_custkey * 29) % 50 AS y FROM customer",
 }
-NEEDS = {"b_cells_masked": ("b_cells",), "b_segments": ("b_streams",)}
+NEEDS = {"b_cells_masked": ("b_cells",), "b_ref_cells": ("b_cells", "b_cells_masked"), "b_segments": ("b_streams",)}
 
 
 def load(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:

@@ -6,8 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from ..functions.geometry import line_length
+
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """df written to the folder that all executors share and read again, so that an iteration's plan stays small."""
@@ -15,6 +18,8 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.getCheckpointDir():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="thalweg-"))
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -35,6 +40,65 @@ def tile_index(spark: SparkSession, folder: str, pattern: str = "*.tif") -> Data
     return files.withColumn("box", tile_box(F.col("file_name"))).select("file_name", "box.*").filter("w IS NOT NULL")
 
 
+def kept_index(spark: SparkSession, folder: str, index: str, pattern: str = "*.tif") -> DataFrame:
+    """tile_index of a folder, written to `index` and read from there until the number of the folder's tiles changes."""
+    now = tile_index(spark, folder, pattern)
+    try:
+        held = spark.read.parquet(index)
+        if held.count() == now.count():
+            return held
+    except AnalysisException:  # there is none yet
+        pass
+    now.write.mode("overwrite").parquet(index)
+    return spark.read.parquet(index)
+
+
+def cropped(tiles: DataFrame, tile: str, value: str, box: tuple[int, int, int, int], nodata: float = 1e30) -> DataFrame:
+    """Cells (tile, r, c, value) inside the box (first and last row, first and last column, all inclusive).
+
+    Tiles of which one row or column at most is left are dropped. Values from nodata on become null.
+    """
+    r0, r1, c0, c1 = box
+    inside = tiles.filter(F.col("r").between(r0, r1) & F.col("c").between(c0, c1))
+    wide = inside.groupBy(tile).agg((F.min("r") < F.max("r")).alias("tall"), (F.min("c") < F.max("c")).alias("wide")).filter("tall AND wide")
+    return inside.join(wide.select(tile), tile, "left_semi").withColumn(value, F.when(F.col(value) < nodata, F.col(value)))
+
+
+def box_raster(tiles: DataFrame, tile: str, value: str, box: tuple[int, int, int, int], nodata: float = 1e30) -> DataFrame:
+    """r, c, value of every place of the box: of tiles that overlap, that of the least tile with data; without any, 0 (integers) or NaN."""
+    r0, r1, c0, c1 = box
+    places = tiles.sparkSession.range(r0, r1 + 1).select(F.col("id").cast("int").alias("r")).withColumn("c", F.explode(F.sequence(F.lit(c0), F.lit(c1))))
+    found = mosaic(cropped(tiles, tile, value, box, nodata), ["r", "c"], value, tile)
+    kind = tiles.schema[value].dataType.typeName()
+    none = F.lit(float("nan") if kind in ("float", "double") else 0).cast(kind)
+    return places.join(found, ["r", "c"], "left").select("r", "c", F.coalesce(value, none).alias(value))
+
+
+def scan_lines(spark: SparkSession, path: str, columns: list[str], mask: Column | None = None, line: str = "line") -> DataFrame:
+    """The named columns of a Parquet table of lines: those with a length, and those that the mask (a column) lets through."""
+    rows = spark.read.parquet(path).select(*columns)
+    return with_length(rows if mask is None else rows.filter(mask), line)
+
+
+def with_length(rows: DataFrame, line: str = "line") -> DataFrame:
+    return rows.filter(line_length(F.col(line)) > 0)
+
+
+def scan_regions(spark: SparkSession, path: str, key: str = "HYBAS_ID") -> DataFrame:
+    """region_id, ring (outer ring, array of structs x, y) of the polygons of a GeoJSON feature collection; multi-polygons give a row for each part."""
+    schema = f"features array<struct<properties: struct<`{key}`: long>, geometry: struct<type: string, coordinates: string>>>"
+    each = spark.read.option("multiLine", "true").schema(schema).json(path).select(F.explode("features").alias("f")).select(F.col(f"f.properties.{key}").alias("region_id"), "f.geometry.type", "f.geometry.coordinates")
+    one = F.array(F.from_json("coordinates", "array<array<array<double>>>"))
+    many = F.from_json("coordinates", "array<array<array<array<double>>>>")
+    parts = each.select("region_id", F.explode(F.when(F.col("type") == "Polygon", one).when(F.col("type") == "MultiPolygon", many)).alias("rings"))
+    return parts.select("region_id", F.transform(F.col("rings")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("ring"))
+
+
+def write_network(network: DataFrame, path: str) -> None:
+    """The final table, ordered by identifier within its files; a rerun replaces it."""
+    network.repartitionByRange("stream_id").sortWithinPartitions("stream_id").write.mode("overwrite").parquet(path)
+
+
 def mosaic(cells: DataFrame, at: list[str], value: str, rank: str, nodata: float = 1e30) -> DataFrame:
     """One value for each place: of tiles that overlap, the one of least rank. Values from nodata on count as missing."""
     return cells.filter(F.col(value) < nodata).groupBy(*at).agg(F.min_by(value, rank).alias(value))
@@ -55,6 +119,16 @@ def write_segments(segments: DataFrame, path: str, region: str = "region_id") ->
     segments.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(region).parquet(path)
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """All written segments; files that are missing or broken are left out."""
+def broken_files(spark: SparkSession, path: str) -> DataFrame:
+    """file_name of the files that are no Parquet files: those that don't begin and end with its mark."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    mark = F.lit("PAR1").cast("binary")
+    whole = (F.col("length") >= 12) & (F.substring("content", 1, 4) == mark) & (F.expr("substring(content, CAST(length AS INT) - 3, 4)") == mark)
+    return files.filter(~whole).select(F.col("path").alias("file_name"))
+
+
+def read_segments(spark: SparkSession, path: str, quarantine: str | None = None) -> DataFrame:
+    """All written segments; files that are missing or broken are left out, and the names of broken ones are written to `quarantine`."""
+    if quarantine is not None:
+        broken_files(spark, path).write.mode("overwrite").parquet(quarantine)
     return spark.read.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").parquet(path)
