@@ -111,7 +111,8 @@ def by_blocks(streams: DataFrame, rule: Callable[[int, list[int], int], int], as
     deep = cut(depths(streams), "depths")
     # the first stream of a block points to itself, all others to their parents: doubled, every one finds its block
     top = deep.select("stream_id", F.when(F.col("depth") % block == 0, F.col("stream_id")).otherwise(F.col("parent")).alias("ptr"), F.lit(0).alias("dist"))
-    for _ in range((block - 1).bit_length()):
+    for _ in range(-(-(block - 1).bit_length() // 2)):
+        top = composed(top, top)
         top = cut(composed(top, top), "blocks")
     base = streams.select("stream_id", "us1", "us2", "base_order")
     deep = deep.withColumn("parent", F.coalesce("parent", F.lit(-1)))
