@@ -90,3 +90,12 @@ def test_connected_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {**dict.fromkeys(range(201), 0), 900: 900, 901: 900}
+
+
+def test_hubs_are_joined_apart(spark, monkeypatch):
+    from thalweg.llm import components
+
+    monkeypatch.setattr(components, "FEW_EDGES", 0)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 900)] + [(i, i + 1) for i in range(2000, 2020)], "a long, b long")
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    assert got == {**dict.fromkeys(range(900), 0), **dict.fromkeys(range(2000, 2021), 2000)}

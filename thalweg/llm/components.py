@@ -7,24 +7,27 @@ from pyspark.sql import functions as F
 
 from .common import join_hot, materialize
 
+FEW_EDGES = 1_000_000
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (smallest node reachable) of every node of an edge between different nodes.
 
     Each round is written to the shared folder, and rounds go on until the edges are stars that no round changes. A
     star step only groups edges by a node through its smallest neighbour, never collecting the neighbours, and joins
-    the edges of a hub without sending them to one task.
+    the edges of a hub without sending them to one task, if there are more edges than one task may well hold.
     """
     links = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter("hi <> lo").distinct()
     links = materialize(links, "edges")
     mark = fingerprint(links)
     while True:
+        join = join_hot if mark[0] > FEW_EDGES else lambda rows, groups, key, size: rows.join(groups, key)
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = join_hot(both, least, ["u"], "n").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
+        large = join(both, least, ["u"], "n").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
         large = materialize(large, "large-star")
         least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
-        small = join_hot(large, least, ["hi"], "n").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
+        small = join(large, least, ["hi"], "n").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
         links = materialize(small, "small-star")
         now = fingerprint(links)
         if now == mark:
