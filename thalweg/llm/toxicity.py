@@ -23,7 +23,7 @@ from .common import text_of
 
 FEATURE_BITS = 19
 BEGINNINGS = (4, 5, 6, 8)
-MOST_WORDS = 400_000
+MOST_WORDS = 100_000
 WORD = re.compile(r"\w+")
 #: Identity terms, in rows whose terms are swapped for one another.
 IDENTITY_TERMS = (
