@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -187,13 +188,13 @@ class Encoder:
 
 
 def in_parts(batch: pa.RecordBatch, size: int = 1 << 21) -> Iterator[tuple[pa.Array, list[str]]]:
-    """The identifiers and texts of a batch, about `size` characters at a time."""
+    """The identifiers and texts of a batch, about `size` bytes at a time; no more texts than that are Python strings at once."""
+    sizes = pc.binary_length(batch.column(1)).to_pylist()
     lo = total = 0
-    texts = batch.column(1).to_pylist()
-    for i, text in enumerate(texts):
-        total += len(text)
-        if total > size or i + 1 == len(texts):
-            yield batch.column(0).slice(lo, i + 1 - lo), texts[lo : i + 1]
+    for i, n in enumerate(sizes):
+        total += n
+        if total > size or i + 1 == len(sizes):
+            yield batch.column(0).slice(lo, i + 1 - lo), batch.column(1).slice(lo, i + 1 - lo).to_pylist()
             lo, total = i + 1, 0
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 #: A key with more than 1/HOT_SHARE of all rows is hot. Fewer than HOT_SHARE keys can be, so a table with a row for
 #: each hot key is small at every size of the input.
 HOT_SHARE = 512
+#: Rows and bytes of one batch on its way to a Python worker at most: buffers on both sides are of this size, not of a partition's.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,11 +35,34 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
+def size_of(setting: str) -> int:
+    """The number of a setting like 1024, 67108864b or 4m."""
+    digits = setting.lower().removesuffix("b")
+    power = "kmgt".find(digits[-1]) + 1
+    return int(digits[:-1] if power else digits) << (10 * power)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of at most BATCH_ROWS rows and BATCH_BYTES bytes, or of what the session sets if that is less, until the block ends."""
+    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {name: spark.conf.get(name) for name in most}
+    for name, n in most.items():
+        if not 0 < size_of(before[name]) <= n:
+            spark.conf.set(name, n)
+    try:
+        yield
+    finally:
+        for name, own in before.items():
+            spark.conf.set(name, own)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,11 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import in_parts
-from .common import text_of
+from .common import small_batches, text_of
 
 FEATURE_BITS = 19
 BEGINNINGS = (4, 5, 6, 8)
 MOST_WORDS = 100_000
+AT_ONCE = 512  #: rows whose texts are Python strings at once
 WORD = re.compile(r"\w+")
 #: Identity terms, in rows whose terms are swapped for one another.
 IDENTITY_TERMS = (
@@ -165,7 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(sample), "_id")
     rows = rows.groupBy("_id", "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text")).select("_id", "_text", "_label")
-    got = rows.mapInArrow(extract, "_id long, _label int, features binary, twin binary").toArrow().sort_by([("_id", "ascending"), ("features", "ascending")])
+    with small_batches(docs.sparkSession):
+        got = rows.mapInArrow(extract, "_id long, _label int, features binary, twin binary").toArrow().sort_by([("_id", "ascending"), ("features", "ascending")])
     if not got.num_rows:
         return Model(np.zeros(1 << FEATURE_BITS, np.float32), 0.0)
     of_bytes = lambda x: None if x.as_buffer() is None else np.frombuffer(x.as_buffer(), "<u4")
@@ -200,6 +202,8 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held.value.scorer()
         for batch in batches:
-            yield batch.filter(pa.array([scorer(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            for lo in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(lo, AT_ONCE)
+                yield part.filter(pa.array([scorer(t or "") < threshold for t in part.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, schema)
