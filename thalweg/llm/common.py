@@ -42,14 +42,20 @@ def size_of(setting: str) -> int:
     return int(digits[:-1] if power else digits) << (10 * power)
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Batches of at most BATCH_ROWS rows and BATCH_BYTES bytes, or of what the session sets if that is less, until the block ends."""
+def bound_batches(spark: SparkSession) -> dict[str, str]:
+    """From now on batches of at most BATCH_ROWS rows and BATCH_BYTES bytes, or of what the session sets if that is less; the settings before."""
     most = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
     before = {name: spark.conf.get(name) for name in most}
     for name, n in most.items():
         if not 0 < size_of(before[name]) <= n:
             spark.conf.set(name, n)
+    return before
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """bound_batches until the block ends."""
+    before = bound_batches(spark)
     try:
         yield
     finally:
