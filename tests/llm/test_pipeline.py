@@ -96,3 +96,40 @@ def test_operators_take_clashing_columns_and_no_rows(spark):
     assert toxicity.score(none, model).count() == 0 and secrets.scan(none).count() == 0
 
 
+def test_batches_are_bounded_and_smaller_settings_stay(spark):
+    import pyarrow as pa
+
+    from thalweg.llm.common import BATCH_BYTES, BATCH_ROWS, small_batches
+
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    kept = [spark.conf.get(n) for n in names]
+    try:
+        for own, inside in ((("10000", "64m"), (BATCH_ROWS, BATCH_BYTES)), (("0", "1g"), (BATCH_ROWS, BATCH_BYTES)), (("7", "1m"), ("7", "1m"))):
+            for n, x in zip(names, own, strict=True):
+                spark.conf.set(n, x)
+            with small_batches(spark):
+                rows = spark.range(3000).repartition(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+                assert [size_text(spark.conf.get(n)) for n in names] == [size_text(x) for x in inside]
+            assert max(r.n for r in rows) <= int(inside[0])
+            assert [size_text(spark.conf.get(n)) for n in names] == [size_text(x) for x in own]
+    finally:
+        for n, x in zip(names, kept, strict=True):
+            spark.conf.set(n, x)
+
+
+def size_text(x):
+    from thalweg.llm.common import size_of
+
+    return size_of(str(x))
+
+
+def test_parts_of_a_batch_hold_every_text():
+    import pyarrow as pa
+
+    from thalweg.llm.bpe import in_parts
+
+    texts = ["", "ä" * 50, "x" * 300, "", "y", "z" * 90, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(in_parts(batch, 100))
+    assert [t for _, own in parts for t in own] == texts and [i for ids, _ in parts for i in ids.to_pylist()] == list(range(7))
+    assert [len(own) for _, own in parts] == [3, 4] and not list(in_parts(batch.slice(0, 0)))
