@@ -2,8 +2,9 @@
 
 A logistic model over hashed word features (each distinct word, and its beginnings, which stand for inflected forms).
 It is fitted on a bounded sample of labelled rows. Every sampled text that names a group of people also comes with its
-identity terms swapped for those of another group; the squared difference of the two scores is part of the loss, so
-the model cannot lean on the mention itself, and neutral mentions of a group are not taken for attacks on it.
+identity terms swapped for those of another group, every other one with a term put in; the squared difference of the
+two scores is part of the loss, so the model cannot lean on the mention itself, or on what a term shares with other
+words, and neutral mentions of a group are not taken for attacks on it.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ IDENTITY_TERMS = (
 )
 SWAP = {w: row[(i + 1) % len(row)] for row in map(str.split, IDENTITY_TERMS) for i, w in enumerate(row)}
 
+TERMS = sorted(SWAP)
+#: Weight of the penalty on score changes against the log loss.
+STRENGTH = 20.0
+
 
 def feature_ids(word: str) -> list[int]:
     forms = [f"={word}", *(f"{k}{word[:k]}" for k in BEGINNINGS if len(word) >= k)]
@@ -52,9 +57,11 @@ def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def swapped(words: set[str]) -> set[str] | None:
-    """The words with identity terms swapped; None if there is none among them."""
-    return {SWAP.get(w, w) for w in words} if not words.isdisjoint(SWAP) else None
+def counterfactual_of(words: set[str]) -> tuple[set[str], bool]:
+    """The words with identity terms swapped, or with one put in if there is none; and whether they had one."""
+    if not words.isdisjoint(SWAP):
+        return {SWAP.get(w, w) for w in words}, True
+    return words | {TERMS[zlib.crc32(" ".join(sorted(words)).encode()) % len(TERMS)]}, False
 
 
 @dataclass
@@ -84,14 +91,14 @@ def rows_to_matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.repeat(np.arange(len(rows)), counts)
 
 
-def fit(features: list[np.ndarray], twins: list[np.ndarray | None], labels: np.ndarray, sample_weights: np.ndarray | None = None, counterfactual: float = 1.0, l2: float = 1e-4, rounds: int = 120, evidence: float = 5.0) -> Model:
+def fit(features: list[np.ndarray], twins: list[np.ndarray], named: np.ndarray, labels: np.ndarray, sample_weights: np.ndarray | None = None, counterfactual: float = STRENGTH, l2: float = 1e-4, rounds: int = 120, evidence: float = 5.0) -> Model:
     """Logistic regression by Adam on the whole sample: log loss + l2 |w|^2 + counterfactual * mean (score - twin's score)^2.
 
+    The mean is that of the rows that name a group (named) plus that of the others, so neither kind thins the other out.
     Only features whose log odds between the classes lie `evidence` standard errors from zero get a weight, so words
     that are merely rare don't. The result depends on the sample alone.
     """
     size, n = 1 << FEATURE_BITS, len(features)
-    paired = [i for i, t in enumerate(twins) if t is not None]
     c1, c0 = np.full(size, 0.5), np.full(size, 0.5)
     for f, label in zip(features, labels, strict=True):  # numbers of rows, not of words
         (c1 if label == 1 else c0)[np.unique(f)] += 1
@@ -100,7 +107,7 @@ def fit(features: list[np.ndarray], twins: list[np.ndarray | None], labels: np.n
     seen = np.abs(odds) >= evidence * np.sqrt(1 / c1 + 1 / c0)
     seen |= (c1 >= 5) & (c0 < 1) & (odds > 2.5) | (c0 >= 5) & (c1 < 1) & (odds < -2.5)
     ids, of = rows_to_matrix([f[seen[f]].astype(np.int64) for f in features])
-    ids2, of2 = rows_to_matrix([twins[i][seen[twins[i]]].astype(np.int64) for i in paired])
+    ids2, of2 = rows_to_matrix([t[seen[t]].astype(np.int64) for t in twins])
     used, ids = np.unique(np.concatenate([ids, ids2]), return_inverse=True)
     ids, ids2 = ids[: len(of)], ids[len(of) :]
     y = labels.astype(np.float64)
@@ -109,21 +116,19 @@ def fit(features: list[np.ndarray], twins: list[np.ndarray | None], labels: np.n
     w, b = np.zeros(len(used)), float(np.log((np.sum(sw * y) + 1e-3) / (np.sum(sw * (1 - y)) + 1e-3)))
     m = np.zeros(len(used) + 1)
     v = np.zeros(len(used) + 1)
-    pick = np.array(paired, np.int64)
+    share = np.where(named, 1 / max(int(named.sum()), 1), 1 / max(int((~named).sum()), 1))
     for t in range(1, rounds + 1):
         z = np.bincount(of, w[ids], minlength=n) + b
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         slope = sw * (p - y)
         grad = np.bincount(ids, slope[of], minlength=len(used)) + 2 * l2 * w
         grad_b = slope.sum()
-        if len(pick):
-            z2 = np.bincount(of2, w[ids2], minlength=len(pick)) + b
-            p2 = 1 / (1 + np.exp(-np.clip(z2, -30, 30)))
-            d = 2 * counterfactual * (p[pick] - p2) / len(pick)
-            down, up = np.zeros(n), -d * p2 * (1 - p2)
-            down[pick] = d * p[pick] * (1 - p[pick])
-            grad += np.bincount(ids, down[of], minlength=len(used)) + np.bincount(ids2, up[of2], minlength=len(used))
-            grad_b += down.sum() + up.sum()
+        z2 = np.bincount(of2, w[ids2], minlength=n) + b
+        p2 = 1 / (1 + np.exp(-np.clip(z2, -30, 30)))
+        d = 2 * counterfactual * share * (p - p2)
+        down, up = d * p * (1 - p), -d * p2 * (1 - p2)
+        grad += np.bincount(ids, down[of], minlength=len(used)) + np.bincount(ids2, up[of2], minlength=len(used))
+        grad_b += down.sum() + up.sum()
         g = np.append(grad, grad_b)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.08 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
@@ -137,7 +142,7 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, counterfactual: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, counterfactual: float = STRENGTH) -> Model:
     """Fit on at most `per_class` labelled rows of each class that are not held out: those of smallest hashed identifier.
 
     That bound (8,000 rows by default) is all that reaches the driver, and one row of each identifier, whatever repeats:
@@ -161,20 +166,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         for batch in batches:
             words = [words_of(t) for t in batch.column(1).to_pylist()]
-            twin = [swapped(w) for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(map(ids, words)), pa.binary()), pa.array([None if t is None else ids(t) for t in twin], pa.binary())], ["_id", "_label", "features", "twin"])
+            twins, named = zip(*map(counterfactual_of, words), strict=True) if words else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(ids, words), pa.binary()), pa.array(map(ids, twins), pa.binary()), pa.array(named, pa.bool_())], ["_id", "_label", "features", "twin", "named"])
 
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(sample), "_id")
     rows = rows.groupBy("_id", "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text")).select("_id", "_text", "_label")
     with small_batches(docs.sparkSession):
-        got = rows.mapInArrow(extract, "_id long, _label int, features binary, twin binary").toArrow().sort_by([("_id", "ascending"), ("features", "ascending")])
+        got = rows.mapInArrow(extract, "_id long, _label int, features binary, twin binary, named boolean").toArrow().sort_by([("_id", "ascending"), ("features", "ascending")])
     if not got.num_rows:
         return Model(np.zeros(1 << FEATURE_BITS, np.float32), 0.0)
-    of_bytes = lambda x: None if x.as_buffer() is None else np.frombuffer(x.as_buffer(), "<u4")
+    of_bytes = lambda x: np.frombuffer(x.as_buffer(), "<u4")
     y = got["_label"].to_numpy()
     taken = {k: max(int((y == k).sum()), 1) for k in (0, 1)}
     weight = np.where(y == 1, totals.get(1, 0) / taken[1], totals.get(0, 0) / taken[0])  # as in all labelled rows
-    return fit(list(map(of_bytes, got["features"])), list(map(of_bytes, got["twin"])), y, weight, counterfactual)
+    return fit(list(map(of_bytes, got["features"])), list(map(of_bytes, got["twin"])), np.array(got["named"].to_pylist(), bool), y, weight, counterfactual)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
