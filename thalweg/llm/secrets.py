@@ -26,12 +26,15 @@ BLOCK = 256  #: matches whose positions are added up in one list
 WORD = r"[A-Za-z0-9+/_-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 THRESHOLD = 9.0  #: of the log-likelihood ratio: the odds that make up for how much rarer secrets are than ordinary words
-#: Parts of ordinary identifiers, from which the labelled sample of them is put together.
-PARTS = "arbeits zeit gesellschaft wirtschaft entwicklung verwaltung möglich schrift stelle haus recht schutz versicherung ungen keiten administración desarrollo información comunicación mente sociedad trabajo gobierno fonctionnement développement gouvernement internationale responsabilité ment tion heureux nombreux niveaux oiseaux quelle queue elle aux eux ouvrier get set user name list index value count file path data time date key node item page size type text line byte code error state result request response client server config option default cache table column row query filter sort group order total number string array object class method module import export test build version update create delete insert select where from with before after start end first last next previous parent child left right top bottom image color width height length format parse print write read open close send receive handler manager factory service provider context session account message event listener thread process memory buffer stream input output source target http html json".split()
+#: Ordinary words of four languages, from which the labelled sample of identifiers is put together.
+WORDS = "about access across active advice again agreed always animal anyone around article average because before believe better beyond brother building camera castle century charge choice circle climate common complex concept consider context corner country culture customer danger debate decision degree demand detail device dinner discover district document during edition effect eight emergency energy enough equal evening example exercise express failure feature filter flower foreign forward function garden ground handle history however husband import income industry inquiry insurance island judge language library listener manager material medical member message middle minute moment mountain number observe opinion package people picture popular power problem product property quarter quickly record request response river science section server session simple source station street structure subject summer surface table thread together traffic triangle update value version vision watch weather weekend window without woman world yellow zone arbeit bildung brücke dienst entwicklung erfahrung fahrzeug forschung freiheit gebäude gemeinde geschichte gesellschaft gesundheit grundlage kirche landschaft leistung möglichkeit nachricht sprache straße verwaltung wirtschaft wissenschaft zeitung actividad ciudad comunicación desarrollo educación empresa gobierno historia información investigación mujer naturaleza pueblo trabajo beaucoup bibliothèque bonheur connaissance développement environnement fonctionnement gouvernement heureux histoire jeunesse monde mouvement nouveau oiseau ouvrier quelque renseignement travail vieux ville".split()
 
 
-def labelled_samples(n: int = 2000) -> list[tuple[str, int]]:
-    """A bounded labelled sample made by rule: n random strings (1) and n identifiers (0), the same on every call."""
+def labelled_samples(n: int = 6000) -> list[tuple[str, int]]:
+    """A bounded labelled sample made by rule: n random strings (1) and n identifiers (0), the same on every call.
+
+    Identifiers are two to five words in lower, title or upper case, joined by nothing or a sign, half of them with a number.
+    """
     digest = lambda kind, i: hashlib.sha512(f"{kind}{i}".encode()).digest()
     out = []
     for i in range(n):
@@ -39,10 +42,9 @@ def labelled_samples(n: int = 2000) -> list[tuple[str, int]]:
         alphabet = ALPHABET if i % 3 else ALPHABET[:62]
         out.append(("".join(alphabet[x % len(alphabet)] for x in d[: 20 + i % 28]), 1))
         d = digest("name", i)
-        parts = [PARTS[x % len(PARTS)] for x in d[: 3 + i % 4]]
-        tail = str(d[20] * 7 % 2000) if i % 2 else ""
-        style = i % 4
-        out.append(("_".join(parts) + tail if style == 0 else "".join(p.title() for p in parts) + tail if style == 1 else "/".join(parts) + tail if style == 2 else "".join(parts) + tail, 0))
+        words = [WORDS[(d[2 * k] * 256 + d[2 * k + 1]) % len(WORDS)] for k in range(2 + i % 4)]
+        case = (str.lower, str.title, str.upper, str.lower)[d[40] % 4]
+        out.append((("_", "", "/", "", "-")[i % 5].join(map(case, words)) + (str(d[20] * 7 % 2000) if i % 2 else ""), 0))
     return out
 
 
