@@ -96,15 +96,31 @@ def test_orders_of_deep_trees(spark, block):
     assert got == {i: plain(i) for i in kids} | {500: 2, 501: 3, 400: 1}
 
 
-def test_a_failing_basin_does_not_end_the_job(spark, tmp_path, monkeypatch):
-    nodes = spark.createDataFrame([(1, 10, 11, False, 1), (1, 11, -1, True, 1), (2, 5, 5, None, None)], "basin_id long, node_id long, target_id long, from_ref boolean, own_order int")
-    got = network.segments(nodes, guard=True).collect()
-    assert {r.basin_id for r in got if r.error is None} == {1}
-    out = basins.vector_network(*(x(spark, SF) if callable(x) else x for x in (lambda s, d: catalog.load(s, d, "b_cells_masked"), lambda s, d: catalog.load(s, d, "b_streams"), catalog.reference)), quarantine=str(tmp_path / "q")).collect()
+def test_lines_of_the_network_and_no_failures(spark, tmp_path):
+    out = basins.vector_network(*inputs(spark), quarantine=str(tmp_path / "q")).collect()
     assert spark.read.parquet(str(tmp_path / "q")).count() == 0
     assert {r.line is None for r in out} == {True, False} and all(bytes(r.line[:5]) == b"\x01\x02\x00\x00\x00" for r in out if r.line)
 
 
+def inputs(spark):
+    return catalog.load(spark, SF, "b_cells_masked"), catalog.load(spark, SF, "b_streams"), catalog.reference(spark, SF)
+
+
+def test_region_network_is_that_of_its_basins(spark):
+    """A polygon takes the basins that meet it; what comes out is the network of these alone."""
+    cells, streams, flow = inputs(spark)
+    ids = sorted(r.basin_id for r in cells.select("basin_id").distinct().collect())
+    places = spark.createDataFrame([(b, [(float(10 * b), 1.0), (float(10 * b), 3.0)]) for b in ids], "basin_id long, line array<struct<x:double,y:double>>")
+    wanted = ids[: len(ids) // 2]
+    ring = tables.ring_literal([(-5.0, 0.0), (10.0 * wanted[-1] + 5, 0.0), (10.0 * wanted[-1] + 5, 2.0), (-5.0, 2.0), (-5.0, 0.0)])
+    own = F.col("basin_id").isin(wanted)
+    got = basins.region_network(cells, streams, flow, places, ring).orderBy("stream_id").collect()
+    want = basins.vector_network(cells.filter(own), streams.filter(F.col("stream_id").isin(wanted)), flow.filter(own)).orderBy("stream_id").collect()
+    assert got == want and {r.basin_id for r in got} == set(wanted)
+    nowhere = tables.ring_literal([(-9.0, -9.0), (-8.0, -9.0), (-8.0, -8.0), (-9.0, -9.0)])
+    assert basins.region_network(cells, streams, flow, places, nowhere).count() == 0
+
+
 def test_segment_lines_follow_their_cells(spark):
     held = catalog.QUERIES["basin_pipeline"](spark, SF).count()
     assert held > 0

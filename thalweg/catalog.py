@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cells as fc
-from .operators import components, lines, merge, network, paths, skeleton, spatial, stencil
+from .operators import components, lines, merge, network, noding, paths, skeleton, spatial, stencil, tiled
 from .plans import basins
 from .sources import tables
 from .sources.bridge import load, with_views
@@ -187,6 +187,11 @@ def land_components(spark, sf_dir):
     return labelled(spark, sf_dir).filter("comp < 0").select(*CELL, "comp")
 
 
+@query(WATER_LABELS + LAND_LABELS.removeprefix(WATERED) + " SELECT basin_id, r, c, comp FROM comp UNION ALL SELECT basin_id, r, c, comp FROM land", "b_cells_masked", recursive=True)
+def tiled_components(spark, sf_dir):
+    return tiled.label(masked(spark, sf_dir).select(*CELL, "water"), tile=8).select(*CELL, "comp")
+
+
 @query(WATER_LABELS + " SELECT basin_id, comp, COUNT(*) AS n_cells, CAST(MAX(elev) - MIN(elev) AS BIGINT) AS elev_range FROM comp JOIN w USING (basin_id, r, c) GROUP BY basin_id, comp", "b_cells_masked", recursive=True)
 def component_stats(spark, sf_dir):
     return components.stats(labelled(spark, sf_dir).filter("comp > 0"))
@@ -241,6 +246,11 @@ def bounded_paths_dist_400(spark, sf_dir):
     return paths.bounded_distances(nodes(spark, sf_dir), paths.CUTOFFS[2]).withColumn("dist", F.round("dist", 6))
 
 
+@query(WATERED + DIST.replace("<= 8 ", "<= 32 ") + " SELECT basin_id, r, c, round(d, 6) AS dist FROM dist", "b_cells_masked", recursive=True)
+def tiled_paths_dist(spark, sf_dir):
+    return tiled.bounded_distances(nodes(spark, sf_dir), paths.CUTOFFS[1], tile=16).withColumn("dist", F.round("dist", 6))
+
+
 @query(WATERED + DIST.replace(COST, "CAST(greatest(0, u.elev - v.elev) AS DOUBLE)").replace("prob > 0.1 OR water = 1", "water = 1").replace("x.d + e.cost <= 8 AND ", "") + " SELECT basin_id, r, c, d AS dist FROM dist", "b_cells_masked", recursive=True)
 def path_forest_dist(spark, sf_dir):
     return paths.flow_forest(nodes(spark, sf_dir).filter("water = 1")).select(*CELL, "dist")
@@ -248,7 +258,8 @@ def path_forest_dist(spark, sf_dir):
 
 @query()
 def unseen_components(spark, sf_dir):
-    held = tables.cut(components.label(masked(spark, sf_dir)), "labelled")
+    """Over ground eight times as steep, where barred steps leave waters that no round reaches."""
+    held = tables.cut(components.label(masked(spark, sf_dir).withColumn("elev", F.col("elev") * 8)), "labelled")
     low = components.lowest_cell(held).select(*CELL, F.lit(True).alias("low"))
     return paths.unseen_components(components.merge_main(held).join(low, CELL, "left").withColumn("low", F.coalesce("low", F.lit(False))))
 
@@ -479,16 +490,13 @@ CORNERS = [("gx * 4.0", "gy * 4.0"), ("(gx * 4.0 + 4)", "gy * 4.0"), ("gx * 4.0"
 SIGNS = ", ".join(f"sign((x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1))" for x, y in CORNERS)
 
 
-@query(STEPS_SQL + f""", brief AS (SELECT * FROM steps WHERE x2 IS NOT NULL AND abs(x2 - x1) + abs(y2 - y1) <= 12),
-near AS (SELECT brief.*, gx, gy FROM brief, (SELECT unnest(range(-1, 17)) AS gx) a, (SELECT unnest(range(-1, 17)) AS gy) b)
-SELECT DISTINCT CAST(gx AS BIGINT) AS gx, CAST(gy AS BIGINT) AS gy FROM near
+@query(STEPS_SQL + f""", near AS (SELECT s.*, gx, gy FROM steps s, (SELECT unnest(range(-1, 17)) AS gx) a, (SELECT unnest(range(-1, 17)) AS gy) b WHERE x2 IS NOT NULL)
+SELECT DISTINCT line_id, CAST(gx AS BIGINT) AS gx, CAST(gy AS BIGINT) AS gy FROM near
 WHERE (greatest(x1, x2) >= gx * 4 AND least(x1, x2) <= gx * 4 + 4 AND greatest(y1, y2) >= gy * 4 AND least(y1, y2) <= gy * 4 + 4 AND least({SIGNS}) <= 0 AND greatest({SIGNS}) >= 0)
 OR least({TO_BOX.format(x="x1", y="y1")}, {TO_BOX.format(x="x2", y="y2")}, {", ".join(TO_STEP.format(x=x, y=y) for x, y in CORNERS)}) <= 0.25""", "b_line_vertices")
 def touched_cells(spark, sf_dir):
-    near = network.flow_links(load(spark, sf_dir, "b_line_vertices"))
-    ahead = load(spark, sf_dir, "b_line_vertices").select("line_id", F.col("pos").alias("target_pos"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    steps = near.join(ahead, ["line_id", "target_pos"]).select(F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
-    return spatial.touched_cells(steps.filter("abs(x2 - x1) + abs(y2 - y1) <= 12"), 4.0, 0.5)
+    steps = noding.line_steps(load(spark, sf_dir, "b_line_vertices")).filter("x2 IS NOT NULL")
+    return spatial.touched_cells(steps, 4.0, 0.5, key=["line_id"])
 
 
 @query(" SELECT basin_id, r, c, CAST(CASE WHEN elev * 200 >= 32768 THEN 10000 ELSE elev * 200 END AS INT) AS elev FROM b_cells", "b_cells")
@@ -527,3 +535,80 @@ def shared_nodes(spark, sf_dir):
 @query(", v AS (SELECT line_id, pos, CAST(x * 3 + y AS BIGINT) % 50 AS elev FROM b_line_vertices), a AS (SELECT line_id, pos, elev, LEAD(pos) OVER w AS q, LEAD(elev) OVER w AS e FROM v WINDOW w AS (PARTITION BY line_id ORDER BY pos)) SELECT line_id, pos, q AS to_pos, greatest(0, elev - e) AS cost FROM a WHERE q IS NOT NULL UNION ALL SELECT line_id, q, pos, greatest(0, e - elev) FROM a WHERE q IS NOT NULL", "b_line_vertices")
 def vertex_graph(spark, sf_dir):
     return network.vertex_graph(load(spark, sf_dir, "b_line_vertices").withColumn("elev", (F.col("x") * 3 + F.col("y")) % 50))
+
+
+POINT = "CASE WHEN u = 0 THEN o_{k}1 WHEN u = 1 THEN o_{k}2 WHEN t = 0 THEN {k}1 WHEN t = 1 THEN {k}2 ELSE round({k}1 + t * ({k}2 - {k}1), 9) END AS {k}"
+NODED = f""", steps AS MATERIALIZED (SELECT line_id, pos, CAST(x AS DOUBLE) AS x1, CAST(y AS DOUBLE) AS y1, CAST(LEAD(x) OVER w AS DOUBLE) AS x2, CAST(LEAD(y) OVER w AS DOUBLE) AS y2 FROM b_walks WINDOW w AS (PARTITION BY line_id ORDER BY pos)),
+live AS MATERIALIZED (SELECT * FROM steps WHERE x2 IS NOT NULL AND (x1 <> x2 OR y1 <> y2)),
+pairs AS MATERIALIZED (SELECT a.*, b.line_id AS o_line, b.pos AS o_pos, b.x1 AS o_x1, b.y1 AS o_y1, b.x2 AS o_x2, b.y2 AS o_y2,
+  (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) AS d, (b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1) AS n, (b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1) AS m
+  FROM live a JOIN live b ON (a.line_id < b.line_id OR (a.line_id = b.line_id AND a.pos < b.pos)) AND greatest(a.x1, a.x2) >= least(b.x1, b.x2) AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND greatest(a.y1, a.y2) >= least(b.y1, b.y2) AND least(a.y1, a.y2) <= greatest(b.y1, b.y2)),
+spots AS (SELECT *, {POINT.format(k="x")}, {POINT.format(k="y")} FROM (SELECT *, n / NULLIF(d, 0) AS t, m / NULLIF(d, 0) AS u FROM pairs) WHERE d <> 0 AND t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1),
+lying AS (SELECT * FROM pairs WHERE d = 0 AND m = 0),
+found AS (SELECT line_id, pos, t, x, y FROM spots UNION ALL SELECT o_line, o_pos, u, x, y FROM spots
+{"".join(f" UNION ALL SELECT line_id, pos, ((o_x{k} - x1) * (x2 - x1) + (o_y{k} - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), o_x{k}, o_y{k} FROM lying UNION ALL SELECT o_line, o_pos, ((x{k} - o_x1) * (o_x2 - o_x1) + (y{k} - o_y1) * (o_y2 - o_y1)) / ((o_x2 - o_x1) * (o_x2 - o_x1) + (o_y2 - o_y1) * (o_y2 - o_y1)), x{k}, y{k} FROM lying" for k in (1, 2))}),
+met AS MATERIALIZED (SELECT line_id, pos, MIN(t) AS t, x, y FROM found WHERE t > 0 AND t < 1 GROUP BY line_id, pos, x, y),
+points AS MATERIALIZED (SELECT line_id, pos, 0.0::DOUBLE AS t, x1 AS x, y1 AS y FROM steps WHERE x2 IS NULL OR x1 <> x2 OR y1 <> y2 UNION ALL SELECT line_id, pos, t, x, y FROM met),
+nodes AS (SELECT x, y FROM points GROUP BY x, y HAVING COUNT(*) > 1),
+marked AS (SELECT p.*, n.x IS NOT NULL AS node, ROW_NUMBER() OVER w AS step, LEAD(p.pos) OVER w IS NULL AS last FROM points p LEFT JOIN nodes n ON n.x = p.x AND n.y = p.y WINDOW w AS (PARTITION BY line_id ORDER BY p.pos, p.t, p.x, p.y)),
+numbered AS (SELECT *, node AND step > 1 AND NOT last AS inside FROM marked),
+parted AS (SELECT *, CAST(COALESCE(SUM(CAST(inside AS INT)) OVER (PARTITION BY line_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS part FROM numbered),
+both_parts AS (SELECT line_id, part, step, x, y FROM parted UNION ALL SELECT line_id, part + 1, step, x, y FROM parted WHERE inside)"""
+
+
+@query(NODED + " SELECT line_id, pos, t, x, y FROM met", "b_walks")
+def line_crossings(spark, sf_dir):
+    return noding.meeting_points(noding.line_steps(load(spark, sf_dir, "b_walks")), 4.0)
+
+
+@query(NODED + " SELECT line_id, part, COUNT(*) AS n_points, arg_min(x, step) AS x1, arg_min(y, step) AS y1, arg_max(x, step) AS x2, arg_max(y, step) AS y2 FROM both_parts GROUP BY line_id, part", "b_walks")
+def noded_lines(spark, sf_dir):
+    points = noding.noded(load(spark, sf_dir, "b_walks"), 4.0)
+    end = lambda f, k: f(k, "seq")
+    return points.groupBy("line_id", "part").agg(F.count("*").alias("n_points"), end(F.min_by, "x").alias("x1"), end(F.min_by, "y").alias("y1"), end(F.max_by, "x").alias("x2"), end(F.max_by, "y").alias("y2"))
+
+
+@query(""", places AS (SELECT box_id, CAST(r AS INT) AS r, CAST(unnest(range(c0, c1 + 1)) AS INT) AS c FROM (SELECT box_id, unnest(range(r0, r1 + 1)) AS r, c0, c1 FROM b_boxes)),
+inside AS MATERIALIZED (SELECT box_id, basin_id, r, c, prob_pct FROM b_cells JOIN b_boxes ON r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1),
+wide AS (SELECT box_id, basin_id FROM inside GROUP BY box_id, basin_id HAVING MIN(r) < MAX(r) AND MIN(c) < MAX(c)),
+first AS (SELECT box_id, r, c, arg_min(prob_pct, basin_id) AS prob_pct FROM inside JOIN wide USING (box_id, basin_id) WHERE prob_pct < 90 GROUP BY box_id, r, c)
+SELECT box_id, r, c, COALESCE(prob_pct, 0) AS prob_pct FROM places LEFT JOIN first USING (box_id, r, c)""", "b_cells", "b_boxes")
+def basin_rasters(spark, sf_dir):
+    return tables.box_rasters(load(spark, sf_dir, "b_cells"), load(spark, sf_dir, "b_boxes"), "basin_id", "prob_pct", size=8, nodata=90)
+
+
+#: Corners of a polygon about its own origin: a part with a hole, and a second part.
+PARTS = (((0, 0), (12, 3), (15, 14), (4, 11), (0, 0)), ((5, 4), (9, 5), (7, 9), (5, 4)), ((20, 2), (26, 2), (23, 9), (20, 2)))
+PLACED = ", placed AS (SELECT c_custkey AS polygon_id, CAST(c_custkey * 17 % 199 AS DOUBLE) AS ox, CAST(c_custkey * 29 % 173 AS DOUBLE) AS oy FROM customer), edges AS (SELECT polygon_id, ox, oy, ox + ax AS ax, oy + ay AS ay, ox + zx AS zx, oy + zy AS zy FROM placed CROSS JOIN (VALUES " + ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for ring in PARTS for a, b in zip(ring, ring[1:])) + ") t(ax, ay, zx, zy))"
+
+
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("polygon_id"), (F.col("c_custkey") * 17 % 199).cast("double").alias("ox"), (F.col("c_custkey") * 29 % 173).cast("double").alias("oy"))
+    ring = lambda corners: F.array(*(F.struct((F.col("ox") + x).alias("x"), (F.col("oy") + y).alias("y")) for x, y in corners))
+    return c.select("polygon_id", F.array(*map(ring, PARTS)).alias("rings"))
+
+
+@query(PLACED + """, boxed AS (SELECT DISTINCT polygon_id, ox, oy FROM edges), cells AS (SELECT polygon_id, gx, unnest(range(CAST(oy AS BIGINT) - 1, CAST(oy AS BIGINT) + 16)) AS gy FROM (SELECT *, unnest(range(CAST(ox AS BIGINT) - 1, CAST(ox AS BIGINT) + 28)) AS gx FROM boxed))
+SELECT polygon_id, gx, gy FROM cells JOIN edges USING (polygon_id) GROUP BY polygon_id, gx, gy
+HAVING COUNT(*) FILTER (WHERE (ay > gy + 0.5) <> (zy > gy + 0.5) AND gx + 0.5 < (zx - ax) * (gy + 0.5 - ay) / NULLIF(zy - ay, 0) + ax) % 2 = 1""", "b_boxes")
+def filled_polygons(spark, sf_dir):
+    return spatial.filled_cells(polygons(spark, sf_dir), 1.0)
+
+
+@query(PLACED + """ SELECT point_id, polygon_id FROM b_points p JOIN edges e ON e.polygon_id % 25 = p.grp GROUP BY point_id, polygon_id, p.x, p.y
+HAVING COUNT(*) FILTER (WHERE (ay > y) <> (zy > y) AND x < (zx - ax) * (y - ay) / NULLIF(zy - ay, 0) + ax) % 2 = 1""", "b_points")
+def points_in_holed_polygons(spark, sf_dir):
+    pairs = load(spark, sf_dir, "b_points").join(polygons(spark, sf_dir).withColumn("grp", F.col("polygon_id") % 25), "grp")
+    return spatial.inside_polygons(pairs, F.col("x"), F.col("y"), F.col("rings")).filter("inside").select("point_id", "polygon_id")
+
+
+CROSSED = "sign(({q}x - {p}x) * ({c}y - {p}y) - ({q}y - {p}y) * ({c}x - {p}x)) * sign(({q}x - {p}x) * ({d}y - {p}y) - ({q}y - {p}y) * ({d}x - {p}x)) < 0"
+
+
+@query(PLACED + SIDES + """, sided AS (SELECT x1 AS cx, y1 AS cy, x2 AS dx, y2 AS dy FROM sides),
+corner AS (SELECT polygon_id FROM edges CROSS JOIN sided GROUP BY polygon_id, ax, ay HAVING COUNT(*) FILTER (WHERE (cy > ay) <> (dy > ay) AND ax < (dx - cx) * (ay - cy) / NULLIF(dy - cy, 0) + cx) % 2 = 1),
+holds AS (SELECT polygon_id FROM edges CROSS JOIN sided GROUP BY polygon_id, cx, cy HAVING COUNT(*) FILTER (WHERE (ay > cy) <> (zy > cy) AND cx < (zx - ax) * (cy - ay) / NULLIF(zy - ay, 0) + ax) % 2 = 1),
+crossed AS (SELECT polygon_id FROM edges CROSS JOIN sided WHERE """ + CROSSED.format(p="a", q="z", c="c", d="d") + " AND " + CROSSED.format(p="c", q="d", c="a", d="z") + """)
+SELECT polygon_id FROM corner UNION SELECT polygon_id FROM holds UNION SELECT polygon_id FROM crossed""", "b_points")
+def masked_polygons(spark, sf_dir):
+    return spatial.meeting_polygons(polygons(spark, sf_dir), ring_column()).select("polygon_id")

@@ -30,6 +30,17 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     return F.when(F.size(ring) < 4, F.lit(False)).otherwise(crossings % 2 == 1)
 
 
+def in_rings(x: Column, y: Column, rings: Column) -> Column:
+    """Even-odd rule over all rings of a polygon (array of closed rings): holes are outside, and so are gaps between parts."""
+    return F.aggregate(rings, F.lit(False), lambda inside, ring: inside != in_ring(x, y, ring))
+
+
+def bounds(line: Column) -> Column:
+    """w, s, e, n of an array of structs x, y; nulls of an empty one."""
+    edge = lambda k, f: f(F.transform(line, lambda p: p[k])).cast("double")
+    return F.struct(edge("x", F.array_min).alias("w"), edge("y", F.array_min).alias("s"), edge("x", F.array_max).alias("e"), edge("y", F.array_max).alias("n"))
+
+
 def line_length(line: Column) -> Column:
     pairs = F.transform(F.sequence(F.lit(0), F.size(line) - 2), lambda i: F.hypot(line[i + 1]["x"] - line[i]["x"], line[i + 1]["y"] - line[i]["y"]))
     return F.when(F.size(line) < 2, F.lit(0.0)).otherwise(F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b))
@@ -54,6 +65,11 @@ def line_meets_ring(line: Column, ring: Column) -> Column:
     return inside | across
 
 
+def polygon_meets_ring(rings: Column, ring: Column) -> Column:
+    """Whether a polygon (array of rings) and the inside of a ring have a point in common: a corner of one in the other, or sides that cross."""
+    return F.exists(rings, lambda r: line_meets_ring(r, ring)) | F.exists(ring, lambda p: in_rings(p["x"], p["y"], rings))
+
+
 def step_box_distance2(x1: Column, y1: Column, x2: Column, y2: Column, w: Column, s: Column, e: Column, n: Column) -> Column:
     """Squared distance between a step and a box; 0 where they meet."""
     to_box = lambda x, y: F.pow(F.greatest(w - x, F.lit(0.0), x - e), 2) + F.pow(F.greatest(s - y, F.lit(0.0), y - n), 2)

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grids import component_labels
+from .guard import Failures, per_basin
 from .stencil import CELL, mean_elevation
 
 
-def label(cells: DataFrame, kind: str = "water", as_: str = "comp") -> DataFrame:
+def label(cells: DataFrame, kind: str = "water", as_: str = "comp", failures: Failures | None = None) -> DataFrame:
     """cells with the label of each cell's component (see grids.component_labels); one task holds one basin."""
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema if f.name != as_), f"{as_} long"])
 
@@ -18,7 +19,7 @@ def label(cells: DataFrame, kind: str = "water", as_: str = "comp") -> DataFrame
         own = component_labels(basin["r"].to_numpy(), basin["c"].to_numpy(), basin[kind].to_numpy())
         return basin.drop(columns=as_, errors="ignore").assign(**{as_: own})
 
-    return cells.groupBy("basin_id").applyInPandas(run, schema)
+    return per_basin(cells, run, schema, failures, "label")
 
 
 def stats(labelled: DataFrame) -> DataFrame:

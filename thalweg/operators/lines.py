@@ -5,12 +5,13 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from ..functions.cells import STEPS
 from ..sources.tables import cut
+from .guard import Failures, per_basin
 
 def trace_cells(cells: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     """Lines over the cells: runs between ends and junctions, then closed rings; single cells make none.
@@ -44,7 +45,7 @@ def trace_cells(cells: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def trace(cells: DataFrame) -> DataFrame:
+def trace(cells: DataFrame, failures: Failures | None = None) -> DataFrame:
     """basin_id, line_id, pos, r, c: the vertices of the lines through each basin's water that is not reference water, with the reference cells that they touch."""
 
     def run(basin: pd.DataFrame) -> pd.DataFrame:
@@ -52,7 +53,7 @@ def trace(cells: DataFrame) -> DataFrame:
         rows = [(i, p, r, c) for i, line in enumerate(lines) for p, (r, c) in enumerate(line)]
         return pd.DataFrame(rows, columns=["line_id", "pos", "r", "c"]).astype("int32").assign(basin_id=basin["basin_id"].iloc[0])[["basin_id", "line_id", "pos", "r", "c"]]
 
-    return cells.groupBy("basin_id").applyInPandas(run, "basin_id long, line_id int, pos int, r int, c int")
+    return per_basin(cells, run, "basin_id long, line_id int, pos int, r int, c int", failures, "trace")
 
 
 def snap_points(vertices: DataFrame, line: list[str]) -> DataFrame:
@@ -72,33 +73,33 @@ def nearest_vertices(points: DataFrame, vertices: DataFrame, group: str = "grp",
 
     Points and vertices are dealt to the squares of a grid, and every point looks into its own square and the eight
     around it. What it finds there is nearest if it lies no farther than a square's side; the points that are left go on
-    with squares of twice the side. By default the first side gives a square one vertex on average.
+    with squares of four times the side. By default the first side gives a square one vertex of its group on average.
+    Of what a point finds only the nearest is kept, before anything is shuffled by point.
     """
-    held = vertices.select(group, "vertex_id", F.col("x").alias("vx"), F.col("y").alias("vy"))
-    box = vertices.agg(F.count("*").alias("n"), F.min("x").alias("w"), F.max("x").alias("e"), F.min("y").alias("s"), F.max("y").alias("t"), F.countDistinct(group).alias("groups")).first()
-    far = points.agg(F.min("x").alias("w"), F.max("x").alias("e"), F.min("y").alias("s"), F.max("y").alias("t")).first()
-    out = None
-    left = points.join(vertices.select(group).distinct(), group, "left_semi").select(group, "point_id", "x", "y")
-    if box.n and far.w is not None:
-        extent = max(max(box.e, far.e) - min(box.w, far.w), max(box.t, far.t) - min(box.s, far.s), 1e-9)
-        side = size or max(extent * (box.groups / box.n) ** 0.5, extent / 2**20)
-        while True:
-            at = lambda c: F.floor(F.col(c) / side).cast("long")  # noqa: B023, E731
-            near = left.withColumn("gx", F.explode(F.sequence(at("x") - 1, at("x") + 1))).withColumn("gy", F.explode(F.sequence(at("y") - 1, at("y") + 1)))
-            met = near.join(held.withColumns({"gx": at("vx"), "gy": at("vy")}), [group, "gx", "gy"])
-            met = met.select(group, "point_id", "vertex_id", ((F.col("x") - F.col("vx")) ** 2 + (F.col("y") - F.col("vy")) ** 2).alias("d2"))
-            least = met.groupBy(group, "point_id").agg(F.min("d2").alias("least"), F.collect_set(F.struct("d2", "vertex_id")).alias("all"))
-            # of the vertices in nine squares only those as near as the nearest are kept
-            least = least.select(group, "point_id", "least", F.filter("all", lambda v: v["d2"] == F.col("least")).alias("ties"))
-            over = side > 2 * extent  # nine squares hold everything
-            sure = cut(least if over else least.filter(F.col("least") <= side * side), "nearest")
-            part = sure.select(group, "point_id", F.explode("ties").alias("v")).select(group, "point_id", "v.vertex_id", F.col("v.d2").cast("long").alias("dist2"))
-            out = part if out is None else out.unionByName(part)
-            left = cut(left.join(sure.select(group, "point_id"), [group, "point_id"], "left_anti"), "points")
-            if over or left.isEmpty():
-                break
-            side *= 2
-    return left.limit(0).select(group, "point_id", F.lit(0).cast("long").alias("vertex_id"), F.lit(0).cast("long").alias("dist2")) if out is None else out
+    edges = lambda df: df.groupBy(group).agg(F.count("*").alias("n"), *(f(c).cast("double").alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.min, F.max)))
+    own, other = edges(vertices), edges(points).drop("n")
+    both = own.join(other.withColumnsRenamed({c: f"p_{c}" for c in other.columns if c != group}), group)
+    wide = lambda c: F.greatest(f"max_{c}", f"p_max_{c}") - F.least(f"min_{c}", f"p_min_{c}")
+    both = both.withColumn("extent", F.greatest(wide("x"), wide("y"), F.lit(1e-9)))
+    side = F.lit(float(size)) if size else F.greatest(F.col("extent") / F.sqrt("n"), F.col("extent") / 2**20)
+    sides = both.select(group, side.alias("side"), "extent")
+    held = cut(vertices.select(group, "vertex_id", F.col("x").alias("vx"), F.col("y").alias("vy")).join(sides.select(group, "side"), group), "vertices")
+    left = cut(points.select(group, "point_id", "x", "y").join(sides, group), "points")
+    out, scale = None, 1
+    while not left.isEmpty():
+        span = F.col("side") * scale
+        at = lambda c: F.floor(F.col(c) / span).cast("long")  # noqa: B023, E731
+        near = left.withColumn("gx", F.explode(F.sequence(at("x") - 1, at("x") + 1))).withColumn("gy", F.explode(F.sequence(at("y") - 1, at("y") + 1)))
+        met = near.join(held.withColumns({"gx": at("vx"), "gy": at("vy")}).drop("side"), [group, "gx", "gy"])
+        met = met.withColumn("d2", (F.col("x") - F.col("vx")) ** 2 + (F.col("y") - F.col("vy")) ** 2)
+        # nine squares of twice the extent hold everything
+        sure = (F.col("d2") <= span * span) | (span > 2 * F.col("extent"))
+        first = met.withColumn("rank", F.rank().over(Window.partitionBy(group, "point_id").orderBy("d2"))).filter("rank = 1")
+        found = cut(first.filter(sure).select(group, "point_id", "vertex_id", F.col("d2").cast("long").alias("dist2")), "nearest")
+        out = found if out is None else out.unionByName(found)
+        left = cut(left.join(found.select(group, "point_id").distinct(), [group, "point_id"], "left_anti"), "points")
+        scale *= 4
+    return left.select(group, "point_id", F.lit(0).cast("long").alias("vertex_id"), F.lit(0).cast("long").alias("dist2")) if out is None else out
 
 
 def connectors(points: DataFrame, vertices: DataFrame, group: str = "grp") -> DataFrame:

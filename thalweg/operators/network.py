@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .guard import Failures, per_basin
+
 
 def flow_links(vertices: DataFrame, line: str = "line_id", keep: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """Each vertex with the place of the vertex before and behind it (-1: none). Lines run downstream."""
@@ -104,24 +106,8 @@ def segments_of(targets: dict[int, int], from_ref: dict[int, bool], own: dict[in
 SEGMENT = "basin_id long, local_id int, local_target int, local_sources array<int>, seg_order int, from_ref boolean, nodes array<long>"
 
 
-def guarded(run, names: list[str]):
-    """run for a basin, with a column `error`: null, or in the one row of a basin that failed what went wrong. Other basins go on."""
-
-    def safe(basin: pd.DataFrame) -> pd.DataFrame:
-        try:
-            return run(basin).assign(error=None)
-        except Exception as e:  # whatever a basin's data does to the kernel
-            row = dict.fromkeys(names) | {"basin_id": basin["basin_id"].iloc[0], "error": f"{type(e).__name__}: {e}"}
-            return pd.DataFrame([row], columns=[*names, "error"])
-
-    return safe
-
-
-def segments(nodes: DataFrame, guard: bool = False) -> DataFrame:
-    """Segments of every basin from nodes (basin_id, node_id, target_id, from_ref, own_order); target -1: none. One task holds one basin.
-
-    With guard, a basin that fails gives one row with its error instead of ending the job.
-    """
+def segments(nodes: DataFrame, failures: Failures | None = None) -> DataFrame:
+    """Segments of every basin from nodes (basin_id, node_id, target_id, from_ref, own_order); target -1: none. One task holds one basin."""
 
     def run(basin: pd.DataFrame) -> pd.DataFrame:
         ids = basin["node_id"].tolist()
@@ -129,5 +115,4 @@ def segments(nodes: DataFrame, guard: bool = False) -> DataFrame:
         frame = pd.DataFrame(found, columns=["local_id", "local_target", "local_sources", "seg_order", "from_ref", "nodes"])
         return frame.assign(basin_id=basin["basin_id"].iloc[0])[[x.split()[0] for x in SEGMENT.split(", ")]]
 
-    names = [x.split()[0] for x in SEGMENT.split(", ")]
-    return nodes.groupBy("basin_id").applyInPandas(guarded(run, names), SEGMENT + ", error string") if guard else nodes.groupBy("basin_id").applyInPandas(run, SEGMENT)
+    return per_basin(nodes, run, SEGMENT, failures, "segments")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import STEPS, step_cost
 from .grids import links
+from .guard import Failures, per_basin
 
 CUTOFFS = (8.0, 32.0, 400.0)
 BARRED = 1e30
@@ -42,11 +43,14 @@ class Grid:
     def descent(self, u: int, v: int) -> float:
         return max(0.0, self.elev[u] - self.elev[v])
 
-    def distances(self, sources, cost, cutoff: float = BARRED / 2) -> tuple[np.ndarray, np.ndarray]:
-        """Distance to the nearest source (inf beyond the cutoff) and the next node towards it (-1 at a source); ties by index."""
+    def distances(self, sources, cost, cutoff: float = BARRED / 2, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Distance to the nearest source (inf beyond the cutoff) and the next node towards it (-1 at a source); ties by index.
+
+        start says how far the sources are from where ways begin; without it they are the beginnings.
+        """
         dist, parent = np.full(len(self.near), np.inf), np.full(len(self.near), -1)
-        dist[list(sources)] = 0
-        heap, over = [(0.0, s) for s in sorted(sources)], set()
+        dist[list(sources)] = 0 if start is None else start[list(sources)]
+        heap, over = sorted((float(dist[s]), int(s)) for s in sources), set()
         while heap:
             d, u = heapq.heappop(heap)
             if u in over:
@@ -76,7 +80,7 @@ def bounded_distances(nodes: DataFrame, cutoff: float = CUTOFFS[0]) -> DataFrame
     return nodes.groupBy("basin_id").applyInPandas(run, "basin_id long, r int, c int, dist double")
 
 
-def flow_forest(nodes: DataFrame) -> DataFrame:
+def flow_forest(nodes: DataFrame, failures: Failures | None = None) -> DataFrame:
     """basin_id, r, c, dist, to_r, to_c: the way of least descent from the sources; every reached node has one next node, so cycles are gone."""
 
     def run(basin: pd.DataFrame) -> pd.DataFrame:
@@ -86,7 +90,7 @@ def flow_forest(nodes: DataFrame) -> DataFrame:
         to = lambda k: pd.array(np.where(parent >= 0, basin[k].to_numpy()[parent], -1), dtype="int32")
         return basin[["basin_id", "r", "c"]].assign(dist=dist, to_r=to("r"), to_c=to("c"))[np.isfinite(dist)]
 
-    return nodes.groupBy("basin_id").applyInPandas(run, "basin_id long, r int, c int, dist double, to_r int, to_c int")
+    return per_basin(nodes, run, "basin_id long, r int, c int, dist double, to_r int, to_c int", failures, "forest")
 
 
 def rounds(basin: pd.DataFrame, cutoffs: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, set[int], np.ndarray]:
@@ -117,7 +121,7 @@ def rounds(basin: pd.DataFrame, cutoffs: tuple[float, ...]) -> tuple[np.ndarray,
     return node, own, joined, way
 
 
-def connect_waters(cells: DataFrame, cutoffs: tuple[float, ...] = CUTOFFS) -> DataFrame:
+def connect_waters(cells: DataFrame, cutoffs: tuple[float, ...] = CUTOFFS, failures: Failures | None = None) -> DataFrame:
     """kind of every cell: 2 reference water, 1 connected water and the ways that connect it, 0 the rest.
 
     cells: basin_id, r, c, elev, weight, prob, comp (label, water > 0), main, is_ref, low (the lowest cell of a component).
@@ -136,7 +140,7 @@ def connect_waters(cells: DataFrame, cutoffs: tuple[float, ...] = CUTOFFS) -> Da
         kind[basin["is_ref"].to_numpy()] = 2
         return basin[["basin_id", "r", "c", "elev", "in_basin"]].assign(kind=kind)
 
-    return cells.groupBy("basin_id").applyInPandas(run, "basin_id long, r int, c int, elev int, in_basin boolean, kind int")
+    return per_basin(cells, run, "basin_id long, r int, c int, elev int, in_basin boolean, kind int", failures, "connect")
 
 
 def unseen_components(cells: DataFrame, cutoffs: tuple[float, ...] = CUTOFFS) -> DataFrame:

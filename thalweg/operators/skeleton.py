@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions.cells import BIT, CORNERS, FORKS, OPPOSITE, SIDES, STEPS
+from .guard import Failures, per_basin
 
 
 def removable(mask: int) -> bool:
@@ -63,7 +64,7 @@ def thin_cells(cells: dict[tuple[int, int], tuple[int, int]]) -> set[tuple[int,
     return left
 
 
-def skeleton(cells: DataFrame) -> DataFrame:
+def skeleton(cells: DataFrame, failures: Failures | None = None) -> DataFrame:
     """Cells of kind 1 and 2 that thinning leaves, per basin; the number of connected waters does not change."""
 
     def run(basin: pd.DataFrame) -> pd.DataFrame:
@@ -71,4 +72,4 @@ def skeleton(cells: DataFrame) -> DataFrame:
         left = thin_cells(held)
         return basin[[(r, c) in left for r, c in zip(basin["r"], basin["c"], strict=True)]][["basin_id", "r", "c", "elev", "kind"]]
 
-    return cells.filter("kind > 0").groupBy("basin_id").applyInPandas(run, "basin_id long, r int, c int, elev int, kind int")
+    return per_basin(cells.filter("kind > 0"), run, "basin_id long, r int, c int, elev int, kind int", failures, "thin")

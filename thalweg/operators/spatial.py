@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import boxes_meet, in_ring, line_meets_ring, step_box_distance2
+from ..functions.geometry import bounds, boxes_meet, in_ring, in_rings, line_meets_ring, polygon_meets_ring, step_box_distance2
 
 
 def box_join(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
@@ -26,6 +26,30 @@ def inside_polygon(points: DataFrame, x: Column, y: Column, ring: Column) -> Dat
     return points.withColumn("inside", in_ring(x, y, ring))
 
 
+def inside_polygons(points: DataFrame, x: Column, y: Column, rings: Column) -> DataFrame:
+    """points with `inside`; rings is a column of a polygon's closed rings, holes and further parts among them."""
+    return points.withColumn("inside", in_rings(x, y, rings))
+
+
+def filled_cells(polygons: DataFrame, size: float, key: str = "polygon_id", rings: str = "rings") -> DataFrame:
+    """key, gx, gy: cells of a grid whose midpoint lies in a polygon with holes and parts, by the even-odd rule.
+
+    Sides are dealt to the rows of midpoints that they cross, the crossings of each row are sorted, and cells are spans
+    between every other two: work grows with the outline and with the cells that come out, no cell is tested by itself.
+    """
+    edge = F.explode(F.flatten(F.transform(rings, lambda r: F.transform(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), lambda p, i: F.struct(p.alias("a"), r[i + 1].alias("b"))))))
+    sides = polygons.select(key, edge.alias("e")).select(key, *(F.col(f"e.{p}.{k}").cast("double").alias(f"{p}{k}") for p in "ab" for k in "xy"))
+    first = lambda v: F.ceil(v / size - 0.5)  # noqa: E731  the first midpoint from there on
+    sides = sides.withColumns({"from": first(F.least("ay", "by")), "to": first(F.greatest("ay", "by")) - 1}).filter("from <= to")
+    rows = sides.withColumn("gy", F.explode(F.sequence("from", "to")))
+    y = (F.col("gy") + 0.5) * size
+    rows = rows.select(key, "gy", ((F.col("bx") - F.col("ax")) * (y - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")).alias("x"))
+    spans = rows.groupBy(key, "gy").agg(F.sort_array(F.collect_list("x")).alias("xs"))  # as many as the outline crosses that row
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2) - 1), lambda i: F.struct(F.get("xs", (2 * i).cast("int")).alias("a"), F.get("xs", (2 * i + 1).cast("int")).alias("b"))))
+    cells = spans.select(key, "gy", pair.alias("p")).select(key, "gy", first(F.col("p.a")).alias("a"), (first(F.col("p.b")) - 1).alias("b")).filter("a <= b")
+    return cells.select(key, F.explode(F.sequence("a", "b")).alias("gx"), "gy")
+
+
 def sample_grid(points: DataFrame, cells: DataFrame, size: float, west: float = 0.0, south: float = 0.0) -> DataFrame:
     """points with the cell columns of the nearest cell centre (gx, gy), null where there is no cell."""
     at = points.withColumns({"gx": F.floor((F.col("x") - west) / size).cast("int"), "gy": F.floor((F.col("y") - south) / size).cast("int")})
@@ -40,11 +64,30 @@ def meeting(lines: DataFrame, ring: Column, line: str = "line") -> DataFrame:
     return lines.filter(boxes & line_meets_ring(own, ring))
 
 
-def touched_cells(steps: DataFrame, size: float, buffer: float, west: float = 0.0, south: float = 0.0) -> DataFrame:
-    """gx, gy: cells of a grid whose box lies within `buffer` of a step (x1, y1, x2, y2) of a line, each once."""
+def meeting_polygons(polygons: DataFrame, ring: Column, rings: str = "rings") -> DataFrame:
+    """Polygons (arrays of rings, the outer one first) that meet a polygon: their boxes first, then corners and sides."""
+    own, other = bounds(F.get(rings, F.lit(0))), bounds(ring)
+    boxes = (own["w"] <= other["e"]) & (other["w"] <= own["e"]) & (own["s"] <= other["n"]) & (other["s"] <= own["n"])
+    return polygons.filter(boxes & polygon_meets_ring(F.col(rings), ring))
+
+
+def touched_cells(steps: DataFrame, size: float, buffer: float, west: float = 0.0, south: float = 0.0, key: list[str] | None = None) -> DataFrame:
+    """key, gx, gy: cells of a grid whose box lies within `buffer` of a step (x1, y1, x2, y2) of a line, each once a key.
+
+    A step is dealt to the columns that it and its buffer reach, and in each to the rows between where it enters and
+    leaves it, so a long step costs as many cells as it is long.
+    """
+    key = key or []
+    x1, y1, x2, y2 = (F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2"))
     span = lambda lo, hi, start: F.sequence(F.ceil((lo - buffer - start) / size) - 1, F.floor((hi + buffer - start) / size))
-    x, y = (F.least("x1", "x2"), F.greatest("x1", "x2")), (F.least("y1", "y2"), F.greatest("y1", "y2"))
-    near = steps.select("x1", "y1", "x2", "y2", F.explode(span(*x, west)).alias("gx"), F.lit(0).alias("_")).withColumn("gy", F.explode(span(*y, south)))
+    low, high = F.least(x1, x2), F.greatest(x1, x2)
+    near = steps.select(*key, "x1", "y1", "x2", "y2", F.explode(span(low, high, west)).alias("gx"))
+    at = lambda x: y1 + (F.least(F.greatest(x, low), high) - x1) * (y2 - y1) / F.nullif(x2 - x1, F.lit(0.0))
+    # what of the step lies within the buffer of the column
+    left = west + F.col("gx") * size - buffer
+    enters, leaves = at(left), at(left + size + 2 * buffer)
+    rows = span(F.coalesce(F.least(enters, leaves), F.least(y1, y2)), F.coalesce(F.greatest(enters, leaves), F.greatest(y1, y2)), south)
+    near = near.withColumn("gy", F.explode(rows))
     w, s = west + F.col("gx") * size, south + F.col("gy") * size
-    d2 = step_box_distance2(*(F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2")), w, s, w + size, s + size)
-    return near.filter(d2 <= buffer * buffer).select("gx", "gy").distinct()
+    d2 = step_box_distance2(x1, y1, x2, y2, w, s, w + size, s + size)
+    return near.filter(d2 <= buffer * buffer).select(*key, "gx", "gy").distinct()

@@ -34,6 +34,13 @@ SELECT c_custkey AS bbox_id, CAST(c_custkey % 97 AS DOUBLE) / 10 AS w, CAST(c_cu
     "b_line_vertices": """
 SELECT user_id AS line_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) - 1 AS pos,
        CAST(event_id % 64 AS INT) AS x, CAST(floor(event_id / 64.0) AS BIGINT) % 64 AS y FROM events""",
+    "b_walks": """
+SELECT user_id AS line_id, CAST(ROW_NUMBER() OVER w AS INT) - 1 AS pos,
+       CAST(user_id * 37 % 97 + SUM(CAST(event_id * 7 % 5 AS BIGINT) - 2) OVER w AS BIGINT) AS x, CAST(user_id * 53 % 89 + SUM(CAST(event_id * 3 % 7 AS BIGINT) - 3) OVER w AS BIGINT) AS y
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
+    "b_boxes": """
+SELECT c_custkey AS box_id, CAST(c_custkey % 29 AS INT) AS r0, CAST(c_custkey % 29 + 2 + c_custkey % 3 AS INT) AS r1,
+       CAST(c_custkey * 7 % 27 AS INT) AS c0, CAST(c_custkey * 7 % 27 + 3 AS INT) AS c1 FROM customer""",
     "b_points": "SELECT p_partkey AS point_id, p_partkey % 25 AS grp, CAST(p_size AS BIGINT) AS x, (p_partkey * 13) % 50 AS y FROM part",
     "b_ref_cells": "SELECT basin_id, basin_id AS line_id, r AS pos, r, c FROM b_cells_masked WHERE is_ref",
     "b_ref_vertices": "SELECT c_custkey AS vertex_id, CAST(c_nationkey AS BIGINT) AS grp, (c_custkey * 17) % 50 AS x, (c_custkey * 29) % 50 AS y FROM customer",

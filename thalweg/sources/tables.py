@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from ..functions.geometry import line_length
+from ..functions.geometry import line_length, line_meets_ring, polygon_meets_ring
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -74,6 +74,75 @@ def box_raster(tiles: DataFrame, tile: str, value: str, box: tuple[int, int, int
     return places.join(found, ["r", "c"], "left").select("r", "c", F.coalesce(value, none).alias(value))
 
 
+def box_rasters(tiles: DataFrame, boxes: DataFrame, tile: str, value: str, key: str = "box_id", size: int = 64, nodata: float = 1e30) -> DataFrame:
+    """key, r, c, value of every place of every box (boxes: key, r0, r1, c0, c1, inclusive), as box_raster makes it for one.
+
+    Boxes are dealt to the squares of a grid that they cover, and cells meet them there: an equi-join, in which a cell is
+    copied once for each box that holds it, and no box is known to the driver.
+    """
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+    dealt = boxes.select(key, "r0", "r1", "c0", "c1").withColumn("gr", span("r0", "r1")).withColumn("gc", span("c0", "c1"))
+    held = tiles.select(tile, "r", "c", value).withColumns({"gr": F.floor(F.col("r") / size), "gc": F.floor(F.col("c") / size)})
+    inside = held.join(dealt, ["gr", "gc"]).filter("r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1").select(key, tile, "r", "c", value)
+    # of each tile what is left in a box must be two rows and two columns at least
+    parts = inside.groupBy(key, "r", "c", tile).agg(F.first(value).alias(value))
+    wide = inside.groupBy(key, tile).agg(F.min("r").alias("a"), F.max("r").alias("b"), F.min("c").alias("d"), F.max("c").alias("e")).filter("a < b AND d < e").select(key, tile)
+    found = mosaic(parts.join(wide, [key, tile], "left_semi"), [key, "r", "c"], value, tile, nodata)
+    kind = tiles.schema[value].dataType.typeName()
+    none = F.lit(float("nan") if kind in ("float", "double") else 0).cast(kind)
+    places = boxes.select(key, F.explode(F.sequence("r0", "r1")).alias("r"), "c0", "c1").select(key, "r", F.explode(F.sequence("c0", "c1")).alias("c"))
+    return places.join(found, [key, "r", "c"], "left").select(key, "r", "c", F.coalesce(value, none).alias(value))
+
+
+def curve_key(box: Column, extent: tuple[float, float, float, float], bits: int = 16) -> Column:
+    """Place of a box's middle along a Z-shaped curve through the extent (w, s, e, n)."""
+    w, s, e, n = extent
+    at = lambda lo, hi, a, b: F.least(F.lit((1 << bits) - 1), F.greatest(F.lit(0), F.floor(((lo + hi) / 2 - a) / max(b - a, 1e-9) * (1 << bits)))).cast("long")
+    x, y = at(box["w"], box["e"], w, e), at(box["s"], box["n"], s, n)
+    out = F.lit(0).cast("long")
+    for k in range(bits):
+        out = out.bitwiseOR(F.shiftleft(F.shiftright(x, k).bitwiseAND(F.lit(1)), 2 * k)).bitwiseOR(F.shiftleft(F.shiftright(y, k).bitwiseAND(F.lit(1)), 2 * k + 1))
+    return out
+
+
+def write_by_place(rows: DataFrame, path: str, box: Column, files: int | None = None, **options: str) -> None:
+    """rows with their bounds (w, s, e, n) as plain columns, sorted along a curve over files and inside them; a rerun replaces them.
+
+    Row groups then cover small areas and carry their least and largest bounds, so a scan of a place skips the others.
+    """
+    held = rows.withColumn("_box", box)
+    extent = held.agg(F.min("_box.w"), F.min("_box.s"), F.max("_box.e"), F.max("_box.n")).first()
+    held = held.withColumn("_key", curve_key(F.col("_box"), tuple(0.0 if x is None else x for x in extent)))
+    dealt = held.repartitionByRange(*([] if files is None else [files]), "_key", "_box.w", "_box.s").sortWithinPartitions("_key")
+    dealt.select(*rows.columns, "_box.*").write.mode("overwrite").options(**options).parquet(path)
+
+
+def box_filter(box: tuple[float, float, float, float]) -> Column:
+    """Rows whose stored bounds meet the box; Parquet readers take it."""
+    w, s, e, n = (F.lit(float(x)) for x in box)
+    return (F.col("w") <= e) & (F.col("e") >= w) & (F.col("s") <= n) & (F.col("n") >= s)
+
+
+def ring_box(ring: list[tuple[float, float]]) -> tuple[float, float, float, float]:
+    xs, ys = zip(*ring, strict=True)
+    return min(xs), min(ys), max(xs), max(ys)
+
+
+def ring_literal(ring: list[tuple[float, float]]) -> Column:
+    return F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ring))
+
+
+def scan_place(spark: SparkSession, path: str, columns: list[str], ring: list[tuple[float, float]], line: str | None = "line", rings: str | None = None) -> DataFrame:
+    """The named columns of a table of write_by_place: lines with a length, or polygons (column rings), that meet the ring.
+
+    The ring's box is compared with the stored bounds first, in the reader, so only row groups near it are read.
+    """
+    near = spark.read.parquet(path).filter(box_filter(ring_box(ring)))
+    if rings is not None:
+        return near.filter(polygon_meets_ring(F.col(rings), ring_literal(ring))).select(*columns)
+    return with_length(near, line).filter(line_meets_ring(F.col(line), ring_literal(ring))).select(*columns)
+
+
 def scan_lines(spark: SparkSession, path: str, columns: list[str], mask: Column | None = None, line: str = "line") -> DataFrame:
     """The named columns of a Parquet table of lines: those with a length, and those that the mask (a column) lets through."""
     rows = spark.read.parquet(path).select(*columns)
@@ -84,14 +153,19 @@ def with_length(rows: DataFrame, line: str = "line") -> DataFrame:
     return rows.filter(line_length(F.col(line)) > 0)
 
 
-def scan_regions(spark: SparkSession, path: str, key: str = "HYBAS_ID") -> DataFrame:
-    """region_id, ring (outer ring, array of structs x, y) of the polygons of a GeoJSON feature collection; multi-polygons give a row for each part."""
+def scan_regions(spark: SparkSession, path: str, key: str = "HYBAS_ID", mask: list[tuple[float, float]] | None = None) -> DataFrame:
+    """region_id, ring (the outer one, array of structs x, y), rings (it and its holes) of the polygons of a GeoJSON feature collection.
+
+    Multi-polygons give a row for each part. With a mask (the corners of a closed ring), those that meet it.
+    """
     schema = f"features array<struct<properties: struct<`{key}`: long>, geometry: struct<type: string, coordinates: string>>>"
     each = spark.read.option("multiLine", "true").schema(schema).json(path).select(F.explode("features").alias("f")).select(F.col(f"f.properties.{key}").alias("region_id"), "f.geometry.type", "f.geometry.coordinates")
     one = F.array(F.from_json("coordinates", "array<array<array<double>>>"))
     many = F.from_json("coordinates", "array<array<array<array<double>>>>")
     parts = each.select("region_id", F.explode(F.when(F.col("type") == "Polygon", one).when(F.col("type") == "MultiPolygon", many)).alias("rings"))
-    return parts.select("region_id", F.transform(F.col("rings")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("ring"))
+    rings = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    out = parts.select("region_id", rings.alias("rings")).select("region_id", F.get("rings", F.lit(0)).alias("ring"), "rings")
+    return out if mask is None else out.filter(polygon_meets_ring(F.col("rings"), ring_literal(mask)))
 
 
 def write_network(network: DataFrame, path: str) -> None:
@@ -119,6 +193,16 @@ def write_segments(segments: DataFrame, path: str, region: str = "region_id") ->
     segments.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(region).parquet(path)
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at path, or an empty one where nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e.getCondition()):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def broken_files(spark: SparkSession, path: str) -> DataFrame:
     """file_name of the files that are no Parquet files: those that don't begin and end with its mark."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
