@@ -80,7 +80,9 @@ def test_the_sample_is_bounded_however_rows_repeat(spark, monkeypatch):
 def plain_scores(train_texts, labels, test_texts, strength=toxicity.STRENGTH, l2=1e-4, rounds=120):
     """Scores of the same loss minimised by the same steps, with one dense row of 0 and 1 a text and no hashing of rows."""
     words = [toxicity.words_of(t) for t in train_texts]
-    twins, named = zip(*map(toxicity.counterfactual_of, words))
+    changes, named = [toxicity.counterfactual_of(ws) for ws in words], [bool(ws & set(toxicity.SWAP)) for ws in words]
+    twins = [ws - lacks | besides for ws, (lacks, besides) in zip(words, changes)]
+    assert all({toxicity.SWAP.get(w, w) for w in ws} == twin for ws, twin, has in zip(words, twins, named) if has)
     ids = lambda ws: np.array([i for w in sorted(ws) for i in toxicity.feature_ids(w)])
     y, named = np.array(labels, float), np.array(named)
     held = np.zeros((2, 1 << toxicity.FEATURE_BITS)) + 0.5

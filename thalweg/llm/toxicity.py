@@ -57,11 +57,12 @@ def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def counterfactual_of(words: set[str]) -> tuple[set[str], bool]:
-    """The words with identity terms swapped, or with one put in if there is none; and whether they had one."""
-    if not words.isdisjoint(SWAP):
-        return {SWAP.get(w, w) for w in words}, True
-    return words | {TERMS[zlib.crc32(" ".join(sorted(words)).encode()) % len(TERMS)]}, False
+def counterfactual_of(words: set[str]) -> tuple[set[str], set[str]]:
+    """What the twin of a text lacks and has besides: its identity terms swapped, or one put in if there is none."""
+    if words.isdisjoint(SWAP):
+        return set(), {TERMS[zlib.crc32(" ".join(sorted(words)).encode()) % len(TERMS)]}
+    twin = {SWAP.get(w, w) for w in words}
+    return words - twin, twin - words
 
 
 @dataclass
@@ -91,10 +92,11 @@ def rows_to_matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.repeat(np.arange(len(rows)), counts)
 
 
-def fit(features: list[np.ndarray], twins: list[np.ndarray], named: np.ndarray, labels: np.ndarray, sample_weights: np.ndarray | None = None, counterfactual: float = STRENGTH, l2: float = 1e-4, rounds: int = 120, evidence: float = 5.0) -> Model:
+def fit(features: list[np.ndarray], lacks: list[np.ndarray], besides: list[np.ndarray], named: np.ndarray, labels: np.ndarray, sample_weights: np.ndarray | None = None, counterfactual: float = STRENGTH, l2: float = 1e-4, rounds: int = 120, evidence: float = 5.0) -> Model:
     """Logistic regression by Adam on the whole sample: log loss + l2 |w|^2 + counterfactual * mean (score - twin's score)^2.
 
-    The mean is that of the rows that name a group (named) plus that of the others, so neither kind thins the other out.
+    A twin has a row's features but those in lacks, and those in besides. The mean is that of the rows that name a group
+    (named) plus that of the others, so neither kind thins the other out.
     Only features whose log odds between the classes lie `evidence` standard errors from zero get a weight, so words
     that are merely rare don't. The result depends on the sample alone.
     """
@@ -106,10 +108,9 @@ def fit(features: list[np.ndarray], twins: list[np.ndarray], named: np.ndarray,
     odds = np.log(c1 / (n1 + 1 - c1)) - np.log(c0 / (n0 + 1 - c0))
     seen = np.abs(odds) >= evidence * np.sqrt(1 / c1 + 1 / c0)
     seen |= (c1 >= 5) & (c0 < 1) & (odds > 2.5) | (c0 >= 5) & (c1 < 1) & (odds < -2.5)
-    ids, of = rows_to_matrix([f[seen[f]].astype(np.int64) for f in features])
-    ids2, of2 = rows_to_matrix([t[seen[t]].astype(np.int64) for t in twins])
-    used, ids = np.unique(np.concatenate([ids, ids2]), return_inverse=True)
-    ids, ids2 = ids[: len(of)], ids[len(of) :]
+    (ids, of), (ids_lack, of_lack), (ids_more, of_more) = (rows_to_matrix([f[seen[f]].astype(np.int64) for f in part]) for part in (features, lacks, besides))
+    used, every = np.unique(np.concatenate([ids, ids_lack, ids_more]), return_inverse=True)
+    ids, ids_lack, ids_more = np.split(every, np.cumsum([len(of), len(of_lack)]))
     y = labels.astype(np.float64)
     sw = np.ones(n) if sample_weights is None else sample_weights
     sw = sw / max(sw.sum(), 1e-9)
@@ -123,11 +124,12 @@ def fit(features: list[np.ndarray], twins: list[np.ndarray], named: np.ndarray,
         slope = sw * (p - y)
         grad = np.bincount(ids, slope[of], minlength=len(used)) + 2 * l2 * w
         grad_b = slope.sum()
-        z2 = np.bincount(of2, w[ids2], minlength=n) + b
+        z2 = z - np.bincount(of_lack, w[ids_lack], minlength=n) + np.bincount(of_more, w[ids_more], minlength=n)
         p2 = 1 / (1 + np.exp(-np.clip(z2, -30, 30)))
         d = 2 * counterfactual * share * (p - p2)
         down, up = d * p * (1 - p), -d * p2 * (1 - p2)
-        grad += np.bincount(ids, down[of], minlength=len(used)) + np.bincount(ids2, up[of2], minlength=len(used))
+        grad += np.bincount(ids, (down + up)[of], minlength=len(used))
+        grad += np.bincount(ids_more, up[of_more], minlength=len(used)) - np.bincount(ids_lack, up[of_lack], minlength=len(used))
         grad_b += down.sum() + up.sum()
         g = np.append(grad, grad_b)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -166,20 +168,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         for batch in batches:
             words = [words_of(t) for t in batch.column(1).to_pylist()]
-            twins, named = zip(*map(counterfactual_of, words), strict=True) if words else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(ids, words), pa.binary()), pa.array(map(ids, twins), pa.binary()), pa.array(named, pa.bool_())], ["_id", "_label", "features", "twin", "named"])
+            lacks, besides = zip(*map(counterfactual_of, words), strict=True) if words else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(map(ids, x), pa.binary()) for x in (words, lacks, besides)), pa.array([not w.isdisjoint(SWAP) for w in words], pa.bool_())], ["_id", "_label", "features", "lacks", "besides", "named"])
 
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(sample), "_id")
     rows = rows.groupBy("_id", "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text")).select("_id", "_text", "_label")
     with small_batches(docs.sparkSession):
-        got = rows.mapInArrow(extract, "_id long, _label int, features binary, twin binary, named boolean").toArrow().sort_by([("_id", "ascending"), ("features", "ascending")])
+        got = rows.mapInArrow(extract, "_id long, _label int, features binary, lacks binary, besides binary, named boolean").toArrow().sort_by([("_id", "ascending"), ("features", "ascending")])
     if not got.num_rows:
         return Model(np.zeros(1 << FEATURE_BITS, np.float32), 0.0)
     of_bytes = lambda x: np.frombuffer(x.as_buffer(), "<u4")
     y = got["_label"].to_numpy()
     taken = {k: max(int((y == k).sum()), 1) for k in (0, 1)}
     weight = np.where(y == 1, totals.get(1, 0) / taken[1], totals.get(0, 0) / taken[0])  # as in all labelled rows
-    return fit(list(map(of_bytes, got["features"])), list(map(of_bytes, got["twin"])), np.array(got["named"].to_pylist(), bool), y, weight, counterfactual)
+    columns = [list(map(of_bytes, got[c])) for c in ("features", "lacks", "besides")]
+    model = fit(*columns, np.array(got["named"].to_pylist(), bool), y, weight, counterfactual)
+    del columns, got
+    pa.default_memory_pool().release_unused()  # the driver has no further use for the sample
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
