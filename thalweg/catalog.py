@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import cells as fc
-from .operators import components, lines, merge, network, noding, paths, skeleton, spatial, stencil, tiled
+from .operators import components, lines, merge, network, noding, paths, skeleton, snapping, spatial, stencil, tiled
 from .plans import basins
 from .sources import tables
 from .sources.bridge import load, with_views
@@ -612,3 +612,36 @@ crossed AS (SELECT polygon_id FROM edges CROSS JOIN sided WHERE """ + CROSSED.fo
 SELECT polygon_id FROM corner UNION SELECT polygon_id FROM holds UNION SELECT polygon_id FROM crossed""", "b_points")
 def masked_polygons(spark, sf_dir):
     return spatial.meeting_polygons(polygons(spark, sf_dir), ring_column()).select("polygon_id")
+
+
+def walked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """New lines of eight basins over one another, some vertices of which touch reference water, and reference vertices."""
+    v = load(spark, sf_dir, "b_walks").select((F.col("line_id") % 8).alias("basin_id"), "line_id", "pos", "x", "y", ((F.col("x") * 3 + F.col("y")) % 50).alias("elev"), F.expr("pmod(x * 5 + y, 23) = 0 AND line_id % 8 <> 7").alias("touches"))
+    ref = load(spark, sf_dir, "b_ref_vertices").select((F.col("vertex_id") % 8).alias("basin_id"), "vertex_id", "x", "y", ((F.col("x") * 3 + F.col("y")) % 50).alias("elev"))
+    return v, ref
+
+
+SNAPPED = """, v AS MATERIALIZED (SELECT line_id % 8 AS basin_id, line_id, pos, x, y, (x * 3 + y) % 50 AS elev, ((x * 5 + y) % 23 + 23) % 23 = 0 AND line_id % 8 <> 7 AS touches, MAX(pos) OVER (PARTITION BY line_id) AS last FROM b_walks),
+rule AS (SELECT line_id, bool_or(touches AND pos = 0) AS head, bool_or(touches AND pos = last) AS tail, MIN(CASE WHEN touches THEN pos END) AS first, MAX(last) AS last FROM v GROUP BY line_id),
+kept AS MATERIALIZED (SELECT v.*, touches AND pos = CASE WHEN head THEN 0 WHEN tail THEN r.last ELSE first END AS snaps FROM v JOIN rule r USING (line_id) WHERE NOT (head AND tail)),
+refs AS (SELECT vertex_id % 8 AS basin_id, vertex_id, x, y, (x * 3 + y) % 50 AS elev FROM b_ref_vertices),
+starts AS MATERIALIZED (SELECT s.basin_id, s.x, s.y, r.x AS to_x, r.y AS to_y, CAST(greatest(0, r.elev - s.elev) AS DOUBLE) AS cost FROM (SELECT DISTINCT basin_id, x, y, elev FROM kept WHERE snaps) s JOIN refs r ON r.basin_id = s.basin_id
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY s.basin_id, s.x, s.y ORDER BY (s.x - r.x) * (s.x - r.x) + (s.y - r.y) * (s.y - r.y), r.vertex_id) = 1),
+ahead AS (SELECT basin_id, x, y, elev, LEAD(x) OVER w AS tx, LEAD(y) OVER w AS ty, LEAD(elev) OVER w AS te FROM kept WINDOW w AS (PARTITION BY line_id ORDER BY pos)),
+steps AS MATERIALIZED (SELECT basin_id, x, y, tx, ty, CAST(greatest(0, elev - te) AS DOUBLE) AS cost FROM ahead WHERE tx IS NOT NULL UNION SELECT basin_id, tx, ty, x, y, CAST(greatest(0, te - elev) AS DOUBLE) FROM ahead WHERE tx IS NOT NULL),
+dist(basin_id, x, y, d) USING KEY (basin_id, x, y) AS (
+SELECT basin_id, x, y, cost AS d FROM starts
+UNION
+SELECT e.basin_id, e.tx, e.ty, MIN(a.d + e.cost) AS d FROM dist a JOIN steps e ON e.basin_id = a.basin_id AND e.x = a.x AND e.y = a.y
+LEFT JOIN recurring.dist o ON o.basin_id = e.basin_id AND o.x = e.tx AND o.y = e.ty WHERE o.d IS NULL OR a.d + e.cost < o.d GROUP BY e.basin_id, e.tx, e.ty)"""
+
+
+@query(SNAPPED + """ SELECT basin_id, x, y, d AS dist FROM dist UNION ALL SELECT DISTINCT basin_id, x, y, NULL FROM kept WHERE basin_id NOT IN (SELECT basin_id FROM starts)""", "b_walks", "b_ref_vertices", recursive=True)
+def snapped_forest(spark, sf_dir):
+    return snapping.forest(*walked(spark, sf_dir)).select("basin_id", "x", "y", "dist")
+
+
+@query(SNAPPED + " SELECT basin_id, x, y, to_x, to_y, cost FROM starts", "b_walks", "b_ref_vertices", recursive=True)
+def snapped_places(spark, sf_dir):
+    vertices, reference = walked(spark, sf_dir)
+    return snapping.snapped(snapping.kept_lines(vertices), reference)

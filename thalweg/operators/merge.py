@@ -100,11 +100,23 @@ def depths(streams: DataFrame) -> DataFrame:
     return parents.join(at.filter("ptr IS NULL").select("stream_id", F.col("dist").alias("depth")), "stream_id")
 
 
+def stages(sizes: dict[int, int], most: int) -> list[list[int]]:
+    """Bands from the deepest up (band -> rows), neighbours together as long as a task may hold all of them."""
+    out: list[list[int]] = []
+    for band in sorted(sizes, reverse=True):
+        if out and sum(sizes[b] for b in out[-1]) + sizes[band] <= most:
+            out[-1].append(band)
+        else:
+            out.append([band])
+    return out
+
+
 def by_blocks(streams: DataFrame, rule: Callable[[int, list[int], int], int], as_: str, block: int = BLOCK_DEPTH) -> DataFrame:
     """stream_id and the rule's value of each stream: rule(base order, values of known sources, number of all sources).
 
     The trees of streams are cut into blocks of `block` levels (2**block - 1 streams at most, since a stream has two
-    sources). Bands of blocks are solved from the headwaters down; each block passes one value to the stream below it.
+    sources). Bands of blocks are solved from the headwaters down, small ones together in one task; each block passes one
+    value to the stream below it.
     Streams on cycles, and above them, keep their base order. Of several streams that list one as a source the one of
     largest identifier takes its value.
     """
@@ -116,9 +128,9 @@ def by_blocks(streams: DataFrame, rule: Callable[[int, list[int], int], int], as
         top = cut(composed(top, top), "blocks")
     base = streams.select("stream_id", "us1", "us2", "base_order")
     deep = deep.withColumn("parent", F.coalesce("parent", F.lit(-1)))
-    held = cut(base.join(deep, "stream_id").join(top.select("stream_id", F.col("ptr").alias("block")), "stream_id").withColumn("band", F.floor(F.col("depth") / block)), "banded")
-    lots = max(1, -(-held.count() // LOT_ROWS))  # a task takes a lot of whole blocks, about LOT_ROWS rows
-    held = held.withColumn("lot", F.pmod(F.xxhash64("block"), F.lit(lots)))
+    held = base.join(deep, "stream_id").join(top.select("stream_id", F.col("ptr").alias("block")), "stream_id").withColumn("band", F.floor(F.col("depth") / block))
+    held = cut(held, "banded", by="band")
+    sizes = {r.band: r["count"] for r in held.groupBy("band").count().collect()}  # a row for every `block` levels
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("depth", ascending=False, kind="stable")
@@ -129,18 +141,20 @@ def by_blocks(streams: DataFrame, rule: Callable[[int, list[int], int], int], as
             named = 0 if us1 == -1 else 2
             value[i] = rule(order, [known[u] for u in dict.fromkeys((us1, us2)) if u in known] if named else [], named)
             below.setdefault(parent, {})[i] = value[i]
-        return pd.DataFrame({"stream_id": own["stream_id"], "parent": own["parent"], "value": [value[i] for i in own["stream_id"].tolist()], "top": own["stream_id"] == own["block"]}).astype({"value": "int32"})
+        return pd.DataFrame({"stream_id": own["stream_id"], "parent": own["parent"], "value": [value[i] for i in own["stream_id"].tolist()], "depth": own["depth"]}).astype({"value": "int32"})
 
-    bands = held.agg(F.max("band")).first()[0]
     solved, out = None, None
-    for band in range(int(bands if bands is not None else -1), -1, -1):
-        own = held.filter(F.col("band") == band)
+    for bands in stages(sizes, LOT_ROWS):
+        own = held.filter(F.col("band").isin(bands))
+        n = sum(sizes[b] for b in bands)
+        # a stage of several bands is small enough for one task; else a task takes a lot of whole blocks, about LOT_ROWS rows
+        own = own.withColumn("lot", F.lit(0) if len(bands) > 1 else F.pmod(F.xxhash64("block"), F.lit(max(1, -(-n // LOT_ROWS)))).cast("int"))
         if solved is None:
             own = own.withColumn("given", F.lit(None).cast("array<struct<stream_id:long,value:int>>"))
         else:
-            passed = solved.filter("top").groupBy(F.col("parent").alias("stream_id")).agg(F.collect_list(F.struct(F.col("stream_id").alias("stream_id"), "value")).alias("given"))  # two at most
+            passed = solved.filter(F.col("depth") == block * (max(bands) + 1)).groupBy(F.col("parent").alias("stream_id")).agg(F.collect_list(F.struct(F.col("stream_id").alias("stream_id"), "value")).alias("given"))  # two at most
             own = own.join(passed, "stream_id", "left")
-        solved = cut(own.groupBy("lot").applyInPandas(run, "stream_id long, parent long, value int, top boolean"), "band")
+        solved = cut(own.groupBy("lot").applyInPandas(run, "stream_id long, parent long, value int, depth long"), "band")
         part = solved.select("stream_id", "value")
         out = part if out is None else out.unionByName(part)
     if out is None:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cells import cost_weight, midpoint, probability, water
-from ..operators import components, lines, merge, network, paths, skeleton, spatial
+from ..operators import components, lines, merge, network, paths, skeleton, snapping, spatial
 from ..operators.guard import FAILURE, Failures
 from ..operators.stencil import CELL, around
 from ..sources.tables import cut, fallback_rows, not_done, read_or_empty, write_segments
@@ -58,6 +58,24 @@ def flow_nodes(thin: DataFrame, flow: DataFrame, failures: Failures | None = Non
     return both.select("basin_id", key("r", "c").alias("node_id"), target.alias("target_id"), (F.col("kind") == 2).alias("from_ref"), F.lit(1).alias("own_order"))
 
 
+def touching_lines(thin: DataFrame, failures: Failures | None = None) -> DataFrame:
+    """basin_id, line_id, pos, x (column), y (row), elev, touches: lines through the new water of thinned cells, and whether a vertex lies beside reference water."""
+    beside = around(thin.withColumn("is_ref", F.col("kind") == 2), [F.max(F.when(~F.col("own"), F.col("is_ref")).otherwise(F.lit(False))).alias("touches")], ["elev", "kind"])
+    traced = lines.trace(thin.filter("kind = 1"), failures)
+    return traced.join(beside.select(*CELL, "elev", "touches"), CELL).select("basin_id", "line_id", "pos", F.col("c").alias("x"), F.col("r").alias("y"), "elev", "touches")
+
+
+def snapped_nodes(thin: DataFrame, flow: DataFrame, failures: Failures | None = None) -> DataFrame:
+    """flow_nodes of lines instead of cells: new lines are traced, snapped to the nearest reference vertex and freed of cycles; reference cells flow as their lines do."""
+    key = lambda r, c: F.shiftleft(F.col(r).cast("long"), 32) + F.col(c)
+    ref = cut(thin.filter("kind = 2").join(flow.select(*CELL, "to_r", "to_c", F.lit(True).alias("of_line")), CELL, "left"), "reference")
+    vertices = ref.filter("of_line").select("basin_id", key("r", "c").alias("vertex_id"), F.col("c").alias("x"), F.col("r").alias("y"), "elev")
+    forest = snapping.forest(touching_lines(thin, failures), vertices, failures)
+    new = forest.select("basin_id", key("y", "x").alias("node_id"), F.coalesce(key("to_y", "to_x"), F.lit(-1)).alias("target_id"), F.lit(False).alias("from_ref"), F.lit(1).alias("own_order"))
+    held = ref.select("basin_id", key("r", "c").alias("node_id"), F.coalesce(key("to_r", "to_c"), F.lit(-1)).alias("target_id"), F.lit(True).alias("from_ref"), F.lit(1).alias("own_order"))
+    return new.unionByName(held)
+
+
 def line_of(nodes: str, west: float, north: float, size: float) -> Column:
     """The midpoints of a segment's cells, as an array of structs x, y."""
     return F.transform(nodes, lambda n: midpoint(F.shiftright(n, 32), n.bitwiseAND(F.lit((1 << 32) - 1)), west, north, size))
@@ -66,7 +84,7 @@ def line_of(nodes: str, west: float, north: float, size: float) -> Column:
 def basin_segments(cells: DataFrame, flow: DataFrame, failures: Failures | None = None) -> DataFrame:
     """Segments of all basins; basins that break a kernel are noted in failures, if given, and else end the job."""
     thin = cut(cleaned(connected(cells, failures), failures), "cleaned")
-    return network.segments(flow_nodes(thin, flow, failures), failures)
+    return network.segments(snapped_nodes(thin, flow, failures), failures)
 
 
 def vector_network(cells: DataFrame, streams: DataFrame, flow: DataFrame, quarantine: str | None = None, west: float = 0.0, north: float = 0.0, size: float = 1.0) -> DataFrame:

@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 from ..functions.geometry import line_length, line_meets_ring, polygon_meets_ring
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """df written to the folder that all executors share and read again, so that an iteration's plan stays small."""
+#: A Parquet file without rows is smaller than this.
+EMPTY_BYTES = 1 << 20
+
+
+def cut(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """df written to the folder that all executors share and read again, so that an iteration's plan stays small.
+
+    by: a column whose values get folders of their own, so that a filter on it reads only these.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
@@ -23,7 +30,7 @@ def cut(df: DataFrame, label: str) -> DataFrame:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="thalweg-"))
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -204,11 +211,30 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def broken_files(spark: SparkSession, path: str) -> DataFrame:
-    """file_name of the files that are no Parquet files: those that don't begin and end with its mark."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    """file_name of the files that are no whole Parquet files: those whose footer cannot be read, or that give fewer rows than it promises.
+
+    A scan of no column counts rows by footers alone, one of all columns those that can be decoded. Of files without
+    rows, those that begin and end with the format's mark and are small are empty tables; the rest is broken.
+    """
+    named = lambda c: F.regexp_replace(c, "^file:/+", "file:/").alias("file_name")
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    files = listing.load(path).select(named("path"), "length")
+    try:
+        held = spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return files.select("file_name")  # no file has a readable footer
+    promised = held.groupBy(named("_metadata.file_path")).agg(F.count("*").alias("promised"))
+    given = held.groupBy(named("_metadata.file_path")).agg(F.count("*").alias("given"), F.bit_xor(F.xxhash64(*held.columns)).alias("all_columns"))
+    counted = promised.join(given.filter("all_columns IS NOT NULL"), "file_name", "left").select("file_name", (F.col("promised") == F.coalesce("given", F.lit(0))).alias("whole"))
+    odd = cut(files.join(counted.filter("whole"), "file_name", "left_anti").join(counted.select("file_name", F.lit(True).alias("has_rows")), "file_name", "left"), "odd-files")
+    small = [r.file_name for r in odd.filter((F.col("length") < EMPTY_BYTES) & F.col("has_rows").isNull()).collect()]  # few
+    if not small:
+        return odd.select("file_name")
     mark = F.lit("PAR1").cast("binary")
-    whole = (F.col("length") >= 12) & (F.substring("content", 1, 4) == mark) & (F.expr("substring(content, CAST(length AS INT) - 3, 4)") == mark)
-    return files.filter(~whole).select(F.col("path").alias("file_name"))
+    looked = listing.load(small).filter((F.col("length") >= 12) & (F.substring("content", 1, 4) == mark) & (F.expr("substring(content, CAST(length AS INT) - 3, 4)") == mark))
+    return odd.select("file_name").join(looked.select(named("path")), "file_name", "left_anti")
 
 
 def read_segments(spark: SparkSession, path: str, quarantine: str | None = None) -> DataFrame:
