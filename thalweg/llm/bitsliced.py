@@ -6,18 +6,18 @@ that is of slices shifted by the set bits of each constant, so carry-save adders
 all scores of the block at once (a negative constant takes the complement of its slices). The top rows are then
 selected from the most significant slice downward, and the rows that tie at the border are resolved by identifier.
 
-Blocks of queries meet blocks of rows, so no row of one side meets a row of the other in a join.
+Blocks of queries meet blocks of rows, so no row of one side meets a row of the other in a join. A block is sent and read
+once, and the queries pass by it (blocks.py).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import lanes_for, packed, passed_by, vectors_of
 from .common import materialize
 
 BLOCK_ROWS, CHUNK_QUERIES = 1 << 16, 64
@@ -113,35 +113,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     n = rows.count()
     blocks, chunks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-rows.filter("asked").count() // CHUNK_QUERIES))
 
-    def packed(df: DataFrame, parts: int, work, schema: str) -> DataFrame:
-        df = df.select("dims", F.pmod(F.xxhash64("row_no"), F.lit(parts)).cast("int").alias("part"), "vec_id", "row_no", "v")
+    def dealt(df: DataFrame, parts: int, work, schema: str) -> DataFrame:
+        def of(table: pa.Table) -> pa.RecordBatch:
+            dims = table["dims"][0].as_py()
+            return work(dims, table["part"][0].as_py(), table["vec_id"].to_numpy(), table["row_no"].to_numpy(), vectors_of(table, "v", dims))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = None
-            for batch in batches:
-                table = pa.Table.from_batches([batch])
-                held = table if held is None else pa.concat_tables([held, table])
-                yield from emit(held, False)
-                held = rest[0]
-            if held is not None and held.num_rows:
-                yield from emit(held, True)
-
-        rest = [None]
-
-        def emit(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-            table = table.combine_chunks()
-            dims, part = table["dims"].to_numpy(), table["part"].to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], (dims[1:] != dims[:-1]) | (part[1:] != part[:-1])])) if len(dims) else np.zeros(0, int)
-            stop = len(first) if last else len(first) - 1
-            for i in range(stop):
-                end = first[i + 1] if i + 1 < len(first) else len(dims)
-                own = table.slice(first[i], end - first[i]).combine_chunks()
-                ids, numbers = own["vec_id"].to_numpy(), own["row_no"].to_numpy()
-                grid = own["v"].chunk(0).flatten().to_numpy().reshape(len(ids), dims[first[i]]) if dims[first[i]] else np.zeros((len(ids), 0), np.int64)
-                yield work(int(dims[first[i]]), int(part[first[i]]), ids, numbers, grid)
-            rest[0] = table.slice(first[stop]) if stop < len(first) else table.slice(len(dims))
-
-        return df.repartition("dims", "part").sortWithinPartitions("dims", "part", "vec_id", "row_no").mapInArrow(run, schema)
+        df = df.select("dims", F.pmod(F.xxhash64("row_no"), F.lit(parts)).cast("int").alias("part"), "vec_id", "row_no", "v")
+        return packed(df, ["dims", "part"], ["vec_id", "row_no"], of, schema)
 
     def index_block(dims, part, ids, numbers, grid):
         low, slices = slices_of(grid) if dims else (np.zeros(0, np.int64), np.zeros((0, 1, -(-len(ids) // 64)), np.uint64))
@@ -152,35 +130,37 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         grid = grid.astype(width)
         return pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "chunk": pa.array([part], pa.int32()), "query_ids": [ids.tobytes()], "query_numbers": [numbers.tobytes()], "width": [width], "queries": [np.ascontiguousarray(grid).tobytes()]})
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, low = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["low"], np.int64)
-                words = -(-len(ids) // 64)
-                slices = np.frombuffer(row["slices"], np.uint64).reshape(row["dims"], row["bits"], words)
-                there = np.packbits(np.arange(words * 64) < len(ids), bitorder="little").view(np.uint64)
-                numbers = np.frombuffer(row["numbers"], np.int64)
-                query_ids, query_numbers = (np.frombuffer(row[k], np.int64) for k in ("query_ids", "query_numbers"))
-                queries = np.frombuffer(row["queries"], row["width"]).reshape(len(query_ids), row["dims"]).astype(np.int64)
-                found: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
-                for query_id, number, query in zip(query_ids.tolist(), query_numbers.tolist(), queries, strict=True):
-                    among = there
-                    if len(own := np.flatnonzero(numbers == number)):
-                        among = there.copy()
-                        np.bitwise_and.at(among, own // 64, ~(np.uint64(1) << (own % 64).astype(np.uint64)))
-                    scores = add_slices(slices, query)
-                    top = top_rows(scores, among, ids, k)
-                    bits = (scores[:, top // 64] >> (top % 64).astype(np.uint64)) & np.uint64(1)
-                    full = (1 << row["bits"]) - 1
-                    base = int(np.where(query >= 0, query * low, query * (low + full)).sum())
-                    found.append((query_id, number, ids[top], numbers[top], base + (bits.astype(np.int64) << np.arange(len(scores))[:, None]).sum(axis=0)))
-                counts = [len(x[2]) for x in found]
-                each = [np.repeat([x[k] for x in found], counts) for k in (0, 1)] + [np.concatenate([x[k] for x in found]) for k in (2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in each], ["query_id", "query_number", "vec_id", "row_no", "score"])
-
-    index = packed(rows, blocks, index_block, "dims int, block int, ids binary, numbers binary, low binary, bits int, slices binary")
-    asked = packed(rows.filter("asked"), chunks, query_chunk, "dims int, chunk int, query_ids binary, query_numbers binary, width string, queries binary")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = index.join(asked, ["dims", "block"]).select("dims", "ids", "numbers", "low", "bits", "slices", "query_ids", "query_numbers", "width", "queries").mapInArrow(search, "query_id long, query_number long, vec_id long, row_no long, score long")
+    def decode(row: dict) -> dict:
+        ids, words = np.frombuffer(row["ids"], np.int64), -(-len(row["ids"]) // 512)
+        slices = np.frombuffer(row["slices"], np.uint64).reshape(row["dims"], row["bits"], words)
+        there = np.packbits(np.arange(words * 64) < len(ids), bitorder="little").view(np.uint64)
+        return row | {"ids": ids, "numbers": np.frombuffer(row["numbers"], np.int64), "low": np.frombuffer(row["low"], np.int64), "slices": slices, "there": there}
+
+    def search(block: dict, row: dict) -> pa.RecordBatch:
+        ids, numbers = block["ids"], block["numbers"]
+        query_ids, query_numbers = (np.frombuffer(row[k], np.int64) for k in ("query_ids", "query_numbers"))
+        queries = np.frombuffer(row["queries"], row["width"]).reshape(len(query_ids), block["dims"]).astype(np.int64)
+        found: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for query_id, number, query in zip(query_ids.tolist(), query_numbers.tolist(), queries, strict=True):
+            among = block["there"]
+            if len(own := np.flatnonzero(numbers == number)):
+                among = among.copy()
+                np.bitwise_and.at(among, own // 64, ~(np.uint64(1) << (own % 64).astype(np.uint64)))
+            scores = add_slices(block["slices"], query)
+            top = top_rows(scores, among, ids, k)
+            bits = (scores[:, top // 64] >> (top % 64).astype(np.uint64)) & np.uint64(1)
+            full = (1 << block["bits"]) - 1
+            base = int(np.where(query >= 0, query * block["low"], query * (block["low"] + full)).sum())
+            found.append((query_id, number, ids[top], numbers[top], base + (bits.astype(np.int64) << np.arange(len(scores))[:, None]).sum(axis=0)))
+        counts = [len(x[2]) for x in found]
+        each = [np.repeat([x[k] for x in found], counts) for k in (0, 1)] + [np.concatenate([x[k] for x in found]) for k in (2, 3, 4)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in each], ["query_id", "query_number", "vec_id", "row_no", "score"])
+
+    name = F.concat_ws("-", "dims", "block").alias("block_no")
+    index = dealt(rows, blocks, index_block, "dims int, block int, ids binary, numbers binary, low binary, bits int, slices binary")
+    index = materialize(index.select("dims", name, "ids", "numbers", "low", "bits", "slices"), "slices")
+    asked = dealt(rows.filter("asked"), chunks, query_chunk, "dims int, chunk int, query_ids binary, query_numbers binary, width string, queries binary")
+    asked = asked.join(index.select("dims", "block_no"), "dims").drop("dims", "chunk")
+    found = passed_by(index, asked, "block_no", decode, search, "query_id long, query_number long, vec_id long, row_no long, score long", lanes_for(spark, blocks, chunks))
     best = Window.partitionBy("query_id", "query_number").orderBy(F.desc("score"), "vec_id", "row_no")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

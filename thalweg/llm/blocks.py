@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import partitions
@@ -43,14 +43,17 @@ def vectors_of(table: pa.Table, column: str, dims: int) -> np.ndarray:
     return flat.flatten().to_numpy().reshape(table.num_rows, dims) if dims else np.zeros((table.num_rows, 0), np.int64)
 
 
-def passed_by(index: DataFrame, asked: DataFrame, key: str, decode: Callable[[dict], object], work: Callable[[object, dict], pa.RecordBatch], schema: str) -> DataFrame:
+def lanes_for(spark: SparkSession, blocks: int, chunks: int) -> int:
+    """How many tasks may share a block so that all partitions have work: no more than there are chunks, one where blocks are many."""
+    return max(1, min(chunks, -(-partitions(spark) // max(1, blocks))))
+
+
+def passed_by(index: DataFrame, asked: DataFrame, key: str, decode: Callable[[dict], object], work: Callable[[object, dict], pa.RecordBatch], schema: str, lanes: int = 1) -> DataFrame:
     """work(decode(block), chunk) for every block of index (one row a key) and every chunk of asked of the same key.
 
     A block comes before its chunks in one sorted partition, so it is decoded once and no copy of it travels with the
-    chunks. Where blocks are fewer than partitions, each is dealt to several lanes that share the chunks.
+    chunks. Each block is dealt to so many lanes, which share the chunks.
     """
-    spark = index.sparkSession
-    lanes = max(1, -(-partitions(spark) // max(1, index.count())))
     blocks = index.withColumns({"turn": F.lit(0), "lane": F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))})
     chunks = asked.withColumns({"turn": F.lit(1), "lane": F.pmod(F.monotonically_increasing_id(), F.lit(lanes)).cast("int")})
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitsliced import quantise, usable
-from .blocks import packed, passed_by, vectors_of
+from .blocks import lanes_for, packed, passed_by, vectors_of
 from .common import materialize
 
 BLOCK_ROWS, CHUNK_ANCHORS, RUN = 1 << 13, 64, 32
@@ -191,7 +191,7 @@ def mine(
     index = packed(rows.select("dims", part(blocks), "vec_id", "row_no", "of", "v", "square"), ["dims", "part"], [], index_block, BLOCK_SQL)
     index = materialize(index.withColumn("block_no", F.concat_ws("-", "dims", "block")), "pivot-index")
     anchors = materialize(packed(rows.filter("asked").select("dims", part(chunks), "vec_id", "row_no", "of", "v", "square"), ["dims", "part"], ["row_no"], anchor_chunk, ANCHOR_SQL), "anchors")
-    places = index.select("dims", "block_no")
+    places, lanes = index.select("dims", "block_no"), lanes_for(spark, blocks, chunks)
 
     def dealt(table: DataFrame) -> DataFrame:
         """Chunks of anchors, for every block of vectors of their length."""
@@ -216,14 +216,14 @@ def mine(
                 out += [(a["row_no"], a["anchor_id"], w["positive_no"], w["positive_id"], w["positive_score"], int(block.ids[r]), int(block.numbers[r]), int(s)) for r, s in zip(at, scores, strict=True)]
         return batch_of(out, ["row_no", "anchor_id", "positive_no", "positive_id", "positive_score", "negative_id", "negative_no", "negative_score"])
 
-    found = passed_by(index, dealt(anchors), "block_no", Block, find_positives, "row_no long, positive_id long, positive_no long, positive_score long")
+    found = passed_by(index, dealt(anchors), "block_no", Block, find_positives, "row_no long, positive_id long, positive_no long, positive_score long", lanes)
     best = Window.partitionBy("row_no").orderBy(F.desc("positive_score"), "positive_id", "positive_no")
     found = found.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= positives)
     low, high = between
     share = lambda k: F.lit(k).cast("long") * F.col("positive_score")
     limits = found.withColumns({"least": rounded_down(-share(low)) * -1, "most": rounded_down(share(high))}).filter("least <= most")
     windows = limits.groupBy("row_no").agg(F.sort_array(F.collect_list(F.struct("positive_no", "positive_id", "positive_score", "least", "most"))).alias("windows"))
-    again = passed_by(index, dealt(materialize(anchors.join(windows, "row_no"), "windows")), "block_no", Block, find_negatives, "row_no long, anchor_id long, positive_no long, positive_id long, positive_score long, negative_id long, negative_no long, negative_score long")
+    again = passed_by(index, dealt(materialize(anchors.join(windows, "row_no"), "windows")), "block_no", Block, find_negatives, "row_no long, anchor_id long, positive_no long, positive_id long, positive_score long, negative_id long, negative_no long, negative_score long", lanes)
     best = Window.partitionBy("row_no", "positive_no").orderBy(F.desc("negative_score"), "negative_id", "negative_no")
     ranked = again.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= negatives)
     return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
