@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thalweg import catalog
-from thalweg.operators import components, network, paths, skeleton
+from thalweg.operators import components, lines, network, paths, skeleton, snapping
 from thalweg.operators.guard import Failures
 from thalweg.plans import basins
 
@@ -40,7 +40,8 @@ KERNELS = {
     "label": (components, "component_labels", lambda r, c, kind: r.min() < -20),
     "connect": (paths, "rounds", lambda basin, cutoffs: basin["r"].min() < -20),
     "thin": (skeleton, "thin_cells", lambda cells: min(r for r, _ in cells) < -20),
-    "forest": (paths, "grid_of", lambda basin: basin["r"].min() < -20 and "source" in basin),
+    "trace": (lines, "trace_cells", lambda cells: min(r for r, _ in cells) < -20),
+    "snap": (snapping, "grow", lambda edges, starts: min(y for _, y in starts) < -20),
     "segments": (network, "segments_of", lambda targets, from_ref, own: min(targets) < 0),
 }
 

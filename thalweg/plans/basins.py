@@ -73,6 +73,8 @@ def snapped_nodes(thin: DataFrame, flow: DataFrame, failures: Failures | None =
     forest = snapping.forest(touching_lines(thin, failures), vertices, failures)
     new = forest.select("basin_id", key("y", "x").alias("node_id"), F.coalesce(key("to_y", "to_x"), F.lit(-1)).alias("target_id"), F.lit(False).alias("from_ref"), F.lit(1).alias("own_order"))
     held = ref.select("basin_id", key("r", "c").alias("node_id"), F.coalesce(key("to_r", "to_c"), F.lit(-1)).alias("target_id"), F.lit(True).alias("from_ref"), F.lit(1).alias("own_order"))
+    if failures is not None:  # a basin whose new water broke a kernel must not go on with its reference water alone
+        held = held.join(failures.found(thin.sparkSession).select("basin_id"), "basin_id", "left_anti")
     return new.unionByName(held)
 
 
