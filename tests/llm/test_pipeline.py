@@ -74,7 +74,8 @@ def test_columns_that_clash_stay(spark):
         assert by[3].secret_spans == "keep" and by[3].key0 == "y" and by[3].KEY1 == 3 and by[None].text is None
         if stage is corpus_pipeline.drop_copies:
             assert sorted(by, key=str) == [2, 3, None]
-    model = toxicity.fit([], [], __import__("numpy").zeros(0, int))
+    np = __import__("numpy")
+    model = toxicity.fit([], [], [], np.zeros(0, bool), np.zeros(0, int))
     assert toxicity.reject(some, model, threshold=0.6).columns == some.columns
 
 
@@ -91,7 +92,8 @@ def test_operators_take_clashing_columns_and_no_rows(spark):
     assert sorted(r.doc_id or 0 for r in exact_dedup.exact_dedup(some).filter("kept").collect()) == [0, 2]
     assert len({r.component_id for r in simhash.near_duplicates(simhash.fingerprints(some)).collect()}) == 2
     none = some.limit(0)
-    model = toxicity.fit([], [], __import__("numpy").zeros(0, int))
+    np = __import__("numpy")
+    model = toxicity.fit([], [], [], np.zeros(0, bool), np.zeros(0, int))
     assert exact_dedup.drop_copies(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
     assert toxicity.score(none, model).count() == 0 and secrets.scan(none).count() == 0
 
