@@ -91,10 +91,9 @@ def box_rasters(tiles: DataFrame, boxes: DataFrame, tile: str, value: str, key:
     dealt = boxes.select(key, "r0", "r1", "c0", "c1").withColumn("gr", span("r0", "r1")).withColumn("gc", span("c0", "c1"))
     held = tiles.select(tile, "r", "c", value).withColumns({"gr": F.floor(F.col("r") / size), "gc": F.floor(F.col("c") / size)})
     inside = held.join(dealt, ["gr", "gc"]).filter("r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1").select(key, tile, "r", "c", value)
-    # of each tile what is left in a box must be two rows and two columns at least; a list is no longer than its box
-    edge = lambda c: F.min(c) < F.max(c)
-    parts = inside.groupBy(key, tile).agg(edge("r").alias("tall"), edge("c").alias("broad"), F.collect_list(F.struct("r", "c", value)).alias("cells")).filter("tall AND broad")
-    found = mosaic(parts.select(key, tile, F.explode("cells").alias("x")).select(key, tile, "x.*"), [key, "r", "c"], value, tile, nodata)
+    # of each tile what is left in a box must be two rows and two columns at least
+    wide = inside.groupBy(key, tile).agg(F.min("r").alias("a"), F.max("r").alias("b"), F.min("c").alias("d"), F.max("c").alias("e")).filter("a < b AND d < e").select(key, tile)
+    found = mosaic(inside.join(wide, [key, tile], "left_semi"), [key, "r", "c"], value, tile, nodata)
     kind = tiles.schema[value].dataType.typeName()
     none = F.lit(float("nan") if kind in ("float", "double") else 0).cast(kind)
     places = boxes.select(key, F.explode(F.sequence("r0", "r1")).alias("r"), "c0", "c1").select(key, "r", F.explode(F.sequence("c0", "c1")).alias("c"))
