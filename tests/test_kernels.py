@@ -120,3 +120,12 @@ def test_sinks_and_geometry(spark, tmp_path):
     assert tables.not_done(df, df.limit(1), ["x"], overwrite=True).count() == 2
     box = spark.range(1).select(tables.tile_box(F.lit("a/b_c_-1.5_2_3_4.tif"), 0.5).alias("b"), tables.tile_box(F.lit("odd.tif")).alias("n")).first()
     assert tuple(box.b) == (-2.0, 1.5, 3.5, 4.5) and box.n.w is None
+
+
+def test_weights_are_those_of_the_c_library(spark):
+    """Sums of weights are held against cutoffs, so the last bit counts; Spark's log2 is off by one for ten of these."""
+    import math
+
+    got = spark.range(101).select("id", fc.cost_weight(F.col("id") / 100.0).alias("w")).collect()
+    share = {r.id: (r.id / 100 - 0.1) / (0.5 - 0.1) for r in got}
+    assert [r.w for r in got] == [-math.log2(share[r.id]) if 0 < share[r.id] < 1 else 0.0 for r in got]

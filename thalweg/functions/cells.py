@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Neighbours (row step, column step); a neighbour's bit in a mask is its place here. Rows grow to the south.
 STEPS = {"N": (-1, 0), "E": (0, 1), "S": (1, 0), "W": (0, -1), "NE": (-1, 1), "SE": (1, 1), "SW": (1, -1), "NW": (-1, -1)}
@@ -27,10 +31,16 @@ def elevation(raw: Column, limit: int = 32768, instead: int = 10000) -> Column:
     return F.when(raw >= limit, F.lit(instead)).otherwise(raw.cast("int"))
 
 
+@F.pandas_udf(DoubleType())
+def minus_log2(shares: pd.Series) -> pd.Series:
+    """-log2 between 0 and 1, else 0, by the C library: Spark's log2 divides logarithms and is off in the last bit, which moves ways that end at a cutoff."""
+    return pd.Series([-math.log2(x) if 0.0 < x < 1.0 else 0.0 for x in shares.tolist()], dtype="float64")
+
+
 def cost_weight(prob: Column, low: float = 0.1, high: float = 0.5) -> Column:
     """0 where water is sure or out of the question, else -log2 of the probability's place between low and high."""
     scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (prob - low) / (high - low)))
-    return F.when((scaled > 0) & (scaled < 1), -F.log2(scaled)).otherwise(F.lit(0.0))
+    return minus_log2(scaled)
 
 
 def step_cost(weight: Column, elev_from: Column, elev_to: Column, most: int = 20) -> Column:
