@@ -175,3 +175,27 @@ def test_regions_keep_their_holes(spark, tmp_path):
     assert tables.scan_regions(spark, str(path), mask=inside_the_hole).count() == 0
     assert [r.region_id for r in tables.scan_regions(spark, str(path), mask=[(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 1.0)]).collect()] == [1]
     assert [r.region_id for r in tables.scan_regions(spark, str(path), mask=[(21.0, 18.0), (21.5, 40.0), (21.2, 40.0), (21.0, 18.0)]).collect()] == [2]
+
+
+def test_places_of_boxes_try_few_of_many_tiles(spark, monkeypatch):
+    """Sixty tiles that share all their places: a place looks at the first ones, and boxes of the same places are made once."""
+    rng = random.Random(4)
+    cells = [(t, r, c, 95 if t < 7 and r < 4 else rng.randint(0, 80)) for t in range(60) for r in range(12) for c in range(12)]
+    boxes = [(i, i % 9, i % 9 + 2, i % 8, i % 8 + 3) for i in range(400)]
+    tiles = spark.createDataFrame(cells, "tile int, r int, c int, v int")
+    table = spark.createDataFrame(boxes, "box_id int, r0 int, r1 int, c0 int, c1 int")
+    tried, held = [], tables.cut
+
+    def counted(df, label, by=None):
+        out = held(df, label, by)
+        if label == "tried":
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(tables, "cut", counted)
+    got = {}
+    for r in tables.box_rasters(tiles, table, "tile", "v", size=4, nodata=90).collect():
+        got.setdefault(r.box_id, []).append((r.r, r.c, r.v))
+    for i, *b in boxes[::97]:
+        assert sorted(got[i]) == sorted(map(tuple, tables.box_raster(tiles, "tile", "v", tuple(b), nodata=90).collect()))
+    assert len(got) == 400 and 0 < sum(tried) <= 72 * 12 * 20  # of 400 boxes * 12 places * 60 tiles

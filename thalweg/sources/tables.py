@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ from ..functions.geometry import line_length, line_meets_ring, polygon_meets_rin
 
 #: A Parquet file without rows is smaller than this.
 EMPTY_BYTES = 1 << 20
+#: Tiles that a place of a box tries in the first round.
+FIRST_TILES = 4
 
 
 def cut(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
@@ -84,20 +86,39 @@ def box_raster(tiles: DataFrame, tile: str, value: str, box: tuple[int, int, int
 def box_rasters(tiles: DataFrame, boxes: DataFrame, tile: str, value: str, key: str = "box_id", size: int = 64, nodata: float = 1e30) -> DataFrame:
     """key, r, c, value of every place of every box (boxes: key, r0, r1, c0, c1, inclusive), as box_raster makes it for one.
 
-    Boxes are dealt to the squares of a grid that they cover, and cells meet them there: an equi-join, in which a cell is
-    copied once for each box that holds it, and no box is known to the driver.
+    Boxes of the same places are made once. Each place of a box tries its tiles in order of rank, a few first and four
+    times as many in each further round, and is settled by the first that has data there and two rows and two columns in
+    the box; only tiles that are tried are looked at. Boxes meet cells in the squares of a grid that they cover: an
+    equi-join, and no box is known to the driver.
     """
+    box = ["r0", "r1", "c0", "c1"]
     span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
-    dealt = boxes.select(key, "r0", "r1", "c0", "c1").withColumn("gr", span("r0", "r1")).withColumn("gc", span("c0", "c1"))
-    held = tiles.select(tile, "r", "c", value).withColumns({"gr": F.floor(F.col("r") / size), "gc": F.floor(F.col("c") / size)})
-    inside = held.join(dealt, ["gr", "gc"]).filter("r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1").select(key, tile, "r", "c", value)
-    # of each tile what is left in a box must be two rows and two columns at least
-    wide = inside.groupBy(key, tile).agg(F.min("r").alias("a"), F.max("r").alias("b"), F.min("c").alias("d"), F.max("c").alias("e")).filter("a < b AND d < e").select(key, tile)
-    found = mosaic(inside.join(wide, [key, tile], "left_semi"), [key, "r", "c"], value, tile, nodata)
+    shapes = cut(boxes.select(*box).distinct().withColumn("shape", F.monotonically_increasing_id()), "shapes")
+    dealt = shapes.withColumn("gr", span("r0", "r1")).withColumn("gc", span("c0", "c1"))
+    every = shapes.select("shape", F.explode(F.sequence("r0", "r1")).alias("r"), "c0", "c1").select("shape", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
+    cells = cut(tiles.select(tile, "r", "c", value).withColumns({"gr": F.floor(F.col("r") / size), "gc": F.floor(F.col("c") / size)}), "raster-cells")
+    data = cells.filter(F.col(value) < nodata)
+    ranked = data.groupBy("r", "c", tile).agg(F.min(value).alias(value)).withColumn("n", F.row_number().over(Window.partitionBy("r", "c").orderBy(tile)))
+    ranked = cut(ranked, "ranked-cells")
+    left, found, past, most = every, None, 0, FIRST_TILES
+    while True:
+        tried = cut(left.join(ranked.filter((F.col("n") > past) & (F.col("n") <= past + most)), ["r", "c"]), "tried")
+        if tried.isEmpty():
+            break
+        pairs = tried.select("shape", tile).distinct().join(dealt, "shape")
+        inside = pairs.join(cells.select(tile, "gr", "gc", "r", "c"), [tile, "gr", "gc"]).filter("r BETWEEN r0 AND r1 AND c BETWEEN c0 AND c1")
+        # of each tile what is left in a box must be two rows and two columns at least
+        wide = inside.groupBy("shape", tile).agg(F.min("r").alias("a"), F.max("r").alias("b"), F.min("c").alias("d"), F.max("c").alias("e")).filter("a < b AND d < e").select("shape", tile)
+        settled = cut(tried.join(wide, ["shape", tile], "left_semi").groupBy("shape", "r", "c").agg(F.min_by(value, "n").alias(value)), "settled")
+        found = settled if found is None else found.unionByName(settled)
+        left = cut(tried.select("shape", "r", "c").distinct().join(settled, ["shape", "r", "c"], "left_anti"), "unsettled")
+        past, most = past + most, most * 4
     kind = tiles.schema[value].dataType.typeName()
     none = F.lit(float("nan") if kind in ("float", "double") else 0).cast(kind)
-    places = boxes.select(key, F.explode(F.sequence("r0", "r1")).alias("r"), "c0", "c1").select(key, "r", F.explode(F.sequence("c0", "c1")).alias("c"))
-    return places.join(found, [key, "r", "c"], "left").select(key, "r", "c", F.coalesce(value, none).alias(value))
+    if found is None:
+        found = every.withColumn(value, none).limit(0)
+    rasters = every.join(found, ["shape", "r", "c"], "left").select("shape", "r", "c", F.coalesce(value, none).alias(value))
+    return boxes.select(key, *box).join(shapes, box).select(key, "shape").join(rasters, "shape").select(key, "r", "c", value)
 
 
 def curve_key(box: Column, extent: tuple[float, float, float, float], bits: int = 16) -> Column:
