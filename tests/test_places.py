@@ -187,3 +187,30 @@ def test_unseen_components_equal_a_plain_version(spark):
     assert first == want
     every = left(paths.CUTOFFS)
     assert all(first[b] <= every[b] for b in every) and any(first[b] < every[b] for b in every)
+
+
+def test_places_are_looked_up_once(spark, monkeypatch):
+    """Many points and vertices on few places: the search meets places, not rows, and all ties come out."""
+    pts = spark.range(600).selectExpr("id AS point_id", "id % 2 AS grp", "id % 10 AS x", "id % 6 AS y")
+    ref = spark.range(800).selectExpr("id AS vertex_id", "id % 2 AS grp", "(id % 4) * 5 AS x", "(id % 4) * 3 AS y")
+    rows, held = [], lines.cut
+
+    def counted(df, label, by=None):
+        out = held(df, label, by)
+        if label in ("nearest", "vertices"):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "cut", counted)
+    got = sorted(map(tuple, lines.nearest_vertices(pts, ref).collect()))
+    assert 0 < sum(rows) < 500
+    p, v = [tuple(r) for r in pts.collect()], [tuple(r) for r in ref.collect()]
+    want = []
+    for i, g, x, y in p:
+        d = [((x - a) ** 2 + (y - b) ** 2, k) for k, h, a, b in v if h == g]
+        want += [(g, i, k, e) for e, k in d if e == min(d)[0]]
+    assert got == sorted(want)
+    least = {}
+    for g, i, k, _ in want:
+        least[i] = min(k, least.get(i, k))
+    assert {r.point_id: r.vertex_id for r in lines.connectors(pts, ref).collect()} == least

@@ -68,45 +68,59 @@ def snap_points(vertices: DataFrame, line: list[str]) -> DataFrame:
     return ends.select(*line, "n_vertices", action.alias("action"), pos.cast("int").alias("pos"))
 
 
-def nearest_vertices(points: DataFrame, vertices: DataFrame, group: str = "grp", size: float | None = None) -> DataFrame:
-    """group, point_id, vertex_id, dist2: the nearest vertex of the point's group, all of them if several are.
-
-    Points and vertices are dealt to the squares of a grid, and every point looks into its own square and the eight
-    around it. What it finds there is nearest if it lies no farther than a square's side; the points that are left go on
-    with squares of four times the side. By default the first side gives a square one vertex of its group on average.
-    Of what a point finds only the nearest is kept, before anything is shuffled by point.
+def nearest_places(points: DataFrame, vertices: DataFrame, group: str = "grp", size: float | None = None) -> DataFrame:
+    """group, x, y, vx, vy, d2: the nearest places of vertices of every place of points in its group, all of them if several are.
+
+    Places are looked up once, however many points and vertices lie on them. They are dealt to the squares of a grid, and
+    every point's place looks into its own square and the eight around it. What it finds there is nearest if it lies no
+    farther than a square's side; the places that are left go on with squares of four times the side. By default the
+    first side gives a square one place of its group on average. Only the nearest is kept of what a place finds. Joins of
+    places are shuffled: a small file of them may still be many rows for a driver to send.
     """
-    edges = lambda df: df.groupBy(group).agg(F.count("*").alias("n"), *(f(c).cast("double").alias(f"{f.__name__}_{c}") for c in "xy" for f in (F.min, F.max)))
-    own, other = edges(vertices), edges(points).drop("n")
+    there = cut(vertices.groupBy(group, F.col("x").alias("vx"), F.col("y").alias("vy")).agg(F.count("*").alias("held")), "vertex-places")
+    here = points.select(group, "x", "y").distinct()
+    edges = lambda df, x, y: df.groupBy(group).agg(F.count("*").alias("n"), *(f(c).cast("double").alias(f"{f.__name__}_{k}") for c, k in ((x, "x"), (y, "y")) for f in (F.min, F.max)))
+    here = cut(here, "point-places")
+    own, other = edges(there, "vx", "vy"), edges(here, "x", "y").drop("n")
     both = own.join(other.withColumnsRenamed({c: f"p_{c}" for c in other.columns if c != group}), group)
     wide = lambda c: F.greatest(f"max_{c}", f"p_max_{c}") - F.least(f"min_{c}", f"p_min_{c}")
     both = both.withColumn("extent", F.greatest(wide("x"), wide("y"), F.lit(1e-9)))
     side = F.lit(float(size)) if size else F.greatest(F.col("extent") / F.sqrt("n"), F.col("extent") / 2**20)
     sides = both.select(group, side.alias("side"), "extent")
-    held = cut(vertices.select(group, "vertex_id", F.col("x").alias("vx"), F.col("y").alias("vy")).join(sides.select(group, "side"), group), "vertices")
-    left = cut(points.select(group, "point_id", "x", "y").join(sides, group), "points")
+    held = cut(there.select(group, "vx", "vy").join(sides.select(group, "side"), group), "vertices")
+    left = cut(here.join(sides, group), "points")
     out, scale = None, 1
     while not left.isEmpty():
         span = F.col("side") * scale
         at = lambda c: F.floor(F.col(c) / span).cast("long")  # noqa: B023, E731
         near = left.withColumn("gx", F.explode(F.sequence(at("x") - 1, at("x") + 1))).withColumn("gy", F.explode(F.sequence(at("y") - 1, at("y") + 1)))
-        met = near.join(held.withColumns({"gx": at("vx"), "gy": at("vy")}).drop("side"), [group, "gx", "gy"])
+        met = near.join(held.withColumns({"gx": at("vx"), "gy": at("vy")}).drop("side").hint("merge"), [group, "gx", "gy"], "left")
         met = met.withColumn("d2", (F.col("x") - F.col("vx")) ** 2 + (F.col("y") - F.col("vy")) ** 2)
         # nine squares of twice the extent hold everything
-        sure = (F.col("d2") <= span * span) | (span > 2 * F.col("extent"))
-        first = met.withColumn("rank", F.rank().over(Window.partitionBy(group, "point_id").orderBy("d2"))).filter("rank = 1")
-        found = cut(first.filter(sure).select(group, "point_id", "vertex_id", F.col("d2").cast("long").alias("dist2")), "nearest")
+        sure = F.coalesce((F.col("d2") <= span * span) | (span > 2 * F.col("extent")), F.lit(False))
+        first = met.withColumn("rank", F.rank().over(Window.partitionBy(group, "x", "y").orderBy(F.col("d2").asc_nulls_last()))).filter("rank = 1")
+        first = cut(first.select(group, "x", "y", "side", "extent", "vx", "vy", "d2", (sure & F.col("d2").isNotNull()).alias("sure")), "nearest")
+        found = first.filter("sure").select(group, "x", "y", "vx", "vy", "d2")
         out = found if out is None else out.unionByName(found)
-        left = cut(left.join(found.select(group, "point_id").distinct(), [group, "point_id"], "left_anti"), "points")
+        left = cut(first.filter("NOT sure").select(*left.columns).distinct(), "points")
         scale *= 4
-    return left.select(group, "point_id", F.lit(0).cast("long").alias("vertex_id"), F.lit(0).cast("long").alias("dist2")) if out is None else out
+    return left.select(group, "x", "y", F.col("x").alias("vx"), F.col("y").alias("vy"), F.lit(0.0).alias("d2")) if out is None else out
+
+
+def nearest_vertices(points: DataFrame, vertices: DataFrame, group: str = "grp", size: float | None = None) -> DataFrame:
+    """group, point_id, vertex_id, dist2: the nearest vertex of the point's group, all of them if several are (see nearest_places)."""
+    near = nearest_places(points, vertices, group, size)
+    at = vertices.select(group, "vertex_id", F.col("x").alias("vx"), F.col("y").alias("vy"))
+    found = points.select(group, "point_id", "x", "y").join(near.hint("merge"), [group, "x", "y"]).join(at.hint("merge"), [group, "vx", "vy"])
+    return found.select(group, "point_id", "vertex_id", F.col("d2").cast("long").alias("dist2"))
 
 
 def connectors(points: DataFrame, vertices: DataFrame, group: str = "grp") -> DataFrame:
     """group, point_id, vertex_id, line: from each point to its nearest vertex (of several the one of smallest identifier), which takes the point's place."""
-    near = nearest_vertices(points, vertices, group).groupBy(group, "point_id").agg(F.min("vertex_id").alias("vertex_id"))
-    to = vertices.select(group, "vertex_id", F.col("x").alias("vx"), F.col("y").alias("vy"))
-    joined = near.join(points.select(group, "point_id", "x", "y"), [group, "point_id"]).join(to, [group, "vertex_id"])
+    least = vertices.groupBy(group, F.col("x").alias("vx"), F.col("y").alias("vy")).agg(F.min("vertex_id").alias("vertex_id"))
+    near = nearest_places(points, vertices, group).join(least.hint("merge"), [group, "vx", "vy"])
+    first = near.groupBy(group, "x", "y").agg(F.min(F.struct("vertex_id", "vx", "vy")).alias("v")).select(group, "x", "y", "v.*")
+    joined = points.select(group, "point_id", "x", "y").join(first.hint("merge"), [group, "x", "y"])
     return joined.select(group, "point_id", "vertex_id", F.array(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), F.struct(F.col("vx").cast("double").alias("x"), F.col("vy").cast("double").alias("y"))).alias("line"))
 
 
