@@ -98,3 +98,19 @@ def test_new_water_of_the_run_flows_to_reference_vertices(spark):
     wet = {b for b, _ in ((r.basin_id, 0) for r in nodes.values() if r.from_ref)}
     assert new and reached >= 0.95 * sum(r.basin_id in wet for r in new)
     assert {r.node_id for r in new} <= {(r.r << 32) + r.c for r in thin.filter(F.col("kind") == 1).collect()}
+
+
+def test_steps_that_lines_share_reach_the_kernel_once(spark, monkeypatch):
+    """A hundred lines over the same places: the task of a basin gets each step once, and lines without touch keep the last one's course."""
+    v = [(b, i, k, k + b, i % 2 * (k == 2), 9 - k, b == 0 and k == 0 and i < 99) for b in (0, 1) for i in range(100) for k in range(4)]
+    vertices = spark.createDataFrame(v, "basin_id long, line_id long, pos int, x long, y long, elev long, touches boolean")
+    ref = spark.createDataFrame([(0, i, -1, -1, 3) for i in range(50)], "basin_id long, vertex_id long, x long, y long, elev long")
+    sizes, held = [], snapping.per_basin
+
+    def counted(rows, *args):
+        sizes.append(rows.count())
+        return held(rows, *args)
+
+    monkeypatch.setattr(snapping, "per_basin", counted)
+    got = {(r.basin_id, r.x, r.y): (r.to_x, r.to_y, r.snapped) for r in snapping.forest(vertices, ref).collect()}
+    assert sizes[0] < 20 and got[0, 0, 0] == (-1, -1, True) and got[1, 2, 0] == (3, 1, False) and got[1, 3, 1] == (4, 0, False)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import cut
 from .guard import Failures, per_basin
-from .lines import nearest_vertices, snap_points
+from .lines import nearest_places, snap_points
 
 LINE = ["basin_id", "line_id"]
 PLACE = ["basin_id", "x", "y"]
@@ -30,10 +30,10 @@ def snapped(kept: DataFrame, reference: DataFrame) -> DataFrame:
     cost is what the connecting line descends from the reference vertex (basin_id, vertex_id, x, y, elev) to the place.
     """
     places = kept.filter("snaps").groupBy(*PLACE).agg(F.max("elev").alias("elev"))
-    places = places.withColumn("point_id", F.shiftleft(F.col("x").cast("long"), 32) + F.col("y"))
-    near = nearest_vertices(places, reference, "basin_id").groupBy("basin_id", "point_id").agg(F.min("vertex_id").alias("vertex_id"))
-    to = reference.select("basin_id", "vertex_id", F.col("x").alias("to_x"), F.col("y").alias("to_y"), F.col("elev").alias("to_elev"))
-    out = near.join(places, ["basin_id", "point_id"]).join(to, ["basin_id", "vertex_id"])
+    at = reference.groupBy("basin_id", F.col("x").alias("to_x"), F.col("y").alias("to_y")).agg(F.min(F.struct("vertex_id", "elev")).alias("v"))
+    near = nearest_places(places, reference, "basin_id").withColumnsRenamed({"vx": "to_x", "vy": "to_y"}).join(at.hint("merge"), ["basin_id", "to_x", "to_y"])
+    first = near.groupBy(*PLACE).agg(F.min(F.struct("v", "to_x", "to_y")).alias("n")).select(*PLACE, "n.to_x", "n.to_y", F.col("n.v.elev").alias("to_elev"))
+    out = first.join(places, PLACE)
     return out.select(*PLACE, "to_x", "to_y", F.greatest(F.lit(0), F.col("to_elev") - F.col("elev")).cast("double").alias("cost"))
 
 
@@ -66,7 +66,10 @@ def forest(vertices: DataFrame, reference: DataFrame, failures: Failures | None
     ahead = lambda c: F.lead(c).over(Window.partitionBy(*LINE).orderBy("pos"))
     steps = kept.select(*PLACE, "line_id", "pos", "elev", ahead("x").alias("to_x"), ahead("y").alias("to_y"), ahead("elev").alias("to_elev"))
     none = F.lit(None).cast("long")
-    steps = steps.select("basin_id", *(F.col(c).cast("long").alias(c) for c in ("x", "y", "to_x", "to_y")), (F.col("elev") - F.col("to_elev")).cast("double").alias("drop"), "line_id", "pos", F.lit(False).alias("start"))
+    steps = steps.select("basin_id", *(F.col(c).cast("long").alias(c) for c in ("x", "y", "to_x", "to_y")), (F.col("elev") - F.col("to_elev")).cast("double").alias("drop"), "line_id", "pos")
+    # lines over one another make a step many times; the last of those from a place says where it flows, if nothing snaps
+    steps = steps.groupBy(*PLACE, "to_x", "to_y", "drop").agg(F.max(F.struct("line_id", "pos")).alias("l"))
+    steps = steps.select(*PLACE, "to_x", "to_y", "drop", "l.line_id", "l.pos", F.lit(False).alias("start"))
     starts = joined.select("basin_id", *(F.col(c).cast("long").alias(c) for c in ("x", "y", "to_x", "to_y")), F.col("cost").alias("drop"), none.alias("line_id"), none.alias("pos"), F.lit(True).alias("start"))
 
     def run(basin: pd.DataFrame) -> pd.DataFrame:
