@@ -122,3 +122,21 @@ def test_touched_cells_of_long_steps(spark):
         _, x1, y1, x2, y2 = next(s for s in steps if s[0] == k)
         near = min(max(gx * 4 - x, 0, x - gx * 4 - 4) ** 2 + max(gy * 4 - y, 0, y - gy * 4 - 4) ** 2 for n in range(4001) for x, y in [(x1 + (x2 - x1) * n / 4000, y1 + (y2 - y1) * n / 4000)])
         assert near <= 0.51**2
+
+
+def test_points_in_polygons_are_those_of_every_pair(spark):
+    """Places are tested once and only near a polygon's box; before, every pair of a group was tested."""
+    rng = random.Random(8)
+    pts = [(i, i % 3, rng.randint(0, 20), rng.randint(0, 20)) for i in range(300)]
+    made = []
+    for k in range(40):
+        x, y = rng.uniform(-5, 22), rng.uniform(-5, 22)
+        made.append((k, k % 4, [[(x, y), (x + 6, y + 1), (x + 5, y + 7), (x, y)], [(x + 3, y + 2), (x + 4, y + 2), (x + 4, y + 3), (x + 3, y + 2)], [(x + 8, y), (x + 9, y), (x + 9, y + 9), (x + 8, y)]]))
+    points = spark.createDataFrame(pts, "point_id long, grp long, x long, y long")
+    polygons = spark.createDataFrame(made, "polygon_id long, grp long, rings array<array<struct<x double, y double>>>")
+    for size in (4.0, 50.0):
+        got = sorted((r.point_id, r.polygon_id) for r in spatial.points_in_polygons(points, polygons, size, ["grp"]).collect())
+        pairs = spatial.inside_polygons(points.join(polygons, "grp"), F.col("x"), F.col("y"), F.col("rings")).filter("inside")
+        assert got == sorted((r.point_id, r.polygon_id) for r in pairs.collect()) and len(got) > 50
+    every = spatial.inside_polygons(points.crossJoin(polygons.drop("grp")), F.col("x"), F.col("y"), F.col("rings")).filter("inside").count()
+    assert spatial.points_in_polygons(points, polygons.drop("grp"), 4.0).count() == every

@@ -598,8 +598,8 @@ def filled_polygons(spark, sf_dir):
 @query(PLACED + """ SELECT point_id, polygon_id FROM b_points p JOIN edges e ON e.polygon_id % 25 = p.grp GROUP BY point_id, polygon_id, p.x, p.y
 HAVING COUNT(*) FILTER (WHERE (ay > y) <> (zy > y) AND x < (zx - ax) * (y - ay) / NULLIF(zy - ay, 0) + ax) % 2 = 1""", "b_points")
 def points_in_holed_polygons(spark, sf_dir):
-    pairs = load(spark, sf_dir, "b_points").join(polygons(spark, sf_dir).withColumn("grp", F.col("polygon_id") % 25), "grp")
-    return spatial.inside_polygons(pairs, F.col("x"), F.col("y"), F.col("rings")).filter("inside").select("point_id", "polygon_id")
+    held = polygons(spark, sf_dir).withColumn("grp", F.col("polygon_id") % 25)
+    return spatial.points_in_polygons(load(spark, sf_dir, "b_points"), held, 16.0, ["grp"]).select("point_id", "polygon_id")
 
 
 CROSSED = "sign(({q}x - {p}x) * ({c}y - {p}y) - ({q}y - {p}y) * ({c}x - {p}x)) * sign(({q}x - {p}x) * ({d}y - {p}y) - ({q}y - {p}y) * ({d}x - {p}x)) < 0"

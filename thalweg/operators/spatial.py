@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bounds, boxes_meet, in_ring, in_rings, line_meets_ring, polygon_meets_ring, step_box_distance2
+from ..sources.tables import cut
 
 
 def box_join(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
@@ -31,6 +32,26 @@ def inside_polygons(points: DataFrame, x: Column, y: Column, rings: Column) -> D
     return points.withColumn("inside", in_rings(x, y, rings))
 
 
+def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, group: list[str] | None = None, rings: str = "rings") -> DataFrame:
+    """The columns of points (x, y) and of polygons but rings of every pair of one group whose point lies in the polygon.
+
+    Places are tested once, however many points lie on them, and only against polygons whose box holds them: boxes are
+    dealt to the squares of a grid that they cover, as far as there are points of their group, and places to their own square.
+    """
+    group = group or []
+    square = lambda c: F.floor(F.col(c) / size)
+    places = cut(points.select(*group, "x", "y").filter("x IS NOT NULL AND y IS NOT NULL").distinct(), "places")
+    extent = places.groupBy(*group).agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
+    own = polygons.withColumn("_box", bounds(F.flatten(F.col(rings))))
+    own = own.join(extent, group) if group else own.crossJoin(extent)
+    own = own.filter("_box.w <= _x1 AND _box.e >= _x0 AND _box.s <= _y1 AND _box.n >= _y0")
+    span = lambda lo, hi, a, b: F.sequence(F.floor(F.greatest(F.col(lo), F.col(a)) / size), F.floor(F.least(F.col(hi), F.col(b)) / size))
+    own = own.withColumn("_gx", F.explode(span("_box.w", "_box.e", "_x0", "_x1"))).withColumn("_gy", F.explode(span("_box.s", "_box.n", "_y0", "_y1"))).drop("_x0", "_x1", "_y0", "_y1")
+    met = own.hint("merge").join(places.withColumns({"_gx": square("x"), "_gy": square("y")}), [*group, "_gx", "_gy"])
+    met = met.filter("x BETWEEN _box.w AND _box.e AND y BETWEEN _box.s AND _box.n").filter(in_rings(F.col("x"), F.col("y"), F.col(rings)))
+    return points.join(met.drop("_gx", "_gy", "_box", rings).hint("merge"), [*group, "x", "y"])
+
+
 def filled_cells(polygons: DataFrame, size: float, key: str = "polygon_id", rings: str = "rings") -> DataFrame:
     """key, gx, gy: cells of a grid whose midpoint lies in a polygon with holes and parts, by the even-odd rule.
 
