@@ -140,3 +140,21 @@ def test_points_in_polygons_are_those_of_every_pair(spark):
         assert got == sorted((r.point_id, r.polygon_id) for r in pairs.collect()) and len(got) > 50
     every = spatial.inside_polygons(points.crossJoin(polygons.drop("grp")), F.col("x"), F.col("y"), F.col("rings")).filter("inside").count()
     assert spatial.points_in_polygons(points, polygons.drop("grp"), 4.0).count() == every
+
+
+def test_steps_between_the_same_places_stand_for_each_other(spark, monkeypatch):
+    """Lines over one another: only distinct steps meet in the squares, and every line gets its own meeting points."""
+    base = [[(0, 0), (6, 6), (9, 1)], [(0, 6), (6, 0)], [(1, 3), (8, 3), (2, 3)]]
+    lines = [line for line in base for _ in range(12)]
+    sizes, held = [], noding.course_points
+
+    def counted(steps, *args):
+        sizes.append(steps.count())
+        return held(steps, *args)
+
+    monkeypatch.setattr(noding, "course_points", counted)
+    got = {}
+    for r in noding.meeting_points(noding.line_steps(vertices(spark, lines)), 4.0).collect():
+        got.setdefault((r.line_id, r.pos), []).append((round(r.x, 6), round(r.y, 6)))
+    want = {k: sorted((round(float(x), 6), round(float(y), 6)) for x, y in v) for k, v in meetings(lines).items() if v}
+    assert {k: sorted(v) for k, v in got.items()} == want and sizes == [5]

@@ -53,16 +53,43 @@ def cross(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return ax * by - ay * bx
 
 
+def courses(steps: DataFrame, line: str = "line_id") -> DataFrame:
+    """line, pos, x1, y1, x2, y2: of the steps of some length that run from and to the same places the first one (least line and pos)."""
+    moving = steps.filter("x2 IS NOT NULL AND (x1 <> x2 OR y1 <> y2)")
+    return moving.groupBy("x1", "y1", "x2", "y2").agg(F.min(F.struct(line, "pos")).alias("f")).select(f"f.{line}", "f.pos", "x1", "y1", "x2", "y2")
+
+
 def meeting_points(steps: DataFrame, size: float, line: str = "line_id") -> DataFrame:
     """line, pos, t, x, y: the places inside a step (0 < t < 1 along it) where another step of any line meets it, each once.
 
+    Steps that run from and to the same places do not meet inside one another and meet the others alike, so one stands
+    for all of them, and each gets what that one meets.
+    """
+    first = cut(courses(steps, line), "courses")
+    met = cut(course_points(first, size, line), "meeting-points")
+    return of_steps(steps, first, met, line).select(line, "pos", "t", "x", "y")
+
+
+def of_steps(steps: DataFrame, first: DataFrame, met: DataFrame, line: str) -> DataFrame:
+    """steps with the columns that the step that stands for them has in met (line, pos, others); steps without any are left out."""
+    ends = ["x1", "y1", "x2", "y2"]
+    named = first.withColumnsRenamed({line: "f_line", "pos": "f_pos"})
+    own = steps.join(named.hint("merge"), ends).drop(*ends)
+    return own.join(met.withColumnsRenamed({line: "f_line", "pos": "f_pos"}).hint("merge"), ["f_line", "f_pos"]).drop("f_line", "f_pos")
+
+
+def course_points(steps: DataFrame, size: float, line: str = "line_id") -> DataFrame:
+    """line, pos, t, x, y: the meeting points of steps (see meeting_points) of which no two run from and to the same places.
+
     Two steps meet where they cross, where one ends on the other, and, if they lie on one another, at the ends of either
     that lie inside the other. Both steps get the very same coordinates, rounded to DIGITS where they are no vertex. Steps of no length take no part.
     """
-    held = dealt(steps.filter("x2 IS NOT NULL AND (x1 <> x2 OR y1 <> y2)").select(line, "pos", "x1", "y1", "x2", "y2"), size)
+    held = dealt(steps.select(line, "pos", "x1", "y1", "x2", "y2"), size)
+    # the pairs of a square are many for its bytes, so tasks are dealt by number and not by size
+    held = held.repartition(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), "level", "gx", "gy")
     other = held.select("level", "gx", "gy", F.col(line).alias("o_line"), F.col("pos").alias("o_pos"), *(F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")))
     c = F.col
-    pairs = held.join(other, ["level", "gx", "gy"]).filter(F.struct(line, "pos") < F.struct(c("o_line").alias(line), c("o_pos").alias("pos")))
+    pairs = held.join(other.hint("shuffle_hash"), ["level", "gx", "gy"]).filter(F.struct(line, "pos") < F.struct(c("o_line").alias(line), c("o_pos").alias("pos")))
     dx, dy, ex, ey = c("x2") - c("x1"), c("y2") - c("y1"), c("o_x2") - c("o_x1"), c("o_y2") - c("o_y1")
     fx, fy = c("o_x1") - c("x1"), c("o_y1") - c("y1")
     pairs = pairs.withColumns({"d": cross(dx, dy, ex, ey), "n": cross(fx, fy, ex, ey), "m": cross(fx, fy, dx, dy)})
