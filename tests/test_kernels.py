@@ -129,3 +129,17 @@ def test_weights_are_those_of_the_c_library(spark):
     got = spark.range(101).select("id", fc.cost_weight(F.col("id") / 100.0).alias("w")).collect()
     share = {r.id: (r.id / 100 - 0.1) / (0.5 - 0.1) for r in got}
     assert [r.w for r in got] == [-math.log2(share[r.id]) if 0 < share[r.id] < 1 else 0.0 for r in got]
+
+
+def test_neighbourhoods_shuffle_cells_and_not_their_copies(spark):
+    """The only exchange lies below the rows that are sent to neighbours."""
+    from thalweg.operators import stencil
+
+    cells = spark.range(400).selectExpr("id DIV 100 AS basin_id", "CAST(id % 100 DIV 10 AS INT) AS r", "CAST(id % 10 AS INT) AS c", "CAST(id % 3 = 0 AS INT) AS water")
+    out = stencil.neighbour_count(cells, "water", [])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.index("Exchange ") > plan.index("Generate ")
+    held = {(x.basin_id, x.r, x.c): x.water for x in cells.collect()}
+    for x in out.collect():
+        around = [(x.basin_id, x.r + i, x.c + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+        assert x.n == sum(held.get(p, 0) for p in around)

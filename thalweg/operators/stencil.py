@@ -1,4 +1,4 @@
-"""Neighbourhood operators on sparse grids: one shuffle by cell, with sums before it."""
+"""Neighbourhood operators on sparse grids: one shuffle of cells by basin, and sums in its tasks."""
 
 from __future__ import annotations
 
@@ -13,11 +13,12 @@ CELL = ["basin_id", "r", "c"]
 def around(cells: DataFrame, aggregates: list[Column], keep: list[str], steps: tuple[str, ...] = tuple(STEPS)) -> DataFrame:
     """keep and the aggregates of each cell. They are over its neighbours' columns, the neighbour's `bit`, and `own` (the cell itself).
 
-    A missing neighbour counts as nothing, and places without a cell of their own get no row.
+    A missing neighbour counts as nothing, and places without a cell of their own get no row. Cells are shuffled by basin
+    before they are sent, so a task sums all that is sent to a place, and the copies themselves are never shuffled or held.
     """
     offsets = [(0, 0, 0), *((STEPS[n][0], STEPS[n][1], BIT[n]) for n in steps)]
     to = F.explode(F.array(*[F.struct(F.lit(-dr).alias("dr"), F.lit(-dc).alias("dc"), F.lit(bit).alias("bit")) for dr, dc, bit in offsets]))
-    sent = cells.select("*", to.alias("to")).withColumns({"r": F.col("r") + F.col("to.dr"), "c": F.col("c") + F.col("to.dc"), "bit": F.col("to.bit"), "own": F.col("to.bit") == 0})
+    sent = cells.repartition("basin_id").select("*", to.alias("to")).withColumns({"r": F.col("r") + F.col("to.dr"), "c": F.col("c") + F.col("to.dc"), "bit": F.col("to.bit"), "own": F.col("to.bit") == 0})
     held = [F.max(F.when(F.col("own"), F.col(k))).alias(k) for k in keep]
     return sent.groupBy(*CELL).agg(*held, *aggregates, F.max("own").alias("_there")).filter("_there").drop("_there")
 
