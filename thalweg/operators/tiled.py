@@ -1,12 +1,13 @@
 """Labels and distances over grids of any size: kernels run tile by tile, and what crosses the seams is joined.
 
-A task holds one tile of a basin, however large the basin is.
+A task holds some tiles of basins at a time (one, if it is large), however large a basin is; kernels take them together.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +15,8 @@ from ..functions.cells import SIDES, STEPS
 from ..sources.tables import cut
 from .graphs import connected
 from .grids import EIGHT, FOUR, links, roots
-from .paths import CUTOFFS, grid_of
+from .lots import by_lots, changes
+from .paths import BARRED, CUTOFFS
 
 TILE = 512
 PLACE = ["basin_id", "r", "c"]
@@ -65,38 +67,68 @@ def label(cells: DataFrame, kind: str = "water", as_: str = "comp", tile: int =
     return held.join(cell_label, PLACE, "left").withColumn(as_, F.coalesce(as_, F.lit(0)).cast("long"))
 
 
+def relaxed(near: np.ndarray, cost: np.ndarray, dist: np.ndarray, active: np.ndarray, cutoff: float) -> np.ndarray:
+    """dist after all ways from the active nodes: node i reaches node near[i, k] at cost[i, k] (inf: it does not).
+
+    Adding costs of 0 or more keeps the order of distances, so every node gets the least sum of a way, as in paths.Grid.distances.
+    """
+    dist = dist.copy()
+    while len(active):
+        total, to = dist[active, None] + cost[active], near[active]
+        nearer = (total <= cutoff) & (total < dist[to])
+        np.minimum.at(dist, to[nearer], total[nearer])
+        active = np.unique(to[nearer])
+    return dist
+
+
+def step_costs(row: np.ndarray, col: np.ndarray, elev: np.ndarray, weight: np.ndarray, descent: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours of each cell, in eight columns, and what a step to them costs, as in paths.Grid; inf where there is none."""
+    near, cost = np.zeros((len(row), 8), np.int64), np.full((len(row), 8), np.inf)
+    for k, step in enumerate(EIGHT):
+        a, b = links(row, col, (step,))
+        for slot, u, v in ((k, a, b), (k + 4, b, a)):
+            drop = np.fmax(0.0, elev[u] - elev[v])
+            near[u, slot] = v
+            cost[u, slot] = drop if descent else np.where(drop > 20, BARRED, np.where(drop > 0, np.maximum(weight[u] * drop, drop), np.maximum(weight[u], 0.0)))
+    return near, cost
+
+
 def bounded_distances(nodes: DataFrame, cutoff: float = CUTOFFS[0], tile: int = TILE, descent: bool = False) -> DataFrame:
     """basin_id, r, c, dist of the nodes within the cutoff of a source, as paths.bounded_distances has them (descent: only what a step descends counts).
 
     In each round the tiles whose surroundings have come nearer to a source are relaxed from the cells around them, and
     cells at seams that came nearer wake the tiles beside them. Rounds are as many as the tiles that a shortest way crosses.
+    A round is one shuffle of the cells; tiles that nothing has woken pass it as they are.
     """
     inf = float("inf")
     held = nodes.select(*PLACE, F.col("elev").cast("double").alias("elev"), F.col("weight").cast("double").alias("weight"), F.when(F.col("source"), 0.0).otherwise(inf).alias("dist"))
     held = held.withColumns({"tr": tile_of("r", tile), "tc": tile_of("c", tile)})
     held = cut(held.withColumn("nearer", F.col("dist") == 0), "tiled")
     schema = "basin_id long, r int, c int, elev double, weight double, dist double, tr int, tc int, nearer boolean"
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["r", "c"], ignore_index=True)
-        grid = grid_of(part)
-        before = part["dist"].to_numpy()
-        dist, _ = grid.distances(np.flatnonzero(np.isfinite(before)), grid.descent if descent else grid.cost, cutoff, before)
-        out = part.assign(dist=dist, nearer=dist < before)[~part["around"]]
-        return out[[x.split()[0] for x in schema.split(", ")]]
-
-    first = True
-    while True:
-        woken = across(held.filter("nearer"), tile).select("basin_id", "r", "c", "elev", "weight", "dist", tile_of("r2", tile).alias("tr"), tile_of("c2", tile).alias("tc")).distinct()
-        tiles = woken.select("basin_id", "tr", "tc")
-        if first:  # tiles with sources of their own start as well
-            tiles, first = tiles.unionByName(held.filter("nearer").select("basin_id", "tr", "tc")), False
-        tiles = cut(tiles.distinct(), "woken")
-        if tiles.isEmpty():
-            break
-        own = held.join(tiles, ["basin_id", "tr", "tc"], "left_semi").select(*woken.columns).withColumn("around", F.lit(False))
-        rows = own.unionByName(woken.withColumn("around", F.lit(True)))
-        relaxed = rows.groupBy("basin_id", "tr", "tc").applyInPandas(run, schema)
-        still = held.join(tiles, ["basin_id", "tr", "tc"], "left_anti").withColumn("nearer", F.lit(False))
-        held = cut(relaxed.unionByName(still.select(*relaxed.columns)), "tiled")
+    names, keys = [x.split()[0] for x in schema.split(", ")], ["basin_id", "tr", "tc"]
+
+    def of_round(first: bool):
+        def run(part: pa.Table) -> pa.Table:
+            r, c, elev, weight, before, tr, tc, around = (part.column(k).to_numpy() for k in ("r", "c", "elev", "weight", "dist", "tr", "tc", "around"))
+            start = changes(part, keys)
+            group = np.cumsum(start) - 1
+            awake = np.logical_or.reduceat(around | (first & np.isfinite(before)), np.flatnonzero(start))[group]
+            dist = before.copy()
+            at = np.flatnonzero(awake)
+            # tiles below each other, with the cells around them and a row apart
+            near, cost = step_costs(group[at] * (tile + 3) + r[at] - tr[at].astype(np.int64) * tile, c[at] - tc[at].astype(np.int64) * tile, elev[at], weight[at], descent)
+            begin = np.isfinite(before[at]) if first else around[at]
+            dist[at] = relaxed(near, cost, before[at], np.flatnonzero(begin), cutoff)
+            out = part.set_column(part.schema.get_field_index("dist"), "dist", pa.array(dist))
+            out = out.set_column(out.schema.get_field_index("nearer"), "nearer", pa.array(dist < before))
+            return out.select(names).filter(pa.array(~around))
+
+        return run
+
+    first, left = True, held.filter("nearer")
+    while not left.isEmpty():
+        woken = across(held.filter("nearer"), tile).select("basin_id", "r", "c", "elev", "weight", "dist", tile_of("r2", tile).alias("tr"), tile_of("c2", tile).alias("tc"), "nearer").distinct()
+        rows = held.withColumn("around", F.lit(False)).unionByName(woken.withColumn("around", F.lit(True)))
+        held = cut(by_lots(rows, keys, ["r", "c"], of_round(first), schema), "tiled")
+        first, left = False, across(held.filter("nearer"), tile)
     return held.filter(F.col("dist") < inf).select(*PLACE, "dist")
