@@ -39,3 +39,17 @@ def test_cells_relaxed_together_come_as_near_as_one_by_one(seed, cutoff, descent
     start[sources] = 0
     got = tiled.relaxed(*tiled.step_costs(r, c, elev, weight, descent), start, np.array(sources), cutoff)
     assert got.tolist() == want.tolist() and np.isfinite(got).sum() > 20
+
+
+def test_tiles_are_labelled_many_at_a_time(spark, monkeypatch):
+    """Single tiles in calls of their own took most of the time: one call may hold many, and labels stay those of whole basins."""
+    from thalweg.operators import components
+
+    rng = random.Random(5)
+    rows = [(b, r, c, rng.randint(0, 1), f"{r}") for b in (-4, 2) for r in range(-9, 9) for c in range(12)]
+    cells = spark.createDataFrame(rows, "basin_id long, r int, c int, water int, _word string")
+    at_once = []
+    held = lambda rows, keys, order, run, schema: at_once.append((keys, schema)) or lots.by_lots(rows, keys, order, run, schema)
+    monkeypatch.setattr(tiled, "by_lots", held)
+    got = {(r.basin_id, r.r, r.c): (r.comp, r._word) for r in tiled.label(cells, tile=4).collect()}
+    assert got == {(r.basin_id, r.r, r.c): (r.comp, r._word) for r in components.label(cells).collect()} and len(at_once) == 1

@@ -6,7 +6,6 @@ A task holds some tiles of basins at a time (one, if it is large), however large
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,29 +41,33 @@ def across(cells: DataFrame, tile: int) -> DataFrame:
 def label(cells: DataFrame, kind: str = "water", as_: str = "comp", tile: int = TILE) -> DataFrame:
     """cells with the labels of components.label: 1, 2, .. of water (kind 1), -1, -2, .. of land (kind 0), in row-major order of first cells; other kinds get 0."""
     held = cells.select(*(c for c in cells.columns if c != as_))
+    own = held.columns
+    keys = ["basin_id", "_tr", "_tc"]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        r, c, of = (part[k].to_numpy() for k in ("r", "c", kind))
-        order = np.lexsort((c, r))
+    def run(part: pa.Table) -> pa.Table:
+        r, c, of = (part.column(k).to_numpy() for k in ("r", "c", kind))
+        group = np.cumsum(changes(part, keys))
+        row, col = group * (tile + 1) + r % tile, c % tile  # tiles below each other, a row apart
         first = np.full(len(part), -1)
         for value, steps in ((1, EIGHT), (0, FOUR)):
-            own = order[of[order] == value]
-            first[own] = own[roots(len(own), *links(r[own], c[own], steps))]
-        at = lambda x: pd.array(np.where(first >= 0, x[first], 0), dtype="Int32").astype("Int32")
-        return part[PLACE].assign(kind=pd.array(of, dtype="Int32"), r0=at(r), c0=at(c), known=first >= 0)
-
-    tiles = held.select(*PLACE, kind, tile_of("r", tile).alias("tr"), tile_of("c", tile).alias("tc"))
-    local = cut(tiles.groupBy("basin_id", "tr", "tc").applyInPandas(run, "basin_id long, r int, c int, kind int, r0 int, c0 int, known boolean").filter("known"), "tile-labels")
-    node = F.struct("basin_id", "r0", "c0", "kind")
-    seam = local.select(*PLACE, "kind", node.alias("a"))
-    there = local.filter(at_seam(tile)).select("basin_id", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("kind").alias("kind2"), node.alias("b"))
-    edges = across(seam, tile).join(there, ["basin_id", "r2", "c2"]).filter("kind = kind2 AND (kind = 1 OR NOT corner)").select("a", "b").distinct()
+            at = np.flatnonzero(of == value)
+            first[at] = at[roots(len(at), *links(row[at], col[at], steps))]
+        least = lambda x: pa.array(np.where(first >= 0, x[first], 0).astype(np.int32))
+        return part.select(own).append_column("_r0", least(r)).append_column("_c0", least(c)).append_column("_known", pa.array(first >= 0))
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema), "_r0 int, _c0 int, _known boolean"])
+    tiles = held.withColumns({"_tr": tile_of("r", tile), "_tc": tile_of("c", tile)})
+    local = cut(by_lots(tiles, keys, ["r", "c"], run, schema), "tile-labels")
+    known = local.filter("_known").withColumn("_node", F.struct("basin_id", "_r0", "_c0", F.col(kind).cast("int").alias("kind")))
+    edge = known.filter(at_seam(tile)).select(*PLACE, F.col("_node.kind").alias("kind"), F.col("_node").alias("a"))
+    there = edge.select("basin_id", F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("kind").alias("kind2"), F.col("a").alias("b"))
+    edges = across(edge, tile).join(there, ["basin_id", "r2", "c2"]).filter("kind = kind2 AND (kind = 1 OR NOT corner)").select("a", "b").distinct()
     joined = connected(edges)
-    nodes = local.select(node.alias("node")).distinct().join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
-    places = nodes.select("root").distinct().withColumn("n", F.row_number().over(Window.partitionBy("root.basin_id", "root.kind").orderBy("root.r0", "root.c0")))
-    named = nodes.join(places, "root").select("node", F.when(F.col("root.kind") == 1, F.col("n")).otherwise(-F.col("n")).cast("long").alias(as_))
-    cell_label = local.select(*PLACE, node.alias("node")).join(named, "node").drop("node")
-    return held.join(cell_label, PLACE, "left").withColumn(as_, F.coalesce(as_, F.lit(0)).cast("long"))
+    nodes = known.select(F.col("_node").alias("node")).distinct().join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
+    places = nodes.select("root").distinct().withColumn("n", F.row_number().over(Window.partitionBy("root.basin_id", "root.kind").orderBy("root._r0", "root._c0")))
+    named = nodes.join(places, "root").select(F.col("node").alias("_node"), F.when(F.col("root.kind") == 1, F.col("n")).otherwise(-F.col("n")).cast("long").alias("_label"))
+    labelled = known.join(named, "_node").select(*own, F.col("_label").alias(as_))
+    return labelled.unionByName(local.filter("NOT _known").select(*own, F.lit(0).cast("long").alias(as_)))
 
 
 def relaxed(near: np.ndarray, cost: np.ndarray, dist: np.ndarray, active: np.ndarray, cutoff: float) -> np.ndarray:
