@@ -53,3 +53,18 @@ def test_tiles_are_labelled_many_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(tiled, "by_lots", held)
     got = {(r.basin_id, r.r, r.c): (r.comp, r._word) for r in tiled.label(cells, tile=4).collect()}
     assert got == {(r.basin_id, r.r, r.c): (r.comp, r._word) for r in components.label(cells).collect()} and len(at_once) == 1
+
+
+def test_cells_of_steps_are_looked_at_in_bounded_lots(spark, monkeypatch):
+    """A vertical step of 1,000 cells, one of none and a slanted one, three cells at a time, in arrays and not in rows."""
+    from thalweg.operators import spatial
+
+    monkeypatch.setattr(spatial, "CELLS_AT_ONCE", 3)
+    first, last = np.array([4, 1, -2]), np.array([5, 0, 3])
+    got = list(spatial.unfolded(first, last))
+    assert max(len(row) for row, _ in got) == 3
+    assert [x for row, n in got for x in zip(row.tolist(), n.tolist(), strict=True)] == [(0, 4), (0, 5), *((2, n) for n in range(-2, 4))]
+    ends = [np.array(x, float) for x in ((0.5, 0.5), (0.5, 0.5), (0.5, 2.5), (999.5, 2.5))]
+    cells = sorted(x for a in spatial.cells_beside(*ends, 1.0, 0.0, 0.0, 0.0) for x in zip(*(k.tolist() for k in a), strict=True))
+    corners = [(0, 1), (1, 0), (1, 2), (2, 1)]
+    assert cells == sorted([(0, 0, y) for y in range(1000)] + [(1, k, k) for k in range(3)] + [(1, *x) for x in corners])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,16 +71,17 @@ def polygon_meets_ring(rings: Column, ring: Column) -> Column:
     return F.exists(rings, lambda r: line_meets_ring(r, ring)) | F.exists(ring, lambda p: in_rings(p["x"], p["y"], rings))
 
 
-def step_box_distance2(x1: Column, y1: Column, x2: Column, y2: Column, w: Column, s: Column, e: Column, n: Column) -> Column:
-    """Squared distance between a step and a box; 0 where they meet."""
-    to_box = lambda x, y: F.pow(F.greatest(w - x, F.lit(0.0), x - e), 2) + F.pow(F.greatest(s - y, F.lit(0.0), y - n), 2)
-    length2 = F.pow(x2 - x1, 2) + F.pow(y2 - y1, 2)
-
-    def to_step(x: Column, y: Column) -> Column:
-        t = F.when(length2 == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / F.when(length2 == 0, F.lit(1.0)).otherwise(length2))))
-        return F.pow(x - (x1 + t * (x2 - x1)), 2) + F.pow(y - (y1 + t * (y2 - y1)), 2)
-
-    corners = [(w, s), (e, s), (w, n), (e, n)]
-    sides = [F.signum(side_of(x1, y1, x2, y2, x, y)) for x, y in corners]
-    meets = (F.greatest(x1, x2) >= w) & (F.least(x1, x2) <= e) & (F.greatest(y1, y2) >= s) & (F.least(y1, y2) <= n) & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
-    return F.when(meets, F.lit(0.0)).otherwise(F.least(to_box(x1, y1), to_box(x2, y2), *(to_step(x, y) for x, y in corners)))
+def step_box_distance2(x1, y1, x2, y2, w, s, e, n) -> np.ndarray:
+    """Squared distance between steps and boxes, row by row (arrays of doubles); 0 where they meet."""
+    dx, dy = x2 - x1, y2 - y1
+    length2 = dx * dx + dy * dy
+    to_box = lambda x, y: np.maximum(np.maximum(w - x, 0.0), x - e) ** 2 + np.maximum(np.maximum(s - y, 0.0), y - n) ** 2
+    out = np.minimum(to_box(x1, y1), to_box(x2, y2))
+    left, right = np.zeros(len(out), bool), np.zeros(len(out), bool)
+    for x, y in ((w, s), (e, s), (w, n), (e, n)):
+        side = dx * (y - y1) - dy * (x - x1)
+        left, right = left | (side <= 0), right | (side >= 0)
+        t = np.maximum(0.0, np.minimum(1.0, ((x - x1) * dx + (y - y1) * dy) / np.where(length2 == 0, 1.0, length2)))
+        out = np.minimum(out, (x - (x1 + t * dx)) ** 2 + (y - (y1 + t * dy)) ** 2)
+    meets = (np.maximum(x1, x2) >= w) & (np.minimum(x1, x2) <= e) & (np.maximum(y1, y2) >= s) & (np.minimum(y1, y2) <= n) & left & right
+    return np.where(meets, 0.0, out)

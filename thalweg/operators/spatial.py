@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bounds, boxes_meet, in_ring, in_rings, line_meets_ring, polygon_meets_ring, step_box_distance2
 from ..sources.tables import cut
+from .lots import dealt
 
 
 def box_join(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
@@ -92,23 +97,53 @@ def meeting_polygons(polygons: DataFrame, ring: Column, rings: str = "rings") ->
     return polygons.filter(boxes & polygon_meets_ring(F.col(rings), ring))
 
 
+#: Cells that a task looks at together.
+CELLS_AT_ONCE = 1 << 18
+
+
+def unfolded(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row and number of first[row], .., last[row] of every row, CELLS_AT_ONCE at a time."""
+    ends = np.cumsum(np.maximum(last - first + 1, 0))
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, CELLS_AT_ONCE):
+        k = np.arange(lo, min(lo + CELLS_AT_ONCE, int(ends[-1])))
+        row = np.searchsorted(ends, k, "right")
+        yield row, last[row] - (ends[row] - 1 - k)
+
+
+def cells_beside(x1, y1, x2, y2, size: float, buffer: float, west: float, south: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """step, gx, gy of the cells within `buffer` of steps (arrays)."""
+    span = lambda lo, hi, start: (np.ceil((lo - buffer - start) / size).astype(np.int64) - 1, np.floor((hi + buffer - start) / size).astype(np.int64))
+    low, high = np.minimum(x1, x2), np.maximum(x1, x2)
+    for step, gx in unfolded(*span(low, high, west)):
+        # what of the step lies within the buffer of the column
+        a, b, c, d = x1[step], y1[step], x2[step], y2[step]
+        flat = c == a
+        at = lambda x: b + (np.minimum(np.maximum(x, low[step]), high[step]) - a) * (d - b) / np.where(flat, 1.0, c - a)  # noqa: B023, E731
+        left = west + gx * size - buffer
+        enters, leaves = np.where(flat, b, at(left)), np.where(flat, d, at(left + size + 2 * buffer))
+        for column, gy in unfolded(*span(np.minimum(enters, leaves), np.maximum(enters, leaves), south)):
+            w, s = west + gx[column] * size, south + gy * size
+            near = np.flatnonzero(step_box_distance2(a[column], b[column], c[column], d[column], w, s, w + size, s + size) <= buffer * buffer)
+            yield step[column[near]], gx[column[near]], gy[near]
+
+
 def touched_cells(steps: DataFrame, size: float, buffer: float, west: float = 0.0, south: float = 0.0, key: list[str] | None = None) -> DataFrame:
     """key, gx, gy: cells of a grid whose box lies within `buffer` of a step (x1, y1, x2, y2) of a line, each once a key.
 
     A step is dealt to the columns that it and its buffer reach, and in each to the rows between where it enters and
-    leaves it, so a long step costs as many cells as it is long.
+    leaves it, so a long step costs as many cells as it is long. Steps are few bytes and many cells, so they are dealt to
+    all tasks by key; a task looks at many cells together and makes its keys' cells distinct.
     """
     key = key or []
-    x1, y1, x2, y2 = (F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2"))
-    span = lambda lo, hi, start: F.sequence(F.ceil((lo - buffer - start) / size) - 1, F.floor((hi + buffer - start) / size))
-    low, high = F.least(x1, x2), F.greatest(x1, x2)
-    near = steps.select(*key, "x1", "y1", "x2", "y2", F.explode(span(low, high, west)).alias("gx"))
-    at = lambda x: y1 + (F.least(F.greatest(x, low), high) - x1) * (y2 - y1) / F.nullif(x2 - x1, F.lit(0.0))
-    # what of the step lies within the buffer of the column
-    left = west + F.col("gx") * size - buffer
-    enters, leaves = at(left), at(left + size + 2 * buffer)
-    rows = span(F.coalesce(F.least(enters, leaves), F.least(y1, y2)), F.coalesce(F.greatest(enters, leaves), F.greatest(y1, y2)), south)
-    near = near.withColumn("gy", F.explode(rows))
-    w, s = west + F.col("gx") * size, south + F.col("gy") * size
-    d2 = step_box_distance2(x1, y1, x2, y2, w, s, w + size, s + size)
-    return near.filter(d2 <= buffer * buffer).select(*key, "gx", "gy").distinct()
+    ends = ["x1", "y1", "x2", "y2"]
+    held = steps.select(*key, *(F.col(c).cast("double").alias(c) for c in ends)).dropna(subset=ends)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.select(key)
+            for step, gx, gy in cells_beside(*(batch.column(c).to_numpy() for c in ends), size, buffer, west, south):
+                columns = own.take(pa.array(step)).columns if key else []
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(gx), pa.array(gy)], [*key, "gx", "gy"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held.select(*key).schema), "gx long", "gy long"])
+    return dealt(held, *key).mapInArrow(run, schema).distinct()
