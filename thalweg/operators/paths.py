@@ -29,7 +29,7 @@ class Grid:
     """Neighbours and step costs of one basin's nodes."""
 
     def __init__(self, r, c, elev, weight):
-        self.elev, self.weight, self.near = elev.astype(float), weight.astype(float), [[] for _ in r]
+        self.elev, self.weight, self.near = elev.astype(float).tolist(), weight.astype(float).tolist(), [[] for _ in r]
         for i, j in zip(*(x.tolist() for x in links(r, c)), strict=True):
             self.near[i].append(j)
             self.near[j].append(i)
@@ -48,20 +48,23 @@ class Grid:
 
         start says how far the sources are from where ways begin; without it they are the beginnings.
         """
-        dist, parent = np.full(len(self.near), np.inf), np.full(len(self.near), -1)
-        dist[list(sources)] = 0 if start is None else start[list(sources)]
-        heap, over = sorted((float(dist[s]), int(s)) for s in sources), set()
+        near, dist, parent, over = self.near, [float("inf")] * len(self.near), [-1] * len(self.near), bytearray(len(self.near))
+        for s in sources:
+            dist[s] = 0.0 if start is None else float(start[s])
+        heap = sorted((dist[s], int(s)) for s in sources)
         while heap:
             d, u = heapq.heappop(heap)
-            if u in over:
+            if over[u]:
                 continue
-            over.add(u)
-            for v in self.near[u]:
+            over[u] = 1
+            for v in near[u]:
+                if over[v]:  # costs are 0 or more, so nothing nearer is left for it
+                    continue
                 total = d + cost(u, v)
                 if total <= cutoff and total < dist[v]:
                     dist[v], parent[v] = total, u
                     heapq.heappush(heap, (total, v))
-        return dist, parent
+        return np.array(dist, float), np.array(parent, int)
 
 
 def grid_of(basin: pd.DataFrame) -> Grid:
