@@ -68,3 +68,30 @@ def test_cells_of_steps_are_looked_at_in_bounded_lots(spark, monkeypatch):
     cells = sorted(x for a in spatial.cells_beside(*ends, 1.0, 0.0, 0.0, 0.0) for x in zip(*(k.tolist() for k in a), strict=True))
     corners = [(0, 1), (1, 0), (1, 2), (2, 1)]
     assert cells == sorted([(0, 0, y) for y in range(1000)] + [(1, k, k) for k in range(3)] + [(1, *x) for x in corners])
+
+
+def test_basins_are_converted_many_at_a_time(spark):
+    """Kernels see whole basins; a null in one leaves the types of others alone, and one that fails takes no other with it."""
+    from thalweg.operators.guard import Failures, each_basin, per_basin
+
+    big = (1 << 60) + 1
+    rows = spark.createDataFrame([(b, None if b == 3 and i == 0 else i, big + i) for b in range(6) for i in range(b + 1)], "basin_id long, i int, node long")
+    run = lambda basin: basin.assign(n=len(basin), typed=basin["i"].dtype.kind == "i")
+    plan = each_basin(rows, run, "basin_id long, i int, node long, n int, typed boolean")
+    assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()
+    got = plan.collect()
+    assert len(got) == 21 and all(r.n == r.basin_id + 1 and r.typed == (r.basin_id != 3) for r in got)
+
+    def fails(basin):
+        return basin.assign(i=basin["i"] // (basin["basin_id"].iloc[0] != 4) if basin["basin_id"].iloc[0] != 4 else [][1])
+
+    failures = Failures()
+    left = per_basin(rows, fails, "basin_id long, i int, node long", failures, "kernel").collect()
+    assert {r.basin_id for r in left} == {0, 1, 2, 3, 5} and {r.node for r in left if r.basin_id == 5} == {big + i for i in range(6)}
+    assert [(r.basin_id, r.stage, r.error_kind) for r in failures.found(spark).collect()] == [(4, "kernel", "IndexError")]
+
+
+def test_segments_are_linked_without_a_broadcast(spark):
+    from thalweg import catalog
+
+    assert "BroadcastHashJoin" not in catalog.segment_links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()

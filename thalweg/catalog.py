@@ -326,9 +326,10 @@ def chain_segments(spark, sf_dir):
 @query(CHAINS + " SELECT a.line_id, a.first_pos, COALESCE(b.first_pos, -1) AS target_first, COALESCE(p.first_pos, -1) AS source_first FROM seg a LEFT JOIN seg b ON b.line_id = a.line_id AND b.first_pos = a.last_pos LEFT JOIN seg p ON p.line_id = a.line_id AND p.last_pos = a.first_pos", "b_line_vertices")
 def segment_links(spark, sf_dir):
     held = tables.cut(line_segments(spark, sf_dir), "segments")
+    # shuffled: a small file of segments may still be many rows for a task to hold
     first = held.select("line_id", F.col("local_id").alias("other"), F.col("first_pos").alias("other_first"))
-    out = held.join(first.select("line_id", F.col("other").alias("local_target"), F.col("other_first").alias("target_first")), ["line_id", "local_target"], "left")
-    out = out.withColumn("source", F.coalesce(F.get("local_sources", F.lit(0)), F.lit(-1))).join(first.select("line_id", F.col("other").alias("source"), F.col("other_first").alias("source_first")), ["line_id", "source"], "left")
+    out = held.join(first.select("line_id", F.col("other").alias("local_target"), F.col("other_first").alias("target_first")).hint("merge"), ["line_id", "local_target"], "left")
+    out = out.withColumn("source", F.coalesce(F.get("local_sources", F.lit(0)), F.lit(-1))).join(first.select("line_id", F.col("other").alias("source"), F.col("other_first").alias("source_first")).hint("merge"), ["line_id", "source"], "left")
     return out.select("line_id", "first_pos", F.coalesce("target_first", F.lit(-1)).cast("int").alias("target_first"), F.coalesce("source_first", F.lit(-1)).cast("int").alias("source_first"))
 
 

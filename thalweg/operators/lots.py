@@ -7,14 +7,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Rows that a kernel takes at once; a group that is larger comes alone.
 LOT = 1 << 16
 
 
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows shuffled by keys into as many tasks as the session shuffles to, however few bytes they are: small rows may be much work."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    """rows shuffled by keys into as many tasks as the session shuffles to, however few bytes they are: small rows may be much work.
+
+    By a hash of the keys, for Spark leaves a shuffle by keys out where rows come from one, and puts small partitions of that together.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, F.xxhash64(*keys)) if keys else rows.repartition(tasks)
 
 
 def changes(rows: pa.Table, keys: list[str]) -> np.ndarray:
