@@ -95,3 +95,10 @@ def test_segments_are_linked_without_a_broadcast(spark):
     from thalweg import catalog
 
     assert "BroadcastHashJoin" not in catalog.segment_links(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_sources_are_mapped_without_a_broadcast(spark):
+    from thalweg import catalog
+
+    out = catalog.remap_sources(spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().toString() and out.count() > 100

@@ -62,14 +62,17 @@ def global_targets(segments: DataFrame) -> DataFrame:
 
 
 def global_sources(segments: DataFrame) -> DataFrame:
-    """seg_id, source_segs (array in the order of the sources; -1 for a source that is not there)."""
-    ends = basin_ends(segments).select(F.col("basin_id").alias("source_basin"), "exit_id")
-    local = segments.select("basin_id", F.col("local_id").alias("source_id"), F.col("seg_id").alias("local_seg"))
+    """seg_id, source_segs (array in the order of the sources; -1 for a source that is not there).
+
+    Joins are shuffled: a small file of segments may still be many rows for a task to hold.
+    """
+    ends = basin_ends(segments).select(F.col("basin_id").alias("source_basin"), "exit_id").hint("merge")
+    local = segments.select("basin_id", F.col("local_id").alias("source_id"), F.col("seg_id").alias("local_seg")).hint("merge")
     upstream = segments.filter(is_entry()).select("seg_id", F.posexplode(F.array("us1", "us2")).alias("pos", "source_basin")).join(ends, "source_basin", "left").select("seg_id", "pos", F.coalesce("exit_id", F.lit(-1)).alias("source"))
     inside = segments.filter(~is_entry()).select("basin_id", "seg_id", F.posexplode("local_sources").alias("pos", "source_id")).join(local, ["basin_id", "source_id"], "left").select("seg_id", "pos", F.coalesce("local_seg", F.lit(-1)).alias("source"))
     lists = upstream.unionByName(inside).groupBy("seg_id").agg(F.sort_array(F.collect_list(F.struct("pos", "source"))).alias("s"))
     none = F.array().cast("array<bigint>")
-    return segments.select("seg_id").join(lists, "seg_id", "left").select("seg_id", F.coalesce("s.source", none).alias("source_segs"))
+    return segments.select("seg_id").join(lists.hint("merge"), "seg_id", "left").select("seg_id", F.coalesce("s.source", none).alias("source_segs"))
 
 
 def composed(steps: DataFrame, again: DataFrame) -> DataFrame:
