@@ -1,8 +1,10 @@
 """Near copies by SimHash fingerprints: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 At that similarity two 64-bit fingerprints differ in 9.7 bits on average (a bit differs with a probability of 0.15, in
-sets of a few shingles up to 0.2), which no blocks of bits can find among many texts. So candidates come from BANDS keys a text, each over ROWS minima of differently hashed shingles: a pair of similarity s shares
-no key with probability (1 - s**ROWS)**BANDS, 5e-5 at 0.8 and 4e-7 at 0.85. Pairs whose pivot distances differ by more
+sets of a few shingles up to 0.2). Candidates come from the fingerprints first: those that differ in at most BITS bits
+are found by the blocks of bits and pivot tables of simhash.link_edges. No blocks of bits find pairs much farther apart
+among many texts, so such pairs come from BANDS keys a text, each over ROWS minima of differently hashed shingles: a pair
+of similarity s shares no key with probability (1 - s**ROWS)**BANDS, 5e-5 at 0.8 and 4e-7 at 0.85. Pairs whose pivot distances differ by more
 than MOST_BITS in a coordinate, or whose fingerprints do, are discarded (by calculation, at most one linked pair in a
 million). What survives is verified on the shingle sets
 themselves. First all members of a key are compared with its least member. Where that leaves a key's members in several
@@ -27,9 +29,10 @@ from .blocks import packed
 from .bpe import in_parts
 from .common import fresh, join_hot, materialize, text_of
 from .components import connected_components
-from .simhash import majority, pivot_table, survivors
+from .simhash import link_edges, majority, pivot_table, survivors
 
 SHINGLE = 5
+BITS = 2
 BANDS, ROWS = 25, 5
 FACTORS, SHIFTS = np.random.default_rng(5).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64, endpoint=False)
 FACTORS |= np.uint64(1)
@@ -205,13 +208,29 @@ def family_links(members: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataF
     return packed(rows.select("family", "i", "j", "side", "node", "fp", "component", "own"), ["family", "i", "j"], ["side", "node"], tile_links, "a long, b long")
 
 
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """a, b, fa, fb: pairs of nodes (a the larger) that connect all rows (node, n, fp) whose fingerprints differ in at most BITS bits.
+
+    Rows of equal fingerprints are paired with the least of them, which stands for them in pairs of different ones.
+    Texts without words resemble none.
+    """
+    rows = rows.filter("n > 0").select("node", "fp")
+    least = materialize(rows.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("size")), "near-fingerprints")
+    equal = join_hot(rows, least.filter("size > 1"), ["fp"], "size").filter("node <> least").select(F.col("node").alias("x"), F.col("least").alias("y"), F.col("fp").alias("fx"), F.col("fp").alias("fy"))
+    links = link_edges(least.select("fp"), BITS).distinct().withColumnsRenamed({"a": "fx", "b": "fy"})
+    for end in ("x", "y"):
+        links = links.join(least.select(F.col("fp").alias(f"f{end}"), F.col("least").alias(end)), f"f{end}")
+    pairs, first = equal.unionByName(links), F.col("x") > F.col("y")
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), F.when(first, F.col("fx")).otherwise(F.col("fy")).alias("fa"), F.when(first, F.col("fy")).otherwise(F.col("fx")).alias("fb"))
+
+
 def near_components(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """node, component of the rows (node, n, fp, keys) that are linked to another by a similarity of 0.8 or more."""
     members = rows.select("node", "n", "fp", F.explode("keys").alias("key"))
     groups = materialize(members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "fp")).alias("least")).filter("size > 1"), "near-groups")
     held = materialize(join_hot(members, groups, ["key"], "size").select("key", "node", "n", "fp", "least"), "near-members")
-    stars = held.filter("node <> least.node").select(F.col("node").alias("a"), F.col("least.node").alias("b"), F.col("fp").alias("fa"), F.col("least.fp").alias("fb")).distinct()
-    stars = materialize(survivors(stars, MOST_BITS), "near-pairs")
+    stars = held.filter("node <> least.node").select(F.col("node").alias("a"), F.col("least.node").alias("b"), F.col("fp").alias("fa"), F.col("least.fp").alias("fb"))
+    stars = materialize(survivors(fingerprint_pairs(rows).unionByName(stars).distinct(), MOST_BITS), "near-pairs")
     measured = materialize(similar(stars, docs), "near-links")
     links = measured.filter("linked").select("a", "b")
     first = materialize(connected_components(links), "near-components")
@@ -231,7 +250,7 @@ def near_components(rows: DataFrame, docs: DataFrame) -> DataFrame:
     if not many.isEmpty():
         inside = materialize(join_hot(known, many, ["key"], "size").select("key", "node", "n", "fp", "component"), "near-large")
         linked = materialize(family_links(inside.select("key", "node"), inside.select("node", "n", "fp", "component").distinct(), docs), "near-across")
-    # stars run from a member to the least one, which is the smaller node
+    # stars run from the larger node to the smaller
     pairs = materialize(survivors(across.distinct(), MOST_BITS).join(stars, ["a", "b"], "left_anti"), "near-pairs")
     more = linked
     if not pairs.isEmpty():
@@ -239,7 +258,7 @@ def near_components(rows: DataFrame, docs: DataFrame) -> DataFrame:
         more = found if linked is None else found.unionByName(linked)
     if more is None:
         return first
-    return materialize(connected_components(links.unionByName(more)), "near-components")
+    return materialize(connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "near-components")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,12 +266,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = F.xxhash64(F.col(id_col).cast("long"), text_of(text_col))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), key.alias("node"))
     rows = materialize(of_texts(texts, band_keys, "keys"), "near-keys")
-    whole = rows.dropDuplicates(["node"])
+    twins = materialize(rows.groupBy("node").count().filter("count > 1").select("node"), "near-twins")  # repeated rows, of which one stays
+    whole = rows if twins.isEmpty() else rows.dropDuplicates(["node"])
     nodes = near_components(whole, texts)
     inside = nodes.join(whole.select("node", "doc_id"), "node")
     best = inside.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "node")).alias("b")).select("b.node")
     lost = materialize(nodes.select("node").join(best, "node", "left_anti"), "near-lost")
-    twins = rows.groupBy("node").count().filter("count > 1").select("node")  # repeated rows, of which one stays
     name = fresh(docs, "node")
     held = docs.withColumn(name, key)
     test, at = among(materialize(lost.unionByName(twins).distinct(), "near-odd")), len(docs.columns)
