@@ -437,7 +437,7 @@ def remap_sources(spark, sf_dir):
 CAST(CASE WHEN s.from_ref THEN greatest(s.seg_order, COALESCE(l.o, l.base_order, 1)) ELSE s.seg_order END AS INT) AS stream_order, s.from_ref, s.basin_id
 FROM seg s JOIN targets t USING (seg_id) JOIN sources u USING (seg_id) LEFT JOIN l{SYSTEM_LEVELS} l ON l.stream_id = s.basin_id""", "b_segments")
 def merge_network(spark, sf_dir):
-    out = merge.merge_network(merge.with_sources(load(spark, sf_dir, "b_segments")))
+    out = merge.merge_network(load(spark, sf_dir, "b_segments"))
     return out.withColumn("source_stream_ids", F.array_join(F.col("source_stream_ids").cast("array<string>"), ","))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..sources.tables import cut
 from .network import strahler_of
@@ -75,6 +79,68 @@ def global_sources(segments: DataFrame) -> DataFrame:
     return segments.select("seg_id").join(lists.hint("merge"), "seg_id", "left").select("seg_id", F.coalesce("s.source", none).alias("source_segs"))
 
 
+def linked_rows(table: pa.Table, before: int) -> pa.RecordBatch:
+    """Whole basins, sorted by basin and local id, with row (before, before + 1, ..), target_row (-1: none) and local_sources as rows (-1 for one that is not there).
+
+    Without a column local_sources, a segment's sources are those that have it as their target.
+    """
+    n = table.num_rows
+    basin, local = (pc.fill_null(table[c].cast("int64"), -(1 << 63)).to_numpy() for c in ("basin_id", "local_id"))
+    group = np.cumsum(np.concatenate([[False], basin[1:] != basin[:-1]]))
+    least, span = int(local.min()), int(local.max()) - int(local.min()) + 1
+    keys = group * span + local - least
+
+    def find(groups: np.ndarray, wanted: pa.Array) -> np.ndarray:
+        x = pc.fill_null(wanted.cast("int64"), least - 1).to_numpy(zero_copy_only=False) - least
+        key = groups * span + x
+        at = np.minimum(np.searchsorted(keys, key), n - 1)
+        return np.where((x >= 0) & (x < span) & (keys[at] == key), at, -1)
+
+    target = find(group, table["local_target"].combine_chunks())
+    if "local_sources" in table.column_names:
+        lists = table["local_sources"].combine_chunks()
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        sources, none = find(np.repeat(group, counts), lists.flatten()), lists.is_null()
+    else:
+        at = np.flatnonzero((target >= 0) & pc.fill_null(pc.greater_equal(table["local_target"], 0), False).to_numpy())
+        counts, sources, none = np.bincount(target[at], minlength=n), at[np.argsort(target[at], kind="stable")], None
+    rows = lambda at: pa.array(np.where(at < 0, -1, at + before))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), rows(sources), mask=none)
+    kept = table.drop_columns(["local_sources"]) if "local_sources" in table.column_names else table
+    columns = [c.combine_chunks() for c in kept.columns] + [pa.array(np.arange(before, before + n)), rows(target), lists]
+    return pa.RecordBatch.from_arrays(columns, [*kept.column_names, "row", "target_row", "local_sources"])
+
+
+def numbered_links(segments: DataFrame) -> DataFrame:
+    """segments with seg_id as of global_ids, inner_target (null: none in the basin), and local_sources as seg_ids, -1 for one that is not there.
+
+    Basins lie whole and sorted in partitions by range, so numbers and the links inside basins come from one shuffle.
+    """
+    ranged = segments.repartitionByRange("basin_id").sortWithinPartitions("basin_id", "local_id").withColumn("_part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if not held.num_rows:
+                continue
+            basin = pc.fill_null(held["basin_id"], -(1 << 63)).to_numpy()
+            if last := int(np.searchsorted(basin, basin[-1])):  # this basin may go on
+                yield linked_rows(held.slice(0, last), before)
+                held, before = held.slice(last), before + last
+        if held is not None and held.num_rows:
+            yield linked_rows(held, before)
+
+    schema = ranged.drop("local_sources").schema.add("row", LongType()).add("target_row", LongType()).add("local_sources", ArrayType(LongType()))
+    linked = cut(ranged.mapInArrow(run, schema), "linked")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each partition
+    base = linked.groupBy("_part").agg(F.count("*").alias("n")).withColumn("_base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    there = lambda x: F.when(x >= 0, x + F.col("_base"))
+    out = linked.join(F.broadcast(base), "_part").withColumns({"seg_id": F.col("_base") + F.col("row"), "inner_target": there(F.col("target_row"))})
+    return out.withColumn("local_sources", F.transform("local_sources", lambda x: F.coalesce(there(x), F.lit(-1)))).drop("_part", "_base", "row", "target_row")
+
+
 def composed(steps: DataFrame, again: DataFrame) -> DataFrame:
     """Two pointer tables (stream_id, ptr, dist; ptr null: past the last stream) one after the other."""
     ahead = again.select(F.col("stream_id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("dist").alias("dist2"))
@@ -186,11 +252,22 @@ def basin_orders(segments: DataFrame) -> DataFrame:
 
 
 def merge_network(segments: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """stream_id, target_stream_id, source_stream_ids, stream_order, from_ref, basin_id, and the columns to carry, of all segments of all basins."""
-    numbered = cut(global_ids(segments), "numbered")
+    """stream_id, target_stream_id, source_stream_ids, stream_order, from_ref, basin_id, and the columns to carry, of all segments of all basins.
+
+    Without local_sources, they are taken from local_target (see with_sources).
+    """
+    numbered = numbered_links(segments)
     orders = repair_orders(basin_orders(numbered)).withColumnRenamed("stream_id", "basin_id")
     order = F.when(F.col("from_ref"), F.greatest("seg_order", F.coalesce("repaired", F.lit(1)))).otherwise(F.col("seg_order"))
-    out = numbered.join(orders, "basin_id", "left").join(global_targets(numbered), "seg_id").join(global_sources(numbered), "seg_id")
+    ends = cut(basin_ends(numbered), "ends")
+    entry_of = ends.select(F.col("basin_id").alias("basin_target"), "entry_id").hint("merge")
+    below = numbered.filter(is_exit()).select("seg_id", "basin_target").join(entry_of, "basin_target").select("seg_id", "entry_id")
+    exit_of = ends.select(F.col("basin_id").alias("source_basin"), "exit_id").hint("merge")
+    above = numbered.filter(is_entry()).select("seg_id", F.posexplode(F.array("us1", "us2")).alias("pos", "source_basin")).join(exit_of, "source_basin", "left")
+    above = above.groupBy("seg_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("exit_id", F.lit(-1)).alias("source")))).alias("above"))  # two
+    out = numbered.join(orders.hint("merge"), "basin_id", "left").join(below.hint("merge"), "seg_id", "left").join(above.hint("merge"), "seg_id", "left")
+    sources = F.coalesce(F.when(is_entry(), F.col("above.source")).when(~is_entry(), F.col("local_sources")), F.array().cast("array<bigint>"))
+    out = out.withColumns({"target_seg": F.coalesce(F.when(is_exit(), F.col("entry_id")).otherwise(F.col("inner_target")), F.lit(-1)), "source_segs": sources})
     return out.select(F.col("seg_id").alias("stream_id"), F.col("target_seg").alias("target_stream_id"), F.col("source_segs").alias("source_stream_ids"), order.cast("int").alias("stream_order"), "from_ref", "basin_id", *carry)
 
 
